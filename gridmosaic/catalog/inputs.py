@@ -148,3 +148,50 @@ tags AS (
   FROM cells WHERE regexp_matches(cell, '\\{IMG-\\{.*?\\}\\}'))"""
 
 TABLE_SQL = "WITH" + CELLS_SQL + "," + IMAGE_TAGS_SQL + "," + TAGS_SQL
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """A user turn and the assistant turn after it; the question also names a supplier."""
+    turns = table(spark, d, "conversations")
+    asked = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("q"))
+    answered = turns.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return asked.join(answered, ["conv_id", "turn"]).select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"),
+        F.col("conv_id").alias("table_context"),
+        F.concat("q", F.lit(" (see supplier#"), F.lpad((F.col("conv_id") % 10).cast("string"), 9, "0"), F.lit(")")).alias("question"),
+        "answer",
+        (F.col("turn") + 1).alias("ev_row"),
+        (F.col("turn") % 4).alias("ev_col"),
+    )
+
+
+QUESTIONS_SQL = """
+questions AS (
+  SELECT concat(q.conv_id, '-', q.turn) AS question_id, q.conv_id AS table_context,
+     concat(q.text, ' (see supplier#', lpad(CAST(q.conv_id % 10 AS VARCHAR), 9, '0'), ')') AS question, a.text AS answer,
+     1 + q.turn AS ev_row, q.turn % 4 AS ev_col
+  FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
+  WHERE q.role = 'user' AND a.role = 'assistant')"""
+
+
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    """A response per question: right, upper case, longer, listed or off."""
+    kind = (F.col("table_context") + F.col("ev_row")) % 5
+    said = (
+        F.when(kind == 0, F.col("answer")).when(kind == 1, F.upper(F.replace("answer", F.lit("ß"), F.lit("ss")))).when(kind == 2, F.concat("answer", F.lit(" extra")))
+        .when(kind == 3, F.concat(F.lit("['"), "answer", F.lit("']"))).otherwise(F.col("question"))
+    )
+    return questions(spark, d).select(
+        F.col("question_id").alias("key"), "table_context", "question", F.col("answer").alias("gold"), (F.col("ev_col") % 2).alias("kind"),
+        F.when((kind == 4) & (F.col("ev_row") == 1), F.lit("Error occurred."))
+        .otherwise(F.concat(F.lit("Step 1: "), "question", F.lit(" Step 2: "), said)).alias("response"),
+    )
+
+
+RESPONSES_SQL = QUESTIONS_SQL + """,
+responses AS (
+  SELECT question_id AS key, table_context, question, answer AS gold, ev_col % 2 AS kind,
+     CASE WHEN (table_context + ev_row) % 5 = 4 AND ev_row = 1 THEN 'Error occurred.' ELSE concat('Step 1: ', question, ' Step 2: ',
+       CASE (table_context + ev_row) % 5 WHEN 0 THEN answer WHEN 1 THEN upper(replace(answer, 'ß', 'ss')) WHEN 2 THEN concat(answer, ' extra')
+         WHEN 3 THEN concat('[''', answer, ''']') ELSE question END) END AS response
+  FROM questions)"""
