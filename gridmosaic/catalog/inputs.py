@@ -195,3 +195,86 @@ responses AS (
        CASE (table_context + ev_row) % 5 WHEN 0 THEN answer WHEN 1 THEN upper(replace(answer, 'ß', 'ss')) WHEN 2 THEN concat(answer, ' extra')
          WHEN 3 THEN concat('[''', answer, ''']') ELSE question END) END AS response
   FROM questions)"""
+
+
+def link_entity(spark: SparkSession, d: str) -> DataFrame:
+    """Link to entity: an alias for every fourth supplier, none for every eleventh; nations too."""
+    k = F.col("s_suppkey").cast("string")
+    named = F.when(F.col("s_suppkey") % 4 == 0, F.array(F.concat(F.lit("Supplier_"), k), F.concat(F.lit("S_"), k))).otherwise(
+        F.array(F.concat(F.lit("Supplier_"), k))
+    )
+    suppliers = table(spark, d, "supplier").where(F.col("s_suppkey") % 11 != 0).select(
+        F.explode(named).alias("name"), F.concat(F.lit("Q"), k).alias("qid")
+    )
+    n = F.col("n_nationkey").cast("string")
+    nations = table(spark, d, "nation").select(F.concat(F.lit("Nation_"), n).alias("name"), F.concat(F.lit("N"), n).alias("qid"))
+    return suppliers.unionByName(nations).select(F.concat(F.lit("https://en.wikipedia.org/wiki/"), "name").alias("link"), "qid")
+
+
+def entity_category(spark: SparkSession, d: str) -> DataFrame:
+    """Nation and region of a supplier, and marks that follow its balance and key."""
+    k = F.col("s_suppkey")
+    home = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, d, "supplier").join(home, F.col("s_nationkey") == F.col("n_nationkey"))
+    labels = F.array_compact(F.array(
+        F.col("n_name"), F.col("r_name"), F.when(F.col("s_acctbal") > 5000, F.lit("rich")),
+        F.when(k % 13 == 0, F.lit("sports discipline")), F.when(k % 17 == 0, F.lit("type of chemical entity")), F.when(k % 19 == 0, F.lit("human")),
+    ))
+    return rows.select(F.concat(F.lit("Q"), k.cast("string")).alias("qid"), F.posexplode(labels).alias("pos", "category")).select(
+        "qid", F.concat(F.lit("C"), "pos").alias("category_id"), "category"
+    )
+
+
+ANNOTATIONS = [
+    (1, "rich", True, 100.0, "Logo of company"), (2, "AFRICA", False, 0.0, ""), (3, "AMERICA", True, 590.0, "collage of place"),
+    (4, "ASIA", True, 600.0, "xxx"), (5, "NATION_7", True, 0.0, "ok"), (6, "EUROPE", True, 600.0, None),
+]
+
+
+def annotations(spark: SparkSession) -> DataFrame:
+    """The user's ordered category rules."""
+    return spark.createDataFrame(ANNOTATIONS, "priority int, category string, include boolean, `limit` double, remarks string")
+
+
+def pageviews(spark: SparkSession, d: str) -> DataFrame:
+    """Lineitems per supplier and month, as views of the supplier's page."""
+    link = F.concat(F.lit("https://en.wikipedia.org/wiki/Supplier_"), F.col("l_suppkey").cast("string"))
+    return table(spark, d, "lineitem").groupBy(link.alias("link"), F.trunc("l_shipdate", "month").alias("month")).agg(
+        F.count(F.lit(1)).alias("views")
+    )
+
+
+_WIKI = "https://en.wikipedia.org/wiki/"
+ENTITIES_SQL = f"""
+link_entity AS (
+  SELECT concat('{_WIKI}Supplier_', s_suppkey) AS link, concat('Q', s_suppkey) AS qid FROM supplier WHERE s_suppkey % 11 <> 0
+  UNION ALL SELECT concat('{_WIKI}S_', s_suppkey), concat('Q', s_suppkey) FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 4 = 0
+  UNION ALL SELECT concat('{_WIKI}Nation_', n_nationkey), concat('N', n_nationkey) FROM nation),
+sup AS (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+entity_category AS (
+  SELECT concat('Q', s_suppkey) AS qid, n_name AS category FROM sup UNION ALL SELECT concat('Q', s_suppkey), r_name FROM sup
+  UNION ALL SELECT concat('Q', s_suppkey), 'rich' FROM sup WHERE s_acctbal > 5000
+  UNION ALL SELECT concat('Q', s_suppkey), 'sports discipline' FROM sup WHERE s_suppkey % 13 = 0
+  UNION ALL SELECT concat('Q', s_suppkey), 'type of chemical entity' FROM sup WHERE s_suppkey % 17 = 0
+  UNION ALL SELECT concat('Q', s_suppkey), 'human' FROM sup WHERE s_suppkey % 19 = 0),
+annotations(priority, category, include, lim, remarks) AS (VALUES (1, 'rich', true, 100.0, 'Logo of company'), (2, 'AFRICA', false, 0.0, ''),
+  (3, 'AMERICA', true, 590.0, 'collage of place'), (4, 'ASIA', true, 600.0, 'xxx'), (5, 'NATION_7', true, 0.0, 'ok'), (6, 'EUROPE', true, 600.0, NULL)),
+pageviews AS (SELECT concat('{_WIKI}Supplier_', l_suppkey) AS link, date_trunc('month', l_shipdate) AS month, count(*) AS views FROM lineitem GROUP BY ALL),
+link_views AS (SELECT link, CAST(sum(views) AS BIGINT) AS views FROM pageviews GROUP BY link),
+entity_views AS (SELECT qid, max(views) AS views FROM link_views JOIN link_entity USING (link) GROUP BY qid),
+claims AS (SELECT qid, arg_min(include, priority) AS include, arg_min(lim, priority) AS lim, arg_min(coalesce(lower(remarks), ''), priority) AS remarks
+  FROM entity_category JOIN annotations USING (category) GROUP BY qid),
+classes AS (SELECT e.qid, CASE WHEN c.qid IS NULL THEN 'remaining' WHEN NOT include THEN 'excluded'
+    WHEN regexp_matches(remarks, 'logo|flag|seal|coat|coa') THEN CASE WHEN coalesce(v.views, 0) > lim THEN 'seal' ELSE 'excluded' END
+    WHEN contains(remarks, 'xxx') THEN CASE WHEN coalesce(v.views, 0) > lim THEN 'location' ELSE 'seal' END
+    WHEN regexp_matches(remarks, 'collage|location') THEN CASE WHEN coalesce(v.views, 0) > lim THEN 'location' ELSE 'excluded' END
+    WHEN coalesce(v.views, 0) > lim THEN 'included' ELSE 'excluded' END AS entity_class
+  FROM (SELECT DISTINCT qid FROM link_entity) e LEFT JOIN claims c ON e.qid = c.qid LEFT JOIN entity_views v ON e.qid = v.qid)"""
+
+
+def classes(spark: SparkSession, d: str) -> DataFrame:
+    from gridmosaic.operators import entities as E
+
+    links = link_entity(spark, d)
+    views = E.entity_views(E.link_views(pageviews(spark, d)), links)
+    return E.classify_entities(links, entity_category(spark, d), annotations(spark), views)
