@@ -4,5 +4,6 @@ from gridmosaic.catalog.registry import ORACLES, QUERIES  # noqa: F401
 from gridmosaic.catalog import (  # noqa: F401
     cells,
     entities,
+    links,
     scoring,
 )
