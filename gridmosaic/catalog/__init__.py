@@ -5,5 +5,6 @@ from gridmosaic.catalog import (  # noqa: F401
     cells,
     entities,
     links,
+    similarity,
     scoring,
 )

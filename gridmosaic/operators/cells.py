@@ -120,10 +120,7 @@ def replace_tags(cells: DataFrame, replacements: DataFrame, out: str = "restored
     plain = cells.where(~T.is_image_cell(cell) | cell.isNull()).withColumn(out, cell)
     pieces = tagged.select(
         "table_id", "row_idx", "col_idx",
-        F.posexplode(F.transform(
-            F.split(cell, T.IMAGE_TAG),
-            lambda text, i: F.struct(text.alias("before"), F.get(T.image_tags(cell), i).alias("tag")),
-        )).alias("pos", "piece"),
+        F.posexplode(F.arrays_zip(F.split(cell, T.IMAGE_TAG).alias("before"), T.image_tags(cell).alias("tag"))).alias("pos", "piece"),
     ).select("table_id", "row_idx", "col_idx", "pos", "piece.before", "piece.tag")
     text = F.concat("before", F.coalesce("new_text", "tag", F.lit("")))
     rebuilt = (

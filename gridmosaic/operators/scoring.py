@@ -111,12 +111,21 @@ def rouge_tokens(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """n-grams of a token array as strings, repeats kept."""
-    if n == 1:
-        return tokens
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+def ngrams(tokens: Column, n: int, glue: str = " ") -> Column:
+    """n-grams of a token array as strings, repeats kept.
+
+    Built by zipping shifted copies, so the array is walked n times and never
+    sliced per element.
+    """
+    grams = tokens
+    for k in range(1, n):
+        length = F.greatest(F.size(tokens) - k, F.lit(0))
+        grams = F.zip_with(F.slice(grams, F.lit(1), length), F.slice(tokens, F.lit(k + 1), length), _glued(glue))
+    return grams
+
+
+def _glued(glue: str):
+    return lambda a, b: F.concat(a, F.lit(glue), b)
 
 
 def _labelled(grams: Column, n: int) -> Column:

@@ -7,26 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from gridmosaic.operators.ranking import position_in_group
-from gridmosaic.operators.scoring import word_tokens
+from gridmosaic.operators.scoring import ngrams, word_tokens
 from gridmosaic.session import reliable_checkpoint
 
 STAGES = (0.8, 0.4, 0.1, 0.0)
 GLUE = "\x01"
 
 
-def _pairs_of_words(tokens):
-    return F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.array_join(F.slice(tokens, i, 2), GLUE)
-    )
-
-
 def shingle_rows(cells: DataFrame, keys: tuple[str, ...] = ("table_id",), col: str = "cell") -> DataFrame:
     """Shingles of every cell, repeats kept: word pairs of a cell of several
     words, else the cell itself, in lower case."""
-    low = cells.select(*keys, F.lower(col).alias("__cell"))
-    several = F.size(F.split(F.trim("__cell", F.lit(" \t\n\r\f\v")), r"\s+")) > 1
-    tokens = word_tokens(F.col("__cell"))
-    found = F.when(several & (F.size(tokens) > 1), _pairs_of_words(tokens)).otherwise(F.array("__cell"))
+    low = cells.select(*keys, F.lower(col).alias("__cell")).withColumn("__tokens", word_tokens(F.col("__cell")))
+    several = F.trim("__cell", F.lit(" \t\n\r\f\v")).rlike(r"\s") & (F.size("__tokens") > 1)
+    found = F.when(several, ngrams(F.col("__tokens"), 2, GLUE)).otherwise(F.array("__cell"))
     return low.select(*keys, F.explode(found).alias("shingle"))
 
 
@@ -98,6 +91,7 @@ def best_table_match(
     sets that found a match leave. The last stage (0) compares what is left.
     """
     block = [block_key] if block_key else []
+    left, right = reliable_checkpoint(left), reliable_checkpoint(right)  # each is read several times
     frequency = right.groupBy(*block, "shingle").agg(F.count(F.lit(1)).alias("frequency"))
     left_members, left_sets = _side(left, block, frequency, "left")
     right_members, right_sets = _side(right, block, frequency, "right")
