@@ -5,6 +5,7 @@ from gridmosaic.catalog import (  # noqa: F401
     cells,
     entities,
     links,
+    questions,
     similarity,
     scoring,
 )
