@@ -5,7 +5,9 @@ from gridmosaic.catalog import (  # noqa: F401
     cells,
     entities,
     links,
+    prompts,
     questions,
     similarity,
+    sources,
     scoring,
 )
