@@ -10,6 +10,7 @@ from gridmosaic.catalog.registry import big, query
 from gridmosaic.functions import tags as T
 from gridmosaic.operators import cells as C, questions as Q, sampling as S
 from gridmosaic.operators.interleave import interleave
+from gridmosaic.plans import construct as PC
 
 SEED = 42
 KEY = ["table_id", "row_idx", "col_idx"]
@@ -166,21 +167,11 @@ REBALANCED = AVOID + f"""
 
 
 def balanced(spark, d):
-    """(cells of canonical tables, chosen cells, rebalanced cells)."""
-    from gridmosaic.operators.ranking import seeded_key
-
+    """(rebalanced cells of canonical tables, cells turned back)."""
     lines = I.facts(spark, d)
-    canon = canonical(spark, d)
-    own = canon.where("table_id = canonical_id").select("table_id")
-    cells = I.cells(spark, d, lines).join(own, "table_id", "left_semi")
-    definite, maybe = _avoid(spark, d)
-    evidence = line_evidence(spark, d).withColumnRenamed("table_context", "table_id").join(own, "table_id", "left_semi")
-    chosen = Q.rebalance_choice(
-        cells, evidence.withColumn("sort_key", seeded_key(7, "question_id")),
-        maybe.select(F.col("table_context").alias("table_id"), "row_idx", "col_idx", seeded_key(8, "question_id").alias("sort_key")), definite, SEED,
+    return PC.balanced_cells(
+        I.cells(spark, d, lines), I.image_tags(spark, d, lines), line_mentions(spark, d), line_evidence(spark, d), canonical(spark, d), SEED, interleave=False
     )
-    restored = Q.rebalance(cells, I.image_tags(spark, d, lines), chosen).withColumn("cell", F.col("restored")).drop("restored")
-    return cells, chosen, restored
 
 
 @query("q09_rebalance_choice", REBALANCED + " SELECT table_id, row_idx, col_idx FROM chosen")
@@ -190,28 +181,20 @@ def q09(spark, d):
 
 @query("q09_rebalance", REBALANCED + " SELECT table_id, row_idx, col_idx, cell FROM balanced")
 def q09_apply(spark, d):
-    return balanced(spark, d)[2].select(*KEY, "cell")
+    return balanced(spark, d)[0].select(*KEY, "cell")
 
 
 @query("q09_rebalance_interleaved")
 def q09_interleaved(spark, d):
     """Rebalancing with evidence and maybe cells in interleaved order."""
     lines = I.facts(spark, d)
-    cells = I.cells(spark, d, lines)
     own = I.table(spark, d, "part").select(F.col("p_partkey").alias("table_id"), F.col("p_partkey").alias("canonical_id"))
-    definite, maybe = Q.avoid_cells(line_mentions(spark, d), line_evidence(spark, d), own, SEED)
-    evidence = Q.interleaved_cells(Q.image_evidence(line_evidence(spark, d), cells), SEED)
-    chosen = Q.rebalance_choice(cells, evidence, Q.interleaved_cells(maybe, SEED), definite, SEED)
+    _, chosen = PC.balanced_cells(
+        I.cells(spark, d, lines), I.image_tags(spark, d, lines), line_mentions(spark, d), line_evidence(spark, d), own, SEED
+    )
     return chosen.groupBy("col_idx").agg(big(F.count(F.lit(1)), "reverted"))
 
 
-def moved(rows, spark, d):
-    """Rows on their canonical table."""
-    return rows.join(canonical(spark, d).select(F.col("table_id").alias("table_context"), "canonical_id"), "table_context").withColumn(
-        "table_context", F.col("canonical_id")
-    ).drop("canonical_id")
-
-
 FINAL = REBALANCED + """
 , cm AS (SELECT m.question_id, canonical_id AS table_context, row_idx, col_idx FROM mentions m JOIN canon ON m.table_context = table_id)
 , ce AS (SELECT m.question_id, canonical_id AS table_context, row_idx, col_idx FROM evidence m JOIN canon ON m.table_context = table_id)
@@ -222,46 +205,43 @@ FINAL = REBALANCED + """
 
 
 def finals(spark, d):
-    cells = balanced(spark, d)[2]
+    lines = I.facts(spark, d)
     questions = line_questions(spark, d)
-    explicit, implicit = questions.where("ex = 1"), questions.where("ex = 0")
-    kept = Q.final_explicit(moved(line_mentions(spark, d), spark, d), cells)
-    rest = Q.final_implicit(explicit, kept, implicit, moved(line_evidence(spark, d), spark, d), cells)
-    final = Q.finalize_questions(questions.select("question_id", "table_context"), {"explicit": kept, "implicit": rest}, canonical(spark, d))
-    return cells, kept, rest, final
+    return PC.experiment_set(
+        I.cells(spark, d, lines), I.image_tags(spark, d, lines), questions.select("question_id", "table_context"),
+        questions.where("ex = 1"), questions.where("ex = 0"), line_mentions(spark, d), line_evidence(spark, d), canonical(spark, d), SEED, interleave=False,
+    )
 
 
 @query("q10_final_explicit", FINAL + " SELECT question_id FROM fe")
 def q10(spark, d):
-    return finals(spark, d)[1]
+    return finals(spark, d).explicit
 
 
 @query("q11_final_implicit", FINAL + " SELECT question_id FROM fi")
 def q11(spark, d):
-    return finals(spark, d)[2]
+    return finals(spark, d).implicit
 
 
 @query("q12_finalize_questions", FINAL + " SELECT question_id, table_context, question_type FROM final")
 def q12(spark, d):
-    return finals(spark, d)[3].select("question_id", "table_context", "question_type")
+    return finals(spark, d).questions.select("question_id", "table_context", "question_type")
 
 
 @query("q12_used_tables", FINAL + " SELECT table_id, count(*) AS cells FROM balanced WHERE table_id IN (SELECT table_context FROM final) GROUP BY table_id")
 def q12_tables(spark, d):
-    cells, _, _, final = finals(spark, d)
-    return Q.used_tables(cells, final).groupBy("table_id").agg(big(F.count(F.lit(1)), "cells"))
+    return finals(spark, d).tables().groupBy("table_id").agg(big(F.count(F.lit(1)), "cells"))
 
 
 @query("q13_table_images", FINAL + f"""
 SELECT DISTINCT table_id, unnest(regexp_extract_all(cell, {TAG})) AS tag FROM balanced WHERE table_id IN (SELECT table_context FROM final)""")
 def q13(spark, d):
-    cells, _, _, final = finals(spark, d)
-    return Q.table_images(Q.used_tables(cells, final))
+    return finals(spark, d).images()
 
 
 @query("q14_compact_mentions", FINAL + " SELECT question_id, table_context AS table_id, row_idx, col_idx FROM cm SEMI JOIN bpictured USING (table_context, row_idx, col_idx)")
 def q14(spark, d):
-    return Q.compact_mentions(line_mentions(spark, d), balanced(spark, d)[2], canonical(spark, d))
+    return finals(spark, d).mentions
 
 
 @query("q15_realign_mentions", LQ + f"""
@@ -417,6 +397,6 @@ def q26(spark, d):
 @query("q27_reconcile_counts", FINAL + """
 SELECT CAST(0 AS BIGINT) AS ord, 'questions' AS step, count(*) AS n FROM lq UNION ALL SELECT 1, 'explicit', count(*) FROM fe UNION ALL SELECT 2, 'implicit', count(*) FROM fi""")
 def q27(spark, d):
-    _, kept, rest, _ = finals(spark, d)
-    out = Q.reconcile_counts({"questions": line_questions(spark, d), "explicit": kept, "implicit": rest})
+    final = finals(spark, d)
+    out = Q.reconcile_counts({"questions": line_questions(spark, d), "explicit": final.explicit, "implicit": final.implicit})
     return out.select(big("ord"), "step", "n")

@@ -8,7 +8,7 @@ from gridmosaic.catalog import inputs as I
 from gridmosaic.catalog.registry import query, rounded
 from gridmosaic.operators import similarity as S
 
-# even documents look for a partner among the odd ones of the same source
+# documents of even scores (of ids) look for a partner among those of odd scores, in the same source
 SHINGLES_SQL = """
 WITH lines AS (SELECT doc_id, source, lower(unnest(string_split(text, chr(10)))) AS cell FROM documents)
 , toks AS (SELECT *, regexp_extract_all(cell, '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\s\\p{Z}]') AS t,
@@ -21,10 +21,10 @@ WITH lines AS (SELECT doc_id, source, lower(unnest(string_split(text, chr(10))))
 def best_sql(on: str, least: str) -> str:
     return f"""
 , pairs AS (SELECT l.table_id AS a, r.table_id AS b, count(*) AS common FROM shingles l JOIN shingles r ON l.shingle = r.shingle {on}
-   WHERE l.table_id % 2 = 0 AND r.table_id % 2 = 1 GROUP BY ALL)
+   WHERE l.table_id // 20 % 2 = 0 AND r.table_id // 20 % 2 = 1 GROUP BY ALL)
 , j AS (SELECT a, b, common / (x.n + y.n - common) AS s FROM pairs JOIN sizes x ON x.table_id = a JOIN sizes y ON y.table_id = b)
 , best AS (SELECT a, arg_max(b, (s, -b)) AS match_id, max(s) AS s FROM j {least} GROUP BY a)
-, found AS (SELECT table_id, match_id, round(coalesce(s, 0.0), 6) AS similarity FROM (SELECT DISTINCT table_id FROM shingles WHERE table_id % 2 = 0) t LEFT JOIN best ON a = table_id)"""
+, found AS (SELECT table_id, match_id, round(coalesce(s, 0.0), 6) AS similarity FROM (SELECT DISTINCT table_id FROM shingles WHERE table_id // 20 % 2 = 0) t LEFT JOIN best ON a = table_id)"""
 
 
 def lines(spark, d):
@@ -35,7 +35,8 @@ def lines(spark, d):
 
 def sides(spark, d):
     shingles = S.table_shingles(lines(spark, d), ("block", "table_id"))
-    return shingles.where(F.col("table_id") % 2 == 0), shingles.where(F.col("table_id") % 2 == 1)
+    odd = F.floor(F.col("table_id") / 20) % 2
+    return shingles.where(odd == 0), shingles.where(odd == 1)
 
 
 @query("m01_table_shingles", SHINGLES_SQL + " SELECT table_id, shingle FROM shingles")

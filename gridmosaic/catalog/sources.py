@@ -27,6 +27,20 @@ def s02(spark, d):
     return SF.explode_json_map(objects, "props", "bigint")
 
 
+@query("s03_delimited", "SELECT c_custkey, c_name AS title, c_mktsegment AS headers FROM customer")
+def s03(spark, d):
+    """Pipe-separated metadata lines with an index column without a name."""
+    line = F.concat_ws("|", F.col("c_custkey").cast("string"), F.col("c_custkey").cast("string"), "c_name", F.concat(F.lit('"'), "c_mktsegment", F.lit('"')))
+    lines = I.table(spark, d, "customer").select(line.alias("line"))
+    return SF.parse_delimited(lines, "line", "`Unnamed: 0` string, c_custkey bigint, title string, headers string", "|")
+
+
+@query("s07_record_lines", """
+SELECT concat('{"o_orderkey":', o_orderkey, ',"status":', CASE WHEN o_orderstatus = 'F' THEN 'null' ELSE concat('"', o_orderstatus, '"') END, '}') AS line FROM orders""")
+def s07(spark, d):
+    return SK.record_lines(I.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("status")))
+
+
 def linked_tables(spark, d):
     """Suppliers of a nation as source tables with links, one table per supplier."""
     k = F.col("s_suppkey").cast("string")

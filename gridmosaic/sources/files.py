@@ -51,6 +51,12 @@ def read_delimited(spark: SparkSession, path: str | list[str], sep: str = "\t",
     return df.select(*[c for c in df.columns if c and not c.startswith(("Unnamed", "_c"))])
 
 
+def parse_delimited(lines: DataFrame, col: str, schema: str, sep: str = "\t", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same for a column of delimited lines; columns named ``Unnamed...`` are dropped."""
+    rows = lines.select(*keep, F.from_csv(col, schema, {"sep": sep}).alias("r")).select(*keep, "r.*")
+    return rows.drop(*[c for c in rows.columns if c.startswith("Unnamed")])
+
+
 def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Landed pages: page_id, url, html."""
     return spark.read.parquet(*([path] if isinstance(path, str) else path)).select("page_id", "url", "html")

@@ -15,6 +15,11 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def record_lines(df: DataFrame, name: str = "line") -> DataFrame:
+    """Rows as the JSON texts that ``write_jsonl`` writes."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
+
+
 def write_json_map(df: DataFrame, key: str, value: str, path: str, mode: str = "errorifexists", limit: int = MAP_LIMIT) -> None:
     """One JSON object ``{key: value, ...}`` in one file, for small results.
 
