@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridmosaic.functions import tags as T
 from gridmosaic.operators.ranking import position_in_group
+from gridmosaic.session import reliable_checkpoint
 
 DATASET = "DRV"
 
@@ -22,6 +23,11 @@ LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quanti
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
+    """``table_rows`` written down once, for queries that read it several times."""
+    return reliable_checkpoint(table_rows(spark, d))
+
+
+def table_rows(spark: SparkSession, d: str) -> DataFrame:
     """One row per table row: a table per part, its lineitems as rows."""
     lines = position_in_group(
         table(spark, d, "lineitem"),
@@ -54,7 +60,7 @@ HEADERS = ("Supplier", "Nation", "Note", "Line")
 
 def cells(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
     """Cell relation of ``facts``; the header row rides on row 1 of its table."""
-    lines = facts(spark, d) if lines is None else lines
+    lines = table_rows(spark, d) if lines is None else lines
     two = F.col("n_nationkey") % 6 == 0
     body = [
         ("Supplier", F.col("s_name"), F.when(F.col("s_suppkey") % 10 != 0, _tag(0, 0)).otherwise(F.col("s_name"))),
@@ -100,7 +106,7 @@ cells AS (
 
 def image_tags(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
     """Attributes of every image tag of ``cells``."""
-    lines = facts(spark, d) if lines is None else lines
+    lines = table_rows(spark, d) if lines is None else lines
 
     def entry(when, col, n, path, original, qid, link):
         return F.when(when, F.struct(

@@ -116,19 +116,21 @@ def replace_tags(cells: DataFrame, replacements: DataFrame, out: str = "restored
     rebuilt from its own pieces, so the aggregation is as small as one cell.
     """
     cell = F.col("cell")
-    tagged = cells.where(T.is_image_cell(cell))
+    key = ["table_id", "row_idx", "col_idx"]
+    rest = [c for c in cells.columns if c not in key]
     plain = cells.where(~T.is_image_cell(cell) | cell.isNull()).withColumn(out, cell)
-    pieces = tagged.select(
-        "table_id", "row_idx", "col_idx",
-        F.posexplode(F.arrays_zip(F.split(cell, T.IMAGE_TAG).alias("before"), T.image_tags(cell).alias("tag"))).alias("pos", "piece"),
-    ).select("table_id", "row_idx", "col_idx", "pos", "piece.before", "piece.tag")
+    parts = F.arrays_zip(F.split(cell, T.IMAGE_TAG).alias("before"), T.image_tags(cell).alias("tag"))
+    # the other columns ride on the first piece only
+    pieces = cells.where(T.is_image_cell(cell)).select(*key, F.struct(*rest).alias("rest"), F.posexplode(parts).alias("pos", "piece")).select(
+        *key, F.when(F.col("pos") == 0, F.col("rest")).alias("rest"), "pos", "piece.before", "piece.tag"
+    )
     text = F.concat("before", F.coalesce("new_text", "tag", F.lit("")))
-    rebuilt = (
+    done = (
         pieces.join(replacements.select("tag", "new_text"), "tag", "left")
-        .groupBy("table_id", "row_idx", "col_idx")
-        .agg(F.array_join(ordered_texts(F.col("pos"), text), "").alias(out))
+        .groupBy(*key)
+        .agg(F.array_join(ordered_texts(F.col("pos"), text), "").alias(out), F.first("rest", ignorenulls=True).alias("rest"))
+        .select(*key, *[F.col(f"rest.{c}").alias(c) for c in rest], out)
     )
-    done = tagged.join(rebuilt, ["table_id", "row_idx", "col_idx"])
     return plain.unionByName(done)
 
 

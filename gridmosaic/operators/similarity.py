@@ -10,7 +10,7 @@ from gridmosaic.operators.ranking import position_in_group
 from gridmosaic.operators.scoring import ngrams, word_tokens
 from gridmosaic.session import reliable_checkpoint
 
-STAGES = (0.8, 0.4, 0.1, 0.0)
+STAGES = (0.8, 0.4, 0.0)
 GLUE = "\x01"
 
 
