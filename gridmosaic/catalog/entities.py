@@ -222,7 +222,7 @@ def e13_missing(spark, d):
 
 @query("e14_label_frequency", W + " SELECT category, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, category) AS rank FROM entity_category GROUP BY category")
 def e14(spark, d):
-    return E.label_frequency(I.entity_category(spark, d)).withColumn("rank", big("rank"))
+    return E.label_frequency(I.entity_category(spark, d))
 
 
 @query("e15_years", """

@@ -266,10 +266,10 @@ def q15(spark, d):
     return Q.realign_mentions(mentions.drop("table_context"), compact, cells, old_paths, attributes)
 
 
-@query("q16_length_histogram", LQ + " SELECT n AS length, count(*) AS n FROM (SELECT question_id, count(*) AS n FROM evidence GROUP BY question_id) GROUP BY length")
+@query("q16_length_histogram", "SELECT len(string_split(text, chr(10))) AS length, count(*) AS n FROM documents GROUP BY length")
 def q16(spark, d):
-    lists = line_evidence(spark, d).groupBy("question_id").agg(F.collect_list("row_idx").alias("rows"))
-    return Q.length_histogram(lists, "rows")
+    """Lines per document."""
+    return Q.length_histogram(I.table(spark, d, "documents").select(F.split("text", "\n").alias("lines")), "lines")
 
 
 @query("q17_check_dataset", LQ + f"""

@@ -200,15 +200,16 @@ def number_tags(tags: DataFrame) -> DataFrame:
     return _numbered(firsts).select("table_id", "tag", F.concat(F.lit("{ENTITY-"), "n", F.lit("}")).alias("entity"))
 
 
-def normalize_tags(tags: DataFrame, image_tags: DataFrame, prefix: int = 24) -> DataFrame:
+def normalize_tags(tags: DataFrame, image_tags: DataFrame) -> DataFrame:
     """Tags of one image share ``{ENTITY-n}``; n ranks the first-seen tags of
-    a table's images as strings. ``prefix`` is the bucket width of the rank."""
+    a table's images as strings."""
     placed = tag_paths(tags, image_tags)
     reps = placed.groupBy("table_id", "image_path").agg(F.min_by("tag", "place").alias("representative"))
     distinct = reps.select("table_id", "representative").distinct()
-    ranked = position_in_group(
-        distinct, ["table_id"], [F.col("representative")], F.substring("representative", 1, prefix), "n"
-    )
+    # a tag is its table's prefix and <row>-<col>-<n>; buckets are the first digits of the latter
+    tag, place = F.col("representative"), F.substring_index("representative", "-", -3)
+    bucket = F.concat(F.substring(tag, F.lit(1), F.length(tag) - F.length(place)), F.substring(place, 1, 4))
+    ranked = position_in_group(distinct, ["table_id"], [tag], bucket, "n")
     names = reps.join(ranked, ["table_id", "representative"]).select(
         "table_id", "image_path", "representative", F.concat(F.lit("{ENTITY-"), "n", F.lit("}")).alias("entity")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridmosaic.functions import links as L
+from gridmosaic.operators.ranking import global_position
 
 # Words in annotation remarks and in image names.
 SEAL_WORDS = ("logo", "flag", "seal", "coat", "coa")
@@ -142,7 +143,7 @@ def classify_images(
 def label_frequency(df: DataFrame, label: str = "category") -> DataFrame:
     """Rows per label, most frequent first, with the rank made explicit."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), label)))
+    return global_position(counts, [F.desc("n"), label], "rank")
 
 
 def cumulative_top(df: DataFrame, col: str, width: float, share: float = 0.8) -> DataFrame:
