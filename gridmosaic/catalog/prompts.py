@@ -9,6 +9,7 @@ from gridmosaic.catalog.cells import LINE, PATHS
 from gridmosaic.catalog.registry import query
 from gridmosaic.functions import answers as A, prompts as PF
 from gridmosaic.operators import cells as C, prompts as P
+from gridmosaic.plans import score as PS
 from gridmosaic.session import reliable_checkpoint
 
 TITLES_SQL = "titles AS (SELECT p_partkey AS table_id, p_name AS title, CASE WHEN p_size % 5 <> 0 THEN p_type END AS headers FROM part)"
@@ -81,9 +82,7 @@ OPEN = "chr(10), chr(10), 'Question: ', question, chr(10), 'Step 1: '"
 @query("p03_qa_prompts_tags", NAMED + qa_sql("lower", OPEN) + " SELECT question_id, CAST(0 AS BIGINT) AS part, prompt FROM prompts")
 def p03(spark, d):
     lines = I.facts(spark, d)
-    cells = I.cells(spark, d, lines)
-    names = C.normalize_tags(C.explode_tags(cells), I.image_tags(spark, d, lines))
-    return P.qa_prompts(I.questions(spark, d), C.table_string(C.entity_text(cells, names)), titles(spark, d))
+    return PS.tag_prompts(I.questions(spark, d), I.cells(spark, d, lines), I.image_tags(spark, d, lines), titles(spark, d))
 
 
 @query("p03_qa_prompts_original", ORIGINAL + qa_sql("upper", OPEN) + " SELECT question_id, CAST(0 AS BIGINT) AS part, prompt FROM prompts")

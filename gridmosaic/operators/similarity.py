@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridmosaic.operators.ranking import position_in_group
+from gridmosaic.operators.ranking import HOT_GROUP_ROWS, position_in_group
 from gridmosaic.operators.scoring import ngrams, word_tokens
 from gridmosaic.session import reliable_checkpoint
 
@@ -40,12 +40,13 @@ def signatures(shingles: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _side(shingles: DataFrame, block: Sequence[str], frequency: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Members (every table with its set) and the sets, one per distinct
     content, with their shingles numbered from rare to common."""
-    members = signatures(shingles, [*block, "table_id"]).withColumn("set_id", F.concat_ws("-", "n", "h1", "h2"))
+    members = reliable_checkpoint(signatures(shingles, [*block, "table_id"]).withColumn("set_id", F.concat_ws("-", "n", "h1", "h2")))
     firsts = members.groupBy(*block, "set_id").agg(F.min("table_id").alias("table_id"), F.first("n").alias("n"))
     rows = shingles.join(firsts, [*block, "table_id"]).join(frequency, [*block, "shingle"], "left")
     rows = rows.withColumn("frequency", F.coalesce("frequency", F.lit(0)))
     numbered = position_in_group(
-        rows, [*block, "set_id"], [F.col("frequency"), F.col("shingle")], F.col("frequency"), "pos"
+        rows, [*block, "set_id"], [F.col("frequency"), F.col("shingle")], F.col("frequency"), "pos",
+        hot_groups=firsts.where(F.col("n") > HOT_GROUP_ROWS),
     ).select(*block, F.col("set_id").alias(f"{name}_set"), F.col("n").alias(f"{name}_n"), "shingle", "pos")
     return members.select(*block, "table_id", "set_id"), reliable_checkpoint(numbered)
 

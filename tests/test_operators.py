@@ -55,6 +55,8 @@ def test_positions_do_not_depend_on_the_cut(spark, hot_rows):
     df = spark.createDataFrame(rows, "g int, v int").repartition(5)
     out = K.position_in_group(df, ["g"], [F.col("v")], F.floor(F.col("v") / 10), hot_rows=hot_rows).collect()
     assert {(r.g, r.v): r.position for r in out} == {(0, v): v + 1 for v in range(97)} | {(1, 3): 1, (1, 5): 2}
+    known = K.position_in_group(df, ["g"], [F.col("v")], F.col("v"), hot_groups=df.select("g").where("g > 5")).collect()
+    assert {(r.g, r.v): r.position for r in known} == {(r.g, r.v): r.position for r in out}
     placed = K.global_position(df, ["g", "v"]).collect()
     assert sorted((r.g, r.v) for r in placed) == [(r.g, r.v) for r in sorted(placed, key=lambda r: r.position)]
     assert sorted(r.position for r in placed) == list(range(1, 100))
