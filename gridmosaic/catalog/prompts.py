@@ -38,19 +38,19 @@ def p01(spark, d):
 
 @query("p02_table_titles", """
 WITH m AS (SELECT concat(c_custkey, '.csv') AS context_id, c_name AS title, CASE WHEN c_nationkey % 5 <> 0 THEN c_mktsegment END AS headers FROM customer)
-, t AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN concat('WTQ/', o_custkey, '.csv') ELSE concat('own-', o_orderkey) END AS table_id, o_custkey % 2 = 0 AS looked, o_orderstatus AS page_title, o_orderpriority AS section_title FROM orders)
-SELECT table_id, CASE WHEN looked THEN title ELSE page_title END AS title, CASE WHEN looked THEN headers ELSE section_title END AS headers FROM t LEFT JOIN m ON looked AND context_id = replace(table_id, 'WTQ/', '')""")
+, t AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN concat('SRC/', o_custkey, '.csv') ELSE concat('own-', o_orderkey) END AS table_id, o_custkey % 2 = 0 AS looked, o_orderstatus AS page_title, o_orderpriority AS section_title FROM orders)
+SELECT table_id, CASE WHEN looked THEN title ELSE page_title END AS title, CASE WHEN looked THEN headers ELSE section_title END AS headers FROM t LEFT JOIN m ON looked AND context_id = replace(table_id, 'SRC/', '')""")
 def p02(spark, d):
     even = F.col("o_custkey") % 2 == 0
     tables = I.table(spark, d, "orders").select(
-        F.when(even, F.concat(F.lit("WTQ/"), F.col("o_custkey").cast("string"), F.lit(".csv"))).otherwise(F.concat(F.lit("own-"), F.col("o_orderkey").cast("string"))).alias("table_id"),
+        F.when(even, F.concat(F.lit("SRC/"), F.col("o_custkey").cast("string"), F.lit(".csv"))).otherwise(F.concat(F.lit("own-"), F.col("o_orderkey").cast("string"))).alias("table_id"),
         F.when(even, "lookup").otherwise("own").alias("source"), F.col("o_orderstatus").alias("page_title"), F.col("o_orderpriority").alias("section_title"),
     )
     metadata = I.table(spark, d, "customer").select(
         F.concat(F.col("c_custkey").cast("string"), F.lit(".csv")).alias("context_id"), F.col("c_name").alias("title"),
         F.when(F.col("c_nationkey") % 5 != 0, F.col("c_mktsegment")).alias("headers"),
     )
-    return P.table_titles(tables, metadata, "WTQ/")
+    return P.table_titles(tables, metadata, "SRC/")
 
 
 def text_sql(col: str) -> str:
@@ -249,13 +249,13 @@ def p11(spark, d):
 
 
 PICTURES = """
-WITH q AS (SELECT o_orderkey AS question_id, concat('WTQ/csv/', o_custkey) AS table_context FROM orders)
-, m AS (SELECT question_id, table_context, concat(replace(table_context, '/', '_'), '.jpg') AS file_name, NOT EXISTS (SELECT 1 FROM customer WHERE concat('WTQ_csv_', c_custkey, '.jpg') = concat(replace(table_context, '/', '_'), '.jpg') AND c_nationkey % 3 <> 0) AS is_missing FROM q)"""
+WITH q AS (SELECT o_orderkey AS question_id, concat('SRC/csv/', o_custkey) AS table_context FROM orders)
+, m AS (SELECT question_id, table_context, concat(replace(table_context, '/', '_'), '.jpg') AS file_name, NOT EXISTS (SELECT 1 FROM customer WHERE concat('SRC_csv_', c_custkey, '.jpg') = concat(replace(table_context, '/', '_'), '.jpg') AND c_nationkey % 3 <> 0) AS is_missing FROM q)"""
 
 
 def _manifest(spark, d):
-    questions = I.table(spark, d, "orders").select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("WTQ/csv/"), F.col("o_custkey").cast("string")).alias("table_context"))
-    files = I.table(spark, d, "customer").where("c_nationkey % 3 <> 0").select(F.concat(F.lit("WTQ_csv_"), F.col("c_custkey").cast("string"), F.lit(".jpg")).alias("file_name"))
+    questions = I.table(spark, d, "orders").select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("SRC/csv/"), F.col("o_custkey").cast("string")).alias("table_context"))
+    files = I.table(spark, d, "customer").where("c_nationkey % 3 <> 0").select(F.concat(F.lit("SRC_csv_"), F.col("c_custkey").cast("string"), F.lit(".jpg")).alias("file_name"))
     return P.picture_manifest(questions, files)
 
 

@@ -172,6 +172,15 @@ def c10(spark, d):
     return TG.tag_cells_by_link(cells, cell_links, anchors, link_image, I.DATASET).select("table_id", "row_idx", "col_idx", "tagged")
 
 
+@query("c10_link_counts", UNTAGGED + """
+, r AS (SELECT DISTINCT table_id, row_idx, n_nationkey, hs, hn FROM o WHERE row_idx > 0)
+SELECT count(*) FILTER (WHERE hs) * 2 + count(*) FILTER (WHERE hn) AS links, count(*) FILTER (WHERE NOT hs) * 2 + count(*) FILTER (WHERE NOT hn) AS without_image,
+  count(*) FILTER (WHERE hs) + count(*) FILTER (WHERE hn) + count(*) FILTER (WHERE hs AND n_nationkey % 6 = 0) AS replaced FROM r""")
+def c10_counts(spark, d):
+    cells, cell_links, anchors, link_image = untagged(spark, d)
+    return TG.link_counts(TG.tag_cells_by_link(cells, cell_links, anchors, link_image, I.DATASET), cell_links, link_image)
+
+
 @query("c11_tag_by_text", UNTAGGED + """
 SELECT table_id, row_idx, col_idx, CASE WHEN row_idx = 0 OR NOT coalesce(hs, false) THEN original
   WHEN col_idx = 0 THEN concat('{IMG-{DRV-', table_id, '-', row_idx, '-0-0}}')

@@ -60,9 +60,7 @@ def anchors_by_text(anchors: DataFrame, keys: tuple[str, ...] = ("table_id",)) -
 
 
 def anchors_by_link(anchors: DataFrame, keys: tuple[str, ...] = ("table_id",)) -> DataFrame:
-    """Distinct texts per table and link, numbered longest first."""
-    # few texts share one link of one table, but nothing bounds them: the
-    # order key is emitted, and consumers take the first by it
+    """Distinct texts per table and link with their length, the order key."""
     return anchors_by_text(anchors, keys).select(*keys, "link", "text", "length")
 
 
