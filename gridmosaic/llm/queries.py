@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmosaic.llm import chat, lines, mixing, rules, urls
+from gridmosaic.llm import chat, contamination, lines, mixing, quality, rules, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,7 +132,7 @@ log AS (SELECT DISTINCT CASE WHEN event_type IN ('error', 'signup') THEN 'block'
 valid AS (SELECT list, key, changed AS since, coalesce(lead(changed) OVER (PARTITION BY list, key ORDER BY changed, added), TIMESTAMP '9999-01-01') AS until, added FROM log WHERE key IS NOT NULL),
 caps AS (SELECT page_id, url, host, path, make_timestamp((epoch_us(TIMESTAMP '2024-01-01') + ('0x' || substr(md5(url), 1, 8))::BIGINT % 2592000 * 1000000)::BIGINT) AS fetched_at FROM parts),
 keys AS (SELECT DISTINCT page_id, url, fetched_at, key FROM (SELECT page_id, url, fetched_at, 'address:' || host || path AS key FROM caps
-    UNION ALL SELECT page_id, url, fetched_at, 'domain:' || array_to_string(list_slice(string_split(host, '.'), i, NULL), '.') FROM (SELECT *, unnest(generate_series(1, len(string_split(host, '.')))) AS i FROM caps WHERE length(host) <= 253))),
+    UNION ALL SELECT page_id, url, fetched_at, 'domain:' || array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') FROM (SELECT *, unnest(generate_series(1, len(string_split(host, '.')))) AS i FROM caps WHERE length(host) <= 253))),
 hit AS (SELECT page_id, count(*) FILTER (list = 'block') AS nb, count(*) FILTER (list = 'allow') AS na, min(k.key) FILTER (list = 'block') AS be, min(k.key) FILTER (list = 'allow') AS ae
     FROM keys k JOIN valid v ON k.key = v.key AND added AND since <= fetched_at AND fetched_at < until AND since < until GROUP BY page_id)
 SELECT c.page_id, c.url, c.fetched_at::TIMESTAMPTZ AS fetched_at, coalesce(nb, 0)::BIGINT AS n_block, coalesce(na, 0)::BIGINT AS n_allow, coalesce(ae, be) AS entry, coalesce(nb, 0) = 0 OR coalesce(na, 0) > 0 AS kept
@@ -145,3 +146,28 @@ def op10_url_lists(spark, sf_dir):
     second = F.conv(F.substring(F.md5("url"), 1, 8), 16, 10).cast("long") % 2592000
     captures = table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_seconds(F.lit(1704067200) + second).alias("fetched_at"))
     return urls.filter_captures(captures, url_log(spark, sf_dir), bucket_days=1)
+
+
+@query("op1_quality_gam")
+def op1_quality_gam(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_WORDS5 = f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+CONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS5} AS w FROM documents),
+i AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS5} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - n + 1)) AS s FROM i)),
+dw AS (SELECT doc_id, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS g FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM iw))),
+m AS (SELECT doc_id, s, dw.n, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+
+@query("op5_phrase_index", CONTAMINATION_SQL)
+def op5_phrase_index(spark, sf_dir):
+    return contamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text")
