@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmosaic.llm import chat, contamination, lines, mixing, quality, rules, urls
+from gridmosaic.llm import chat, contamination, lines, mixing, ngrams, quality, rules, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,3 +171,8 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 @query("op5_phrase_index", CONTAMINATION_SQL)
 def op5_phrase_index(spark, sf_dir):
     return contamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text")
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark, sf_dir):
+    return ngrams.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
