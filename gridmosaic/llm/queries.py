@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmosaic.llm import chat, contamination, lines, mixing, ngrams, quality, rules, urls
+from gridmosaic.llm import chat, contamination, extraction, lines, mixing, ngrams, quality, rules, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +176,8 @@ def op5_phrase_index(spark, sf_dir):
 @query("op3_ngram_join")
 def op3_ngram_join(spark, sf_dir):
     return ngrams.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op4_main_text")
+def op4_main_text(spark, sf_dir):
+    return extraction.extract_main_text(table(spark, sf_dir, "pages"))
