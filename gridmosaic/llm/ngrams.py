@@ -10,32 +10,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridmosaic.llm.common import stage
 from gridmosaic.llm.components import components
+from gridmosaic.llm.hashing import BASE, BASE_INVERSE, FILTER_BITS, mix, passes_filter, powers, print_filter, slices
 
 N_WORDS = 5
 N_KEYS = 3  # grouping keys of a set
-FILTER_BITS = 1 << 23  # of the filter sent to the tasks: 1 MB
-SLICE_BYTES = 1 << 20  # text hashed at a time
 CHUNK_TOKENS = 1 << 20  # prefix tokens met before they leave a task
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
-def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A bijective scramble of 64-bit numbers (the splitmix64 finish)."""
-    x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def shingles_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of texts that lie one after another in `raw`: (text number, hash), sorted by both.
 
@@ -47,7 +30,7 @@ def shingles_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
         return none
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw).astype(np.uint64)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((low + np.uint64(1)) * _powers(BASE, len(raw) - 1))])
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((low + np.uint64(1)) * powers(BASE, len(raw) - 1))])
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[bounds] = True
     word = ~blank
@@ -55,7 +38,7 @@ def shingles_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     ends = np.flatnonzero(word & (edge[1:] | np.concatenate([blank[1:], [True]]))) + 1
     if not len(starts):
         return none
-    words = mix((sums[ends] - sums[starts]) * _powers(BASE_INVERSE, len(raw))[starts])
+    words = mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(raw))[starts])
     owner = np.searchsorted(bounds, starts, side="right") - 1
     n = np.bincount(owner, minlength=len(bounds) - 1)
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -80,22 +63,9 @@ def shingles_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return texts[new], hashes[new]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Row number of the first text, the bytes and the bounds of about `SLICE_BYTES` of texts at a time."""
-    texts = batch.column("text").cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset: texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
-    a = 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE_BYTES, side="right")) - 1)
-        yield a, raw[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]
-        a = b
-
-
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per slice: first row, rows, sizes, both halves of the set prints, places and hashes of the sets' members."""
-    for first, raw, bounds in _slices(batch):
+    for first, raw, bounds in slices(batch):
         rows = len(bounds) - 1
         texts, hashes = shingles_of(raw, bounds)
         n = np.bincount(texts, minlength=rows)
@@ -181,18 +151,13 @@ def meet_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
-def _bits(a: np.ndarray, seed: int, bits: int) -> np.ndarray:
-    return (mix(a.view(np.uint64), seed) % np.uint64(bits)).astype(np.int64)
-
-
 def full_sets(known: np.ndarray, bits: int):
     """A task that hashes texts again and gives the whole sets of those whose print passes the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows, n, prints, at, hashes in _sets(batch):
-                where = [_bits(prints[0], seed, bits) for seed in (11, 12)]
-                passed = (n > 0) & np.all([(known[w >> 3] >> (w & 7).astype(np.uint8)) & 1 for w in where], axis=0).astype(bool)
+                passed = (n > 0) & passes_filter(known, prints[0], bits)
                 chosen = np.flatnonzero(passed)
                 if not len(chosen):
                     continue
@@ -208,21 +173,6 @@ def full_sets(known: np.ndarray, bits: int):
     return run
 
 
-def print_filter(sets: DataFrame, bits: int) -> np.ndarray:
-    """A bit filter of the prints `a`, of a fixed size: it passes every member, and the more others the fuller it is."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a = batch.column("a").to_numpy()
-            at = np.concatenate([_bits(a, seed, bits) for seed in (11, 12)])
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 3), pa.array((1 << (at & 7)).astype(np.int32))], names=["w", "bit"])
-
-    rows = sets.select("a").mapInArrow(words, "w long, bit int").groupBy("w").agg(F.bit_or("bit").alias("bit")).toArrow()
-    known = np.zeros(bits >> 3, dtype=np.uint8)
-    known[rows.column("w").to_numpy()] = rows.column("bit").to_numpy()
-    return known
-
-
 def similar(inter: Column, n1: Column, n2: Column) -> Column:
     return 100 * inter >= 80 * (n1 + n2 - inter)
 

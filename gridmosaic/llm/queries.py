@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmosaic.llm import chat, contamination, extraction, lines, mixing, ngrams, quality, rules, urls
+from gridmosaic.llm import chat, contamination, extraction, lines, mixing, ngrams, quality, rules, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,3 +181,9 @@ def op3_ngram_join(spark, sf_dir):
 @query("op4_main_text")
 def op4_main_text(spark, sf_dir):
     return extraction.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op6_suffix_repeats")
+def op6_suffix_repeats(spark, sf_dir):
+    out = suffixes.drop_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
