@@ -101,10 +101,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_share: int = 2
     Returns doc_id, text, n_words, n_hit, n_items, items_sha256, contaminated.
     """
     docs = keyed(docs)
-    items = items_of(benchmark)
-    vocabulary = items.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("term")).distinct()
-    index = stage(postings(docs, vocabulary), "postings")
-    found = hits(docs, stage(phrase_candidates(index, items), "phrase-candidates"))
+    found = matched(docs, benchmark)
     counted = docs.select("doc_id", "text", "k1", "k2", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("n_words"))
     joined = counted.join(found, ["k1", "k2"], "left")
     n_hit, names = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
@@ -113,6 +110,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_share: int = 2
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((n_hit > 0) & (F.lit(min_share) * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_share: int = 20) -> DataFrame:
+    """Documents that are not contaminated, with all their columns. Cases as in `find_contamination`."""
+    docs = docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__k2": F.xxhash64("text")})
+    keys = keyed(docs)
+    found = matched(keys, benchmark)
+    sizes = keys.select("k1", "k2", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("n_words")).join(found, ["k1", "k2"]).distinct()
+    bad = stage(sizes.filter(F.lit(min_share) * F.col("n_hit") >= F.col("n_words")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), "contaminated")
+    return docs.join(bad, ["__k1", "__k2"], "left_anti").drop("__k1", "__k2")
+
+
+def matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Hit words and items of the documents (`keyed`) that have some: (k1, k2, n_hit, items)."""
+    items = items_of(benchmark)
+    vocabulary = items.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("term")).distinct()
+    index = stage(postings(docs, vocabulary), "postings")
+    return stage(hits(docs, stage(phrase_candidates(index, items), "phrase-candidates")), "hits")
+
+
 def proximity_matches(index: DataFrame, words: list[str], within: int) -> DataFrame:
     """Documents in which all words stand within `within` positions: (k1, k2, start), start being a place of the rarest word.
 
