@@ -45,7 +45,7 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
         return F.struct(piece.alias("piece"), loss.alias("loss"))
 
     def pieces(block: Column) -> Column:
-        role = F.regexp_replace(escape(block["role"]), ":(?= )", ":\\\\\\\\")
+        role = F.replace(escape(block["role"]), F.lit(COLON), F.lit(":\\ "))
         head = segment(F.concat(F.lit(HEAD), role, F.lit(COLON)), F.lit(False))
         learn = block["role"].isin(*loss_roles)
         body = F.transform(block["texts"], lambda x, i: F.array(segment(F.when(i == 0, "").otherwise(NEXT), F.lit(False)), segment(escape(x), learn)))
