@@ -79,13 +79,13 @@ def qa_sql(style: str, tail: str) -> str:
 OPEN = "chr(10), chr(10), 'Question: ', question, chr(10), 'Step 1: '"
 
 
-@query("p03_qa_prompts_tags", NAMED + qa_sql("lower", OPEN) + " SELECT question_id, CAST(0 AS BIGINT) AS part, prompt FROM prompts")
+@query("p03_qa_prompts_tags", NAMED + qa_sql("lower", OPEN) + " SELECT question_id, prompt FROM prompts")
 def p03(spark, d):
     lines = I.facts(spark, d)
     return PS.tag_prompts(I.questions(spark, d), I.cells(spark, d, lines), I.image_tags(spark, d, lines), titles(spark, d))
 
 
-@query("p03_qa_prompts_original", ORIGINAL + qa_sql("upper", OPEN) + " SELECT question_id, CAST(0 AS BIGINT) AS part, prompt FROM prompts")
+@query("p03_qa_prompts_original", ORIGINAL + qa_sql("upper", OPEN) + " SELECT question_id, prompt FROM prompts")
 def p03_original(spark, d):
     return P.qa_prompts(I.questions(spark, d), C.table_string(I.cells(spark, d), "original"), titles(spark, d), "upper")
 
@@ -98,7 +98,7 @@ def _answered(spark, d):
     return P.qa_prompts(questions, C.table_string(I.cells(spark, d), "original"), titles(spark, d), "lower", with_answer=True)
 
 
-@query("p03_qa_prompts_answered", ORIGINAL + qa_sql("lower", ANSWERED) + " SELECT question_id, CAST(0 AS BIGINT) AS part, prompt FROM prompts")
+@query("p03_qa_prompts_answered", ORIGINAL + qa_sql("lower", ANSWERED) + " SELECT question_id, prompt FROM prompts")
 def p03_answered(spark, d):
     return _answered(spark, d)
 
@@ -108,7 +108,7 @@ SHOTS = ", shots AS (SELECT question_id, row_number() OVER (ORDER BY md5(concat_
 
 @query("p03_with_examples", ORIGINAL + SHOTS + qa_sql("lower", ANSWERED) + f"""
 , ex AS (SELECT max(prompt) FILTER (WHERE ord = 1) AS e1, max(prompt) FILTER (WHERE ord = 2) AS e2 FROM prompts JOIN shots USING (question_id))
-SELECT question_id, CAST(0 AS BIGINT) AS part, concat('Read {{this}}:', chr(10), e1, chr(10), e2, chr(10), replace(prompt, concat('because', chr(10), 'Step 2: ', answer), '')) AS prompt FROM prompts JOIN questions USING (question_id), ex""")
+SELECT question_id, concat('Read {{this}}:', chr(10), e1, chr(10), e2, chr(10), replace(prompt, concat('because', chr(10), 'Step 2: ', answer), '')) AS prompt FROM prompts JOIN questions USING (question_id), ex""")
 def p03_examples(spark, d):
     texts = C.table_string(I.cells(spark, d), "original")
     questions = I.questions(spark, d)
@@ -148,7 +148,7 @@ def _block(spark, d):
     return cells, names, P.prediction_block(cells, names, said)
 
 
-@query("p05_prediction_block", I.TABLE_SQL + BLOCK + " SELECT table_id, CAST(0 AS BIGINT) AS chunk, entities FROM blocks")
+@query("p05_prediction_block", I.TABLE_SQL + BLOCK + " SELECT table_id, entities FROM blocks")
 def p05(spark, d):
     return _block(spark, d)[2]
 
@@ -182,11 +182,10 @@ def p06(spark, d):
 
 @query("p07_entity_prompts")
 def p07(spark, d):
-    """Many joined texts, for the tables within the usual bounds; tests check a
-    table by hand."""
+    """Many joined texts; tests check a table by hand."""
     lines = I.facts(spark, d)
     cells = I.cells(spark, d, lines)
-    cells = reliable_checkpoint(cells.join(C.valid_tables(cells), "table_id", "left_semi"))
+    cells = reliable_checkpoint(cells)
     attributes = I.image_tags(spark, d, lines)
     unified = reliable_checkpoint(C.unify_by_path(C.explode_tags(cells), attributes))
     out = P.entity_prompts(cells, unified, attributes, titles(spark, d))
@@ -197,7 +196,7 @@ def p07(spark, d):
 , lines AS (SELECT table_id, CAST(-1 AS BIGINT) AS row_idx, concat('0 | ', string_agg(concat(col_idx + 1, ' | '), '' ORDER BY col_idx)) AS line FROM cells WHERE row_idx = 0 GROUP BY table_id
   UNION ALL SELECT table_id, row_idx, concat(CASE WHEN row_idx = 0 THEN 'index' ELSE concat('', row_idx - 1) END, ' | ', string_agg(concat({LINE}, ' | '), '' ORDER BY col_idx)) FROM cells GROUP BY table_id, row_idx)
 , texts AS (SELECT table_id, string_agg(line, chr(10) ORDER BY row_idx) AS text FROM lines GROUP BY table_id)
-SELECT question_id, CAST(0 AS BIGINT) AS part, concat(chr(10), 'Question: ', question, chr(10), 'Table - ', chr(10), text, chr(10), ' Answer : ', answer, chr(10), 'Evidence: ') AS prompt FROM questions JOIN texts ON table_id = table_context""")
+SELECT question_id, concat(chr(10), 'Question: ', question, chr(10), 'Table - ', chr(10), text, chr(10), ' Answer : ', answer, chr(10), 'Evidence: ') AS prompt FROM questions JOIN texts ON table_id = table_context""")
 def p08(spark, d):
     return P.evidence_prompts(I.questions(spark, d), I.cells(spark, d))
 
@@ -280,13 +279,13 @@ def p13(spark, d):
 SELECT key, concat(question, gold, chr(10), 'Candidate: ', kind, chr(10)) AS prompt FROM responses ORDER BY key LIMIT 100""")
 def p14(spark, d):
     rows = I.responses(spark, d).withColumn("prediction", F.col("kind").cast("string"))
-    return P.judge_prompts(rows, "{question}{gold}\nCandidate: {prediction}\n")
+    return P.judge_prompts(rows, "{question}{gold}\nCandidate: {prediction}\n", limit=100)
 
 
 @query("p14_entity_match_prompts", "WITH" + I.RESPONSES_SQL + " SELECT key, concat('Answer 1: ', gold, chr(10), 'Answer 2: ', response, chr(10)) AS prompt FROM responses")
 def p14_match(spark, d):
     rows = I.responses(spark, d).withColumn("prediction", F.col("response"))
-    return P.judge_prompts(rows, "Answer 1: {gold}\nAnswer 2: {prediction}\n", limit=None)
+    return P.judge_prompts(rows, "Answer 1: {gold}\nAnswer 2: {prediction}\n")
 
 
 @query("p15_request_rows", """

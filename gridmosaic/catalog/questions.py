@@ -18,7 +18,7 @@ KEY = ["table_id", "row_idx", "col_idx"]
 # --- questions of conversations, for text detection, on tables of suppliers and nations
 
 QC = "WITH" + I.CELLS_SQL + "," + I.QUESTIONS_SQL + f"""
-, firsts AS (SELECT table_id, row_idx, lower(original) AS w, min(col_idx) AS col_idx, arg_min(cell, col_idx) AS cell FROM cells WHERE row_idx > 0 AND col_idx < 2 AND length(original) > 0 GROUP BY ALL)
+, firsts AS (SELECT table_id, row_idx, lower(original) AS w, min(col_idx) AS col_idx, arg_min(cell, col_idx) AS cell FROM cells WHERE row_idx > 0 AND length(original) > 0 GROUP BY ALL)
 , hits AS (SELECT question_id, table_context, w AS found_word, row_idx, col_idx, cell AS img_id FROM questions JOIN firsts ON table_context = table_id
    WHERE regexp_matches(cell, {TAG}) AND (contains(lower(question), w) OR contains(lower(answer), w)))
 , explicit AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY row_idx, col_idx) = 1)"""
@@ -26,13 +26,13 @@ QC = "WITH" + I.CELLS_SQL + "," + I.QUESTIONS_SQL + f"""
 
 @query("q01_explicit_questions", QC + " SELECT question_id, table_context, found_word, row_idx, col_idx, img_id FROM explicit")
 def q01(spark, d):
-    return Q.explicit_questions(I.questions(spark, d), I.cells(spark, d).where("col_idx < 2"))
+    return Q.explicit_questions(I.questions(spark, d), I.cells(spark, d))
 
 
 @query("q02_implicit_questions", QC + " SELECT question_id FROM questions ANTI JOIN explicit USING (question_id)")
 def q02(spark, d):
     questions = I.questions(spark, d)
-    return Q.implicit_questions(questions, Q.explicit_questions(questions, I.cells(spark, d).where("col_idx < 2"))).select("question_id")
+    return Q.implicit_questions(questions, Q.explicit_questions(questions, I.cells(spark, d))).select("question_id")
 
 
 # --- questions of line items: one per order and part, about the part's table
@@ -152,8 +152,8 @@ def q08_maybe(spark, d):
 
 # with tiers given: evidence and maybe cells in seeded order of their place
 REBALANCED = AVOID + f"""
-, ev AS (SELECT table_id, row_idx, col_idx, min(md5(concat_ws('|', '7', question_id))) AS k FROM evidence JOIN canon ON table_context = table_id AND table_id = canonical_id GROUP BY ALL)
-, mb AS (SELECT table_id, row_idx, col_idx, min(md5(concat_ws('|', '8', question_id))) AS k FROM maybe GROUP BY ALL)
+, ev AS (SELECT table_id, row_idx, col_idx, min(md5(concat_ws('|', '42', question_id))) AS k FROM (SELECT question_id, canonical_id AS table_id, row_idx, col_idx FROM evidence JOIN canon ON table_context = canon.table_id) GROUP BY ALL)
+, mb AS (SELECT table_id, row_idx, col_idx, min(md5(concat_ws('|', '42', question_id))) AS k FROM maybe GROUP BY ALL)
 , ccells AS (SELECT * FROM cells WHERE table_id IN (SELECT canonical_id FROM canon))
 , over AS (SELECT table_id, col_idx, ceil((images / n - 0.75) * n) AS need FROM (SELECT table_id, col_idx, count(*) FILTER (WHERE row_idx > 0 AND regexp_matches(cell, {TAG})) AS images FROM ccells GROUP BY ALL)
    JOIN (SELECT table_id, max(row_idx) AS n FROM ccells GROUP BY table_id) USING (table_id) WHERE images / n > 0.75)

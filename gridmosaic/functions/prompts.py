@@ -30,6 +30,8 @@ ONES = (
 )
 TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
 
+SCALES = ((10**9, "billion"), (10**6, "million"), (10**3, "thousand"))
+
 
 def fill(template: str, **values: Column) -> Column:
     """A template with ``{name}`` places filled by columns; other text is kept."""
@@ -45,11 +47,25 @@ def context_sentence(title: Column, headers: Column, style: str = "lower") -> Co
 
 
 def number_word(n: Column) -> Column:
-    """English words for 0 to 99; digits beyond."""
+    """English words of a whole number below a trillion, digits beyond:
+    hundreds and what follows are joined by ``and``, thousands by a comma."""
     ones, tens = F.array(*map(F.lit, ONES)), F.array(*map(F.lit, TENS))
-    ten = F.get(tens, (F.floor(n / 10) - 2).cast("int"))
-    rest = F.when(n % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("-"), F.get(ones, (n % 10).cast("int"))))
-    return F.when(n < 20, F.get(ones, n.cast("int"))).when(n < 100, F.concat(ten, rest)).otherwise(n.cast("string"))
+
+    def small(v: Column) -> Column:
+        ten = F.get(tens, (F.floor(v / 10) - 2).cast("int"))
+        rest = F.when(v % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("-"), F.get(ones, (v % 10).cast("int"))))
+        return F.when(v < 20, F.get(ones, v.cast("int"))).otherwise(F.concat(ten, rest))
+
+    def hundreds(v: Column) -> Column:
+        head = F.concat(F.get(ones, F.floor(v / 100).cast("int")), F.lit(" hundred"))
+        rest = F.when(v % 100 == 0, F.lit("")).otherwise(F.concat(F.lit(" and "), small(v % 100)))
+        return F.when(v < 100, small(v)).otherwise(F.concat(head, rest))
+
+    low = n % 1000
+    groups = [F.when(F.floor(n / size) % 1000 > 0, F.concat(hundreds(F.floor(n / size) % 1000), F.lit(f" {name}"))) for size, name in SCALES]
+    high = F.concat_ws(", ", *groups)
+    tail = F.when(low == 0, F.lit("")).when(low < 100, F.concat(F.lit(" and "), small(low))).otherwise(F.concat(F.lit(", "), hundreds(low)))
+    return F.when(n < 1000, hundreds(n)).when(n < 10**12, F.concat(high, tail)).otherwise(n.cast("string"))
 
 
 def double_braces(col: Column) -> Column:

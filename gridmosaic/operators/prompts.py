@@ -1,8 +1,8 @@
 """Prompt datasets.
 
-Instruction texts are the caller's: templates with ``{name}`` places. Prompts
-are about tables within the usual bounds; a table text of several chunks gives
-a prompt of several parts, to be read in order.
+Instruction texts are the caller's: templates with ``{name}`` places. A prompt
+is one row: the chunks of a table's text are put together before any template
+is filled.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from gridmosaic.operators.sampling import sample_n, seeded_order
 
 MISSING_LINE = A.MISSING_PREDICTION
 PASSAGE_HEAD = "Passage related to entity in "
-JUDGED = 100
+# Request format, table style, phrases of the prompts.
 REQUEST_METHOD, REQUEST_URL = "POST", "/v1/chat/completions"
 TABLE_STYLE = '<table style="border-collapse: collapse; border: 10px solid black;">'
 IMAGE_WIDTH = 90
@@ -48,15 +48,12 @@ def table_titles(tables: DataFrame, metadata: DataFrame, id_prefix: str, source:
     )
 
 
-def _parts(questions: DataFrame, texts: DataFrame, head: Column, tail: Column, keep: Sequence[str]) -> DataFrame:
-    """Questions joined to their table's text chunks; the head goes before the
-    first chunk and the tail after the last."""
-    last = texts.groupBy("table_id").agg(F.max("chunk").alias("__last"))
-    whole = texts.join(last, "table_id").select(F.col("table_id").alias("table_context"), "chunk", "__last", F.col("text").alias("__text"))
-    prompt = F.concat(
-        F.when(F.col("chunk") == 0, head).otherwise(F.lit("")), "__text", F.when(F.col("chunk") == F.col("__last"), tail).otherwise(F.lit(""))
+def _around(questions: DataFrame, texts: DataFrame, head: Column, tail: Column, keep: Sequence[str], glue: str = "") -> DataFrame:
+    """Head, the whole text of the question's table, tail: one row per question."""
+    whole = texts.groupBy(F.col("table_id").alias("table_context")).agg(
+        F.array_join(C.ordered_texts(F.col("chunk"), F.col("text")), glue).alias("__text")
     )
-    return questions.join(whole, "table_context").select(*keep, F.col("chunk").alias("part"), prompt.alias("prompt"))
+    return questions.join(whole, "table_context").select(*keep, F.concat(head, "__text", tail).alias("prompt"))
 
 
 def qa_prompts(questions: DataFrame, texts: DataFrame, titles: DataFrame, style: str = "lower", with_answer: bool = False, keep: Sequence[str] = ("question_id",)) -> DataFrame:
@@ -72,7 +69,7 @@ def qa_prompts(questions: DataFrame, texts: DataFrame, titles: DataFrame, style:
         values["entities"] = F.col("entities")
     if with_answer:
         values |= {"answer": F.col("answer")} | ({} if style == "captioning" else {"reason": F.col("reason")})
-    return _parts(named, texts, head, P.fill(P.QUESTION_TAILS[style][with_answer], **values), keep)
+    return _around(named, texts, head, P.fill(P.QUESTION_TAILS[style][with_answer], **values), keep)
 
 
 def few_shot(questions: DataFrame, ids: DataFrame | None = None, k: int | None = None, seed: int = 42) -> DataFrame:
@@ -86,14 +83,20 @@ def few_shot(questions: DataFrame, ids: DataFrame | None = None, k: int | None =
 def with_examples(prompts: DataFrame, examples: DataFrame, instructions: str, k: int) -> DataFrame:
     """Instructions with ``{example_1}`` ... ``{example_k}`` and ``{main_part}``.
 
-    ``examples``: ord (from 1), prompt; only the k named ones are read.
+    ``examples``: ord (from 1), prompt, one row each; the k named ones are read
+    in one pass.
     """
-    values = {f"example_{i}": examples.where(F.col("ord") == i).agg(F.max("prompt")).scalar() for i in range(1, k + 1)}
-    return prompts.withColumn("prompt", P.fill(instructions, main_part=F.col("prompt"), **values))
+    if not k:
+        return prompts.withColumn("prompt", P.fill(instructions, main_part=F.col("prompt")))
+    named = [F.max(F.when(F.col("ord") == i, F.col("prompt"))).alias(f"example_{i}") for i in range(1, k + 1)]
+    read = examples.where(F.col("ord").between(1, k)).agg(F.struct(*named).alias("e")).scalar()
+    values = {f"example_{i}": F.col("__e")[f"example_{i}"] for i in range(1, k + 1)}
+    filled = prompts.withColumn("__e", read).withColumn("prompt", P.fill(instructions, main_part=F.col("prompt"), **values))
+    return filled.drop("__e")
 
 
-def prediction_block(cells: DataFrame, names: DataFrame, predictions: DataFrame, rows_per_chunk: int = C.ROWS_PER_CHUNK) -> DataFrame:
-    """One line per tag of the table text, in order and with repeats:
+def prediction_block(cells: DataFrame, names: DataFrame, predictions: DataFrame) -> DataFrame:
+    """One row per table, one line per tag of its text, in order and with repeats:
     ``entity -> prediction``, or a fixed sentence without a usable one.
 
     ``names``: table_id, tag, entity. ``predictions``: tag, prediction.
@@ -105,8 +108,7 @@ def prediction_block(cells: DataFrame, names: DataFrame, predictions: DataFrame,
     usable = F.col("prediction").isNotNull() & ~F.contains(F.lower("prediction"), F.lit("error"))
     line = F.concat("entity", F.lit(" -> "), F.when(usable, F.col("prediction")).otherwise(F.lit(MISSING_LINE)), F.lit("\n"))
     return (
-        said.withColumn("chunk", F.floor(F.col("row_idx") / rows_per_chunk))
-        .groupBy("table_id", "chunk")
+        said.groupBy("table_id")
         .agg(F.array_join(C.ordered_texts(F.struct("row_idx", "col_idx", "tag_pos"), line), "").alias("entities"))
     )
 
@@ -137,8 +139,8 @@ def entity_prompts(cells: DataFrame, unified: DataFrame, image_tags: DataFrame,
     """One prompt per image key: up to two rows without an image in the column,
     every row that shares the cell, and the images in tag order.
 
-    ``cells`` are those of valid tables: a key's rows are at most a table.
-    ``passages``: key (the image key), passages.
+    A key's rows are at most a table. A key whose column has no row without an
+    image has no infobox before its own. ``passages``: key (the image key), passages.
     """
     named = C.entity_text(cells, unified.select("tag", "entity"))
     keys = C.image_keys(cells, unified)
@@ -170,20 +172,20 @@ def entity_prompts(cells: DataFrame, unified: DataFrame, image_tags: DataFrame,
     )
     headers = cells.where(F.col("row_idx") == 0).select("table_id", "col_idx", F.col("original").alias("column"))
     joined = (
-        rows.join(context, "image_key").join(tags, "image_key")
+        rows.join(context, "image_key", "left").join(tags, "image_key")
         .join(headers, ["table_id", "col_idx"]).join(titles.select("table_id", "title", "headers"), "table_id")
     )
     if passages is None:
         joined = joined.withColumn("passages", F.lit(""))
     else:
         joined = joined.join(passages.withColumnRenamed("key", "image_key"), "image_key", "left").withColumn("passages", F.coalesce("passages", F.lit("")))
-    first = F.when(F.col("infobox_2").isNotNull(), 3).otherwise(2)
+    first = F.when(F.col("infobox_2").isNotNull(), 3).when(F.col("infobox_1").isNotNull(), 2).otherwise(1)
     many = F.col("n") > 1
     total = P.number_word(F.col("n") + 2)
     prompt = P.fill(
         template,
         context=F.concat(F.coalesce("headers", F.lit("")), F.lit(" of "), "title"),
-        infobox_1=F.col("infobox_1"), infobox_2=F.coalesce("infobox_2", F.lit("")), passages=F.col("passages"),
+        infobox_1=F.coalesce("infobox_1", F.lit("")), infobox_2=F.coalesce("infobox_2", F.lit("")), passages=F.col("passages"),
         tags=F.col("tags"), column=F.col("column"), number=total, cell=F.col("cell_text"), rows=F.col("rows"),
         tables=F.when(many, F.concat(P.number_word(F.col("n")), F.lit(" tables"))).otherwise(F.lit("table")),
         same=F.when(many, F.lit(" (which is the same entry across all the table(s))")).otherwise(F.lit("")),
@@ -193,12 +195,12 @@ def entity_prompts(cells: DataFrame, unified: DataFrame, image_tags: DataFrame,
 
 
 def evidence_prompts(questions: DataFrame, cells: DataFrame, template: str = EVIDENCE_TEMPLATE) -> DataFrame:
-    """Question, numbered table text and answer; the table text may come in parts."""
+    """Question, numbered table text and answer."""
     before, after = template.split("{table}")
     lines = C.indexed_rows(cells).withColumn("chunk", F.floor(F.greatest("row_idx", F.lit(0)) / C.ROWS_PER_CHUNK))
     texts = lines.groupBy("table_id", "chunk").agg(F.array_join(C.ordered_texts(F.col("row_idx"), F.col("line")), "\n").alias("text"))
     values = {"question": F.col("question"), "answer": F.col("answer")}
-    return _parts(questions, texts, P.fill(before, **values), P.fill(after, **values), ("question_id",))
+    return _around(questions, texts, P.fill(before, **values), P.fill(after, **values), ("question_id",), "\n")
 
 
 def description_prompts(images: DataFrame, prompts: dict[str, str], base_paths: dict[str, str]) -> DataFrame:
@@ -267,9 +269,9 @@ def missing_pictures(manifest: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def judge_prompts(df: DataFrame, template: str, order: str = "key", limit: int | None = JUDGED) -> DataFrame:
-    """Judge prompts with the places question, gold and prediction; the
-    candidate form is made for the first ``limit`` rows only."""
+def judge_prompts(df: DataFrame, template: str, order: str = "key", limit: int | None = None) -> DataFrame:
+    """Judge prompts with the places question, gold and prediction, of all rows
+    or of the first ``limit``."""
     rows = df if limit is None else df.orderBy(order).limit(limit)
     return rows.select("key", P.fill(template, question=F.col("question"), gold=F.col("gold"), prediction=F.col("prediction")).alias("prompt"))
 

@@ -21,7 +21,7 @@ def tag_prompts(questions: DataFrame, cells: DataFrame, image_tags: DataFrame, t
 def captioned_prompts(questions: DataFrame, cells: DataFrame, tag_predictions: DataFrame, titles: DataFrame) -> DataFrame:
     """Questions on tables with the predicted entities listed below the table."""
     names = C.number_tags(C.explode_tags(cells))
-    blocks = P.prediction_block(cells, names, tag_predictions).where("chunk = 0").select(F.col("table_id").alias("table_context"), "entities")
+    blocks = P.prediction_block(cells, names, tag_predictions).select(F.col("table_id").alias("table_context"), "entities")
     listed = questions.join(blocks, "table_context", "left").withColumn("entities", F.coalesce("entities", F.lit("")))
     return P.qa_prompts(listed, C.table_string(C.entity_text(cells, names)), titles, "captioning")
 
