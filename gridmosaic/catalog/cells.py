@@ -10,7 +10,7 @@ from gridmosaic.functions import tags as T
 from gridmosaic.operators import cells as C
 
 W = I.TABLE_SQL
-CLEAN = "replace(replace(replace(replace(trim({c}, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), chr(10), ' '), chr(9), ' '), chr(13), ' '), '  ', ' ')"
+CLEAN = "replace(replace(replace(replace(regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), chr(10), ' '), chr(9), ' '), chr(13), ' '), '  ', ' ')"
 LINE = "replace(replace(replace(replace(replace(cell, chr(9), ' '), chr(10), ' '), '\\n', ' '), '\\t', ' '), '|', ' ')"
 TAG = "'\\{IMG-\\{.*?\\}\\}'"
 
@@ -97,7 +97,7 @@ def c08(spark, d):
 @query("c09_replace_bounded", """
 WITH t AS (SELECT doc_id, concat(' ', text, ' ') AS p FROM documents),
 r AS (SELECT doc_id, p, regexp_replace(p, '([^a-zA-Z0-9])the([^a-zA-Z0-9])', '\\1{IMG-{D}}\\2', 'gi') AS q FROM t)
-SELECT doc_id, trim(q, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS result, p = q AS is_unchanged FROM r""")
+SELECT doc_id, regexp_replace(q, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS result, p = q AS is_unchanged FROM r""")
 def c09(spark, d):
     r = T.replace_bounded(F.col("text"), F.lit("the"), F.lit("{IMG-{D}}"))
     return I.table(spark, d, "documents").select("doc_id", r.alias("r")).select("doc_id", "r.result", "r.is_unchanged")

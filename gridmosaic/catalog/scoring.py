@@ -234,10 +234,15 @@ def gram_sql(tokens_p: str, tokens_g: str, source: str, orders: int) -> str:
 , grams AS (SELECT key, n, gram, sum(is_p) AS in_p, sum(1 - is_p) AS in_g FROM ({' UNION ALL '.join(unions)}) GROUP BY ALL)"""
 
 
-BLEU_TOK = "regexp_extract_all({c}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s\\p{{Z}}]')"
+def bleu_tokens_sql(c: str) -> str:
+    text = f"replace(replace(replace(replace(replace(replace(replace({c}, '<skipped>', ''), concat('-', chr(10)), ''), chr(10), ' '), '&quot;', chr(34)), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
+    text = f"concat(' ', {text}, ' ')"
+    for pattern, put in (("([{-~\\[-` -&\\(-\\+:-@/])", " \\1 "), ("([^0-9])([\\.,])", "\\1 \\2 "), ("([\\.,])([^0-9])", " \\1 \\2"), ("([0-9])(-)", "\\1 \\2 ")):
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return f"list_filter(regexp_split_to_array({text}, '{WS}'), lambda x: x <> '')"
 
 
-@query("r13_corpus_bleu", W + answer_sql("loose") + gram_sql(BLEU_TOK.format(c="prediction"), BLEU_TOK.format(c="gold"), "answers", 4) + """
+@query("r13_corpus_bleu", W + answer_sql("loose") + gram_sql(bleu_tokens_sql("prediction"), bleu_tokens_sql("gold"), "answers", 4) + """
 , s AS (SELECT n, sum(least(in_p, in_g)) AS m, sum(in_p) AS t, sum(in_g) AS r FROM grams GROUP BY n)
 , w AS (SELECT CAST(max(m) FILTER (WHERE n = 1) AS BIGINT) AS match_1, CAST(max(m) FILTER (WHERE n = 2) AS BIGINT) AS match_2, CAST(max(m) FILTER (WHERE n = 3) AS BIGINT) AS match_3,
   CAST(max(m) FILTER (WHERE n = 4) AS BIGINT) AS match_4, CAST(max(t) FILTER (WHERE n = 1) AS BIGINT) AS total_1, CAST(max(t) FILTER (WHERE n = 2) AS BIGINT) AS total_2,
@@ -256,10 +261,16 @@ def r14(spark, d):
 
 @query("r14_rouge")
 def r14_all(spark, d):
-    """Adds ROUGE-L, which SQL cannot say; tests check it by brute force."""
+    """Adds ROUGE-L and Lsum, which SQL cannot say; tests check them by brute force."""
     return S.rouge(_answers(spark, d, "loose"))
 
 
+@query("r11_free_text")
+def r11_free_text(spark, d):
+    """BLEU and ROUGE of free-text answers; tests check them by hand."""
+    return S.free_text_scores(_answers(spark, d, "loose"))
+
+
 @query("r15_merge_runs", W + """
 SELECT key, CASE WHEN table_context % 3 = 0 THEN response WHEN table_context % 3 = 1 THEN concat('again ', response) ELSE '' END AS response FROM responses""")
 def r15(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from gridmosaic.functions.tags import substitute
+from gridmosaic.functions.tags import strip, substitute
 
 # Response markers and sentences.
 STEP_MARKERS = {"colon": "Step 2:", "plain": "Step 2", "loose": "Step 2"}
@@ -16,11 +16,6 @@ FENCES = ("```json\n", "\n```", "```JSON\n", "\n```", "```")
 MISSING_PREDICTION = "Couldn't predict entity for this tag"
 
 
-def strip(col: Column) -> Column:
-    """Strip white space, Unicode spaces included."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
-
-
 def clean_string(col: Column) -> Column:
     """The form in which answers are compared."""
     text = substitute(F.lower(strip(col)), [("\n", " "), ("\\n", " "), (",", ""), ("-", " "), (":", " ")])
@@ -37,12 +32,24 @@ def exact_match(prediction: Column, gold: Column) -> Column:
     return clean_string(prediction) == clean_string(gold)
 
 
+def number(col: Column) -> Column:
+    """A cleaned text as a number, or null. Signs, digits, a point, an exponent,
+    ``nan`` and ``inf`` are read; type suffixes such as ``5f`` are no numbers."""
+    plain = col.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?$")
+    named = F.when(col.rlike(r"^[+-]?nan$"), F.lit(float("nan"))).when(col.rlike(r"^\+?inf(?:inity)?$"), F.lit(float("inf"))).when(
+        col.rlike(r"^-inf(?:inity)?$"), F.lit(float("-inf")))
+    return F.when(plain, col.try_cast("double")).otherwise(named)
+
+
+def near_numbers(a: Column, b: Column, tol: float = 1e-6) -> Column:
+    """Both cleaned texts are numbers and closer than ``tol``."""
+    x, y = number(a), number(b)
+    return F.coalesce((F.abs(x - y) < tol) & ~F.isnan(x) & ~F.isnan(y), F.lit(False))
+
+
 def numeric_match(prediction: Column, gold: Column, tol: float = 1e-6) -> Column:
     """Equal strings, or both numbers and closer than ``tol``."""
-    p = clean_string(prediction).try_cast("double")
-    g = clean_string(gold).try_cast("double")
-    near = F.abs(p - g) < tol
-    return exact_match(prediction, gold) | F.coalesce(near & ~F.isnan(p) & ~F.isnan(g), F.lit(False))
+    return exact_match(prediction, gold) | near_numbers(clean_string(prediction), clean_string(gold), tol)
 
 
 def contains_match(prediction: Column, gold: Column) -> Column:

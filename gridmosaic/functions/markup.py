@@ -6,15 +6,34 @@ pattern here can backtrack over a page.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-from gridmosaic.functions.tags import substitute
+from html.entities import name2codepoint
 
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+from pyspark.sql import Column, functions as F
 
 
 def decode_entities(col: Column) -> Column:
-    return substitute(col, ENTITIES)
+    """Character references, named and numeric, to their characters; each ``&``
+    is looked at once, so what a reference gives is not decoded again."""
+    names = F.create_map(*[F.lit(x) for n, c in sorted(name2codepoint.items()) for x in (n, chr(c))])
+
+    def one(part: Column) -> Column:
+        digits = F.regexp_extract(part, r"^#(?:[xX]0*([0-9A-Fa-f]{1,6})|0*([0-9]{1,7}));?", 0)
+        hexed = F.regexp_extract(digits, r"^#[xX]([0-9A-Fa-f]+)", 1)
+        number = F.when(hexed != "", hexed).otherwise(F.conv(F.regexp_extract(digits, r"([0-9]+)", 1), 10, 16))
+        code = F.conv(number, 16, 10).cast("bigint")
+        is_char = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.conv(number, 16, 16), 8, "0")), "UTF-32")
+        name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        named = F.try_element_at(names, name)
+        return (
+            F.when((digits != "") & is_char, F.concat(char, F.substring(part, F.length(digits) + 1, F.length(part))))
+            .when(named.isNotNull(), F.concat(named, F.substring(part, F.length(name) + 2, F.length(part))))
+            .otherwise(F.concat(F.lit("&"), part))
+        )
+
+    parts = F.split(col, "&", -1)
+    decoded = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+    return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
 
 
 def chunks(html: Column, element: str) -> Column:
@@ -29,9 +48,11 @@ def until(col: Column, pattern: str) -> Column:
 
 
 def leaf_elements(html: Column, element: str) -> Column:
-    """Whole elements that hold no element of the same name."""
-    closed = F.filter(chunks(html, element), lambda c: c.rlike(rf"(?i)</{element}\b"))
-    return F.transform(closed, lambda c: F.concat(F.lit(f"<{element}"), until(c, rf"(?i)</{element}\b"), F.lit(f"</{element}>")))
+    """Whole elements that hold no element of the same name. A last one that is
+    not closed ends with the body; an earlier one holds the next."""
+    found = chunks(html, element)
+    leaves = F.filter(found, lambda c, i: c.rlike(rf"(?i)</{element}\b") | (i == F.size(found) - 1))
+    return F.transform(leaves, lambda c: F.concat(F.lit(f"<{element}"), until(c, rf"(?i)</{element}\b|</body\b|</html\b"), F.lit(f"</{element}>")))
 
 
 def data_cells(html: Column) -> Column:
@@ -44,9 +65,10 @@ def attributes_of(chunk: Column) -> Column:
 
 
 def attribute(text: Column, name: str) -> Column:
-    """Value of a double-quoted attribute, or null."""
-    value = F.regexp_extract(text, rf'(?i)(?:^|\s){name}="([^"]*)"', 1)
-    return F.when(text.rlike(rf'(?i)(?:^|\s){name}="'), decode_entities(value))
+    """Value of an attribute, in double, single or no quotes, or null."""
+    pattern = rf"""(?i)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*[F.regexp_extract(text, pattern, g) for g in (1, 2, 3)])
+    return F.when(text.rlike(pattern), decode_entities(value))
 
 
 def has_class(chunk: Column, name: str) -> Column:

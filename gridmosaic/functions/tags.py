@@ -39,10 +39,15 @@ def substitute(col: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, col)
 
 
+def strip(col: Column) -> Column:
+    """Strip white space, Unicode spaces included."""
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+
+
 def clean_cell(col: Column, lower: bool = False) -> Column:
     """Strip, breaks and tabs to spaces, then one pass of two spaces to one."""
     text = F.lower(col) if lower else col
-    return substitute(F.trim(text, F.lit(" \t\n\r\f\v")), [("\n", " "), ("\t", " "), ("\r", " "), ("  ", " ")])
+    return substitute(strip(text), [("\n", " "), ("\t", " "), ("\r", " "), ("  ", " ")])
 
 
 def cell_line_text(col: Column) -> Column:
@@ -83,7 +88,7 @@ def replace_bounded(col: Column, needle: Column, repl: Column) -> Column:
     pattern = F.concat(F.lit("(?iu)([^a-zA-Z0-9])"), quoted(needle), F.lit("([^a-zA-Z0-9])"))
     replaced = F.regexp_replace(padded, pattern, F.concat(F.lit("$1"), _group_safe(repl), F.lit("$2")))
     return F.struct(
-        F.trim(replaced, F.lit(" \t\n\r\f\v")).alias("result"),
+        strip(replaced).alias("result"),
         (replaced == padded).alias("is_unchanged"),
     )
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from gridmosaic.functions import answers as A
+from gridmosaic.functions.tags import substitute
 
+# How the published BLEU evaluation parts marks from words.
+BLEU_SPLITS = (
+    (r"([\{-~\[-` -&\(-\+:-@/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "),
+)
 WORD_OR_MARK = r"(?U)\w+|[^\w\s]"
 BLEU_ORDER = 4
 
@@ -28,8 +34,7 @@ def score_rows(df: DataFrame, prediction: str = "prediction", gold: str = "gold"
 
     exact = p == g
     if numeric:
-        a, b = p.try_cast("double"), g.try_cast("double")
-        exact = exact | F.coalesce((F.abs(a - b) < 1e-6) & ~F.isnan(a) & ~F.isnan(b), F.lit(False))
+        exact = exact | A.near_numbers(p, g)
     counts = F.struct(
         F.size(F.array_intersect(words(p), words(g))).cast("bigint").alias("tp"),
         F.size(F.array_except(words(p), words(g))).cast("bigint").alias("fp"),
@@ -128,36 +133,44 @@ def _glued(glue: str):
     return lambda a, b: F.concat(a, F.lit(glue), b)
 
 
-def _labelled(grams: Column, n: int) -> Column:
-    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+def gram_matches(orders: int):
+    """A column function of two token arrays: per order the clipped common
+    n-grams, then per order those of the first, then of the second."""
 
+    @pandas_udf(ArrayType(LongType()))
+    def count(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(a, b) -> list[int]:
+            common, in_a, in_b = [], [], []
+            for n in range(1, orders + 1):
+                p, g = (Counter(zip(*(t[k:] for k in range(n)))) for t in (list(a), list(b)))
+                common.append(sum((p & g).values()))
+                in_a.append(p.total())
+                in_b.append(g.total())
+            return common + in_a + in_b
 
-def gram_counts(df: DataFrame, key: str, prediction: Column, gold: Column, orders: Sequence[int]) -> DataFrame:
-    """Counts of each n-gram on both sides: one shuffle keyed by row and gram."""
-    base = df.select(F.col(key), prediction.alias("__p"), gold.alias("__g"))
-    parts = []
-    for side in ("__p", "__g"):
-        grams = F.flatten(F.array(*[_labelled(ngrams(F.col(side), n), n) for n in orders]))
-        parts.append(base.select(key, F.explode(grams).alias("g"), F.lit(int(side == "__p")).alias("is_p")).select(key, "g.n", "g.gram", "is_p"))
-    return (
-        parts[0].unionByName(parts[1])
-        .groupBy(key, "n", "gram")
-        .agg(F.sum("is_p").alias("in_p"), F.sum(1 - F.col("is_p")).alias("in_g"))
-    )
+        return pd.Series([one(a, b) for a, b in zip(left, right)])
+
+    return count
+
+
+def bleu_tokens(col: Column) -> Column:
+    """The tokens of the published BLEU evaluation: marks stand alone, but for
+    points and commas between digits, hyphens and apostrophes of words."""
+    text = substitute(col, [("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")])
+    text = F.concat(F.lit(" "), text, F.lit(" "))
+    for pattern, put in BLEU_SPLITS:
+        text = F.regexp_replace(text, pattern, put)
+    return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
 
 
 def corpus_bleu(df: DataFrame, key: str = "key", prediction: str = "prediction", gold: str = "gold") -> DataFrame:
-    """Corpus BLEU with one reference per row and exponential smoothing.
+    """Corpus BLEU with one reference per row and exponential smoothing; 0
+    without any match. Counted inside the rows, then summed.
 
     One row: clipped matches and totals per order, lengths, and the score."""
-    grams = gram_counts(df, key, word_tokens(F.col(prediction)), word_tokens(F.col(gold)), range(1, BLEU_ORDER + 1))
-    match, total = [], []
-    for n in range(1, BLEU_ORDER + 1):
-        here = F.col("n") == n
-        match.append(F.coalesce(F.sum(F.when(here, F.least("in_p", "in_g"))), F.lit(0)).alias(f"match_{n}"))
-        total.append(F.coalesce(F.sum(F.when(here, F.col("in_p"))), F.lit(0)).alias(f"total_{n}"))
-    ref_len = F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("in_g"))), F.lit(0)).alias("gold_length")
-    sums = grams.agg(*match, *total, ref_len)
+    counts = df.select(gram_matches(BLEU_ORDER)(bleu_tokens(F.col(prediction)), bleu_tokens(F.col(gold))).alias("c"))
+    names = [f"match_{n}" for n in range(1, BLEU_ORDER + 1)] + [f"total_{n}" for n in range(1, BLEU_ORDER + 1)] + ["gold_length"]
+    sums = counts.agg(*[F.coalesce(F.sum(F.col("c")[i]), F.lit(0)).alias(name) for i, name in enumerate(names)])
     logs, halvings = F.lit(0.0), F.lit(0)
     for n in range(1, BLEU_ORDER + 1):
         m, t = F.col(f"match_{n}").cast("double"), F.col(f"total_{n}").cast("double")
@@ -165,20 +178,19 @@ def corpus_bleu(df: DataFrame, key: str = "key", prediction: str = "prediction",
         logs = logs + F.log(F.when(m > 0, m / t).when(t > 0, 1.0 / (F.pow(F.lit(2.0), halvings) * t)))
     length = F.col("total_1").cast("double")
     penalty = F.when(length >= F.col("gold_length"), F.lit(1.0)).otherwise(F.exp(1 - F.col("gold_length") / length))
-    return sums.withColumn("bleu", F.round(F.coalesce(100 * penalty * F.exp(logs / BLEU_ORDER), F.lit(0.0)), 6))
+    score = F.when(F.col("match_1") > 0, 100 * penalty * F.exp(logs / BLEU_ORDER))
+    return sums.withColumn("bleu", F.round(F.coalesce(score, F.lit(0.0)), 6))
 
 
 def rouge_n_rows(df: DataFrame, key: str = "key", prediction: str = "prediction", gold: str = "gold") -> DataFrame:
     """ROUGE-1 and ROUGE-2 F of each row."""
-    grams = gram_counts(df, key, rouge_tokens(F.col(prediction)), rouge_tokens(F.col(gold)), (1, 2))
+    counted = df.select(key, gram_matches(2)(rouge_tokens(F.col(prediction)), rouge_tokens(F.col(gold))).alias("c"))
 
     def f(n: int) -> Column:
-        here = F.col("n") == n
-        hit = F.sum(F.when(here, F.least("in_p", "in_g"))).cast("double")
-        both = F.sum(F.when(here, F.col("in_p") + F.col("in_g")))
-        return F.coalesce(2 * hit / both, F.lit(0.0)).alias(f"rouge{n}")
+        both = F.col("c")[n + 1] + F.col("c")[n + 3]
+        return F.when(both > 0, 2 * F.col("c")[n - 1].cast("double") / both).otherwise(F.lit(0.0)).alias(f"rouge{n}")
 
-    return df.select(key).join(grams.groupBy(key).agg(f(1), f(2)), key, "left").fillna(0.0, ["rouge1", "rouge2"])
+    return counted.select(key, f(1), f(2))
 
 
 @pandas_udf(LongType())
@@ -210,9 +222,61 @@ def rouge_l_rows(df: DataFrame, key: str = "key", prediction: str = "prediction"
     )
 
 
+@pandas_udf(LongType())
+def summary_hits(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Tokens of the gold lines that lie on a longest common subsequence with
+    any line of the prediction, each token as often as both texts have it."""
+
+    def on_path(gold: list[str], line: list[str]) -> set[int]:
+        table = [[0] * (len(line) + 1) for _ in range(len(gold) + 1)]
+        for i, g in enumerate(gold):
+            for j, p in enumerate(line):
+                table[i + 1][j + 1] = table[i][j] + 1 if g == p else max(table[i][j + 1], table[i + 1][j])
+        found, i, j = set(), len(gold), len(line)
+        while i and j:
+            if gold[i - 1] == line[j - 1]:
+                i, j = i - 1, j - 1
+                found.add(i)
+            elif table[i][j - 1] > table[i - 1][j]:
+                j -= 1
+            else:
+                i -= 1
+        return found
+
+    def one(a, b) -> int:
+        lines, golds = [list(x) for x in a], [list(x) for x in b]
+        free_p, free_g, hits = Counter(t for x in lines for t in x), Counter(t for x in golds for t in x), 0
+        for gold in golds:
+            for i in sorted(set().union(*(on_path(gold, line) for line in lines))):
+                if free_p[gold[i]] > 0 and free_g[gold[i]] > 0:
+                    free_p[gold[i]] -= 1
+                    free_g[gold[i]] -= 1
+                    hits += 1
+        return hits
+
+    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="int64")
+
+
+def rouge_lsum_rows(df: DataFrame, key: str = "key", prediction: str = "prediction", gold: str = "gold") -> DataFrame:
+    """ROUGE-Lsum F of each row: lines are the sentences."""
+    p, g = (F.transform(F.split(F.col(c), "\n"), rouge_tokens) for c in (prediction, gold))
+    base = df.select(key, p.alias("__p"), g.alias("__g"))
+    both = F.size(F.flatten("__p")) + F.size(F.flatten("__g"))
+    return base.select(key, F.when(both == 0, F.lit(0.0)).otherwise(2.0 * summary_hits("__p", "__g") / both).alias("rougeLsum"))
+
+
 def rouge(df: DataFrame, key: str = "key", prediction: str = "prediction", gold: str = "gold") -> DataFrame:
-    """Mean ROUGE-1, ROUGE-2 and ROUGE-L F."""
+    """Mean ROUGE-1, ROUGE-2, ROUGE-L and ROUGE-Lsum F."""
     n = rouge_n_rows(df, key, prediction, gold)
-    return n.join(rouge_l_rows(df, key, prediction, gold), key).agg(
-        *[F.round(F.avg(c), 6).alias(c) for c in ("rouge1", "rouge2", "rougeL")]
+    return n.join(rouge_l_rows(df, key, prediction, gold), key).join(rouge_lsum_rows(df, key, prediction, gold), key).agg(
+        *[F.round(F.avg(c), 6).alias(c) for c in ("rouge1", "rouge2", "rougeL", "rougeLsum")]
     )
+
+
+def free_text_scores(responses: DataFrame, prediction: str = "prediction", gold: str = "gold") -> DataFrame:
+    """BLEU and ROUGE of free-text answers in one row; a response that speaks of
+    an error, in any case, counts as empty. ``responses``: key and both texts."""
+    said = F.coalesce(F.col(prediction), F.lit(""))
+    kept = responses.select("key", F.when(F.contains(F.lower(said), F.lit("error")), "").otherwise(said).alias("prediction"), F.col(gold).alias("gold"))
+    bleu = corpus_bleu(kept).select("bleu")
+    return rouge(kept).withColumn("bleu", bleu.scalar())
