@@ -71,7 +71,7 @@ def canonical_tables(cells: DataFrame) -> DataFrame:
     prints = cells.groupBy("table_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64(*where)).alias("h1"),
-        F.bit_xor(F.xxhash64(*where, F.lit(1))).alias("h2"),
+        F.bit_xor(F.xxhash64(F.lit(1), *where)).alias("h2"),
     )
     firsts = prints.groupBy("n", "h1", "h2").agg(F.min("table_id").alias("canonical_id"))
     return prints.join(firsts, ["n", "h1", "h2"]).select("table_id", "canonical_id")

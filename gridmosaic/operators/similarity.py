@@ -33,7 +33,7 @@ def signatures(shingles: DataFrame, keys: Sequence[str]) -> DataFrame:
     return shingles.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("shingle")).alias("h1"),
-        F.bit_xor(F.xxhash64("shingle", F.lit(1))).alias("h2"),
+        F.bit_xor(F.xxhash64(F.lit(1), "shingle")).alias("h2"),
     )
 
 

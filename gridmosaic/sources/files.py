@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,12 +34,19 @@ def parse_last(rows: DataFrame, key: str, order: str = "__at") -> DataFrame:
 def read_json_map(spark: SparkSession, path: str | list[str], value_type: str = "string") -> DataFrame:
     """Files that hold one JSON object each, as (key, value) rows.
 
-    One object is one task; turn large ones into Parquet once.
+    One object is one task; ``read_map_lines`` reads large ones.
     """
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", f"map<string,{value_type}>")).alias("key", "value"))
 
 
+def read_map_lines(spark: SparkSession, path: str | list[str], value_type: str = "string") -> DataFrame:
+    """Files of ``write_json_map``: one entry per line, so any size is split."""
+    entry = F.regexp_replace("value", r"^\s*,|,\s*$", "")
+    lines = spark.read.text(path).where(~F.trim("value").isin("{", "}"))
+    return lines.select(F.explode(F.from_json(F.concat(F.lit("{"), entry, F.lit("}")), f"map<string,{value_type}>")).alias("key", "value"))
+
+
 def explode_json_map(df: DataFrame, col: str, value_type: str = "string") -> DataFrame:
     """The same for a column of JSON objects."""
     return df.select(F.explode(F.from_json(col, f"map<string,{value_type}>")).alias("key", "value"))
@@ -48,7 +56,9 @@ def read_delimited(spark: SparkSession, path: str | list[str], sep: str = "\t",
     """Delimited text with a header; index columns without a name are dropped."""
     reader = spark.read.option("header", True).option("sep", sep).option("multiLine", False)
     df = (reader.schema(schema) if schema else reader).csv(path)
-    return df.select(*[c for c in df.columns if c and not c.startswith(("Unnamed", "_c"))])
+    # an empty header field gets the name _c and its place
+    named = [c for i, c in enumerate(df.columns) if c != f"_c{i}" and not re.fullmatch(r"Unnamed: \d+", c)]
+    return df.select(*[f"`{c}`" for c in named])
 
 
 def parse_delimited(lines: DataFrame, col: str, schema: str, sep: str = "\t", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from gridmosaic.operators.ranking import global_position
 
 REQUESTS_PER_FILE = 100
-MAP_LIMIT = 1_000_000
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -20,15 +19,20 @@ def record_lines(df: DataFrame, name: str = "line") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
 
 
-def write_json_map(df: DataFrame, key: str, value: str, path: str, mode: str = "errorifexists", limit: int = MAP_LIMIT) -> None:
-    """One JSON object ``{key: value, ...}`` in one file, for small results.
+def write_json_map(df: DataFrame, key: str, value: str, path: str, mode: str = "errorifexists") -> None:
+    """One JSON object ``{key: value, ...}``, an entry per line in key order.
 
-    A single object is a single value, so larger inputs are refused: write
-    those with ``write_jsonl``.
+    The lines are sorted by range, so a large object is several files, which
+    give the object one after another. Keys are strings and unique.
     """
-    if not df.offset(limit).isEmpty():
-        raise ValueError(f"more than {limit} entries: write JSON lines instead")
-    df.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, value)))).alias("value")).write.mode(mode).text(path)
+    entry = F.to_json(F.create_map(F.col(key).cast("string"), F.col(value)), {"ignoreNullFields": "false"})
+    rows = df.select(F.lit(1).alias("at"), F.col(key).cast("string").alias("k"), F.substring(entry, F.lit(2), F.length(entry) - 2).alias("value"))
+    first = rows.agg(F.min("k")).scalar()
+    rows = rows.withColumn("value", F.concat(F.when(F.col("k") == first, "").otherwise(","), "value"))
+    frame = df.sparkSession.range(2).select(
+        F.when(F.col("id") == 0, 0).otherwise(2).alias("at"), F.lit("").alias("k"), F.when(F.col("id") == 0, "{").otherwise("}").alias("value")
+    )
+    rows.unionByName(frame).orderBy("at", "k").select("value").write.mode(mode).text(path)
 
 
 def chunk_requests(df: DataFrame, order_col: str, size: int = REQUESTS_PER_FILE) -> DataFrame:
@@ -37,9 +41,10 @@ def chunk_requests(df: DataFrame, order_col: str, size: int = REQUESTS_PER_FILE)
     return placed.withColumn("chunk", F.floor((F.col("__place") - 1) / size)).drop("__place")
 
 
-def write_chunks(df: DataFrame, path: str, line: str = "request", mode: str = "errorifexists") -> None:
-    """Chunked request lines, one folder with one file per chunk."""
-    df.select(F.col(line).alias("value"), "chunk").repartition("chunk").write.mode(mode).partitionBy("chunk").text(path)
+def write_chunks(df: DataFrame, path: str, line: str = "request", mode: str = "errorifexists", order: tuple[str, ...] = ()) -> None:
+    """Chunked request lines in order, one folder with one file per chunk; ``order`` sorts the lines of a chunk."""
+    rows = df.repartition("chunk").sortWithinPartitions("chunk", *order)
+    rows.select(F.col(line).alias("value"), "chunk").write.mode(mode).partitionBy("chunk").text(path)
 
 
 def frontier(inputs: DataFrame, done: DataFrame, key: str, value: str = "value") -> DataFrame:

@@ -24,8 +24,11 @@ def test_json_map_both_ways(spark, tmp_path):
     df = spark.createDataFrame([("a", "1"), ("b", None)], "k string, v string")
     SK.write_json_map(df, "k", "v", str(tmp_path / "m"))
     assert sorted(SF.read_json_map(spark, str(tmp_path / "m")).collect()) == [("a", "1"), ("b", None)]
-    with pytest.raises(ValueError):
-        SK.write_json_map(df, "k", "v", str(tmp_path / "n"), limit=1)
+    many = spark.range(5000).select(F.format_string("k%05d", "id").alias("k"), F.concat(F.lit("{,}\n"), F.col("id").cast("string")).alias("v"))
+    SK.write_json_map(many.repartition(7), "k", "v", str(tmp_path / "n"))
+    whole = json.loads("".join(p.read_text() for p in sorted((tmp_path / "n").glob("part-*"))))
+    assert len(whole) == 5000 and whole["k00042"] == "{,}\n42"
+    assert dict(map(tuple, SF.read_map_lines(spark, str(tmp_path / "n")).collect())) == whole
 
 
 def test_jsonl_sink_keeps_nulls(spark, tmp_path):
@@ -39,6 +42,8 @@ def test_delimited_drops_index_columns(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("Unnamed: 0\tid\ttitle\n0\t7\tx y\n")
     out = SF.read_delimited(spark, str(tmp_path / "t.tsv"))
     assert out.columns == ["id", "title"] and out.first().title == "x y"
+    (tmp_path / "u.tsv").write_text("\tid\t_country\n0\t7\tFR\n")
+    assert SF.read_delimited(spark, str(tmp_path / "u.tsv")).columns == ["id", "_country"]
 
 
 def test_images_and_request_files(spark, tmp_path):
@@ -49,10 +54,13 @@ def test_images_and_request_files(spark, tmp_path):
     sent = P.request_rows(SF.attach_base64(rows, "path", images), "m")
     chunks = SK.chunk_requests(sent, "key")
     assert {r.chunk: r["count"] for r in chunks.groupBy("chunk").count().collect()} == {0: 100, 1: 100, 2: 5}
-    SK.write_chunks(chunks, str(tmp_path / "out"))
+    SK.write_chunks(chunks, str(tmp_path / "out"), order=("key",))
     files = list((tmp_path / "out").glob("chunk=*/part-*"))
     assert len(files) == 3
     first = {json.loads(line)["custom_id"]: json.loads(line) for f in files for line in f.read_text().splitlines()}
+    for f in files:
+        keys = [json.loads(line)["custom_id"] for line in f.read_text().splitlines()]
+        assert keys == sorted(keys)
     content = first[1]["body"]["messages"][0]["content"]
     assert content[1]["image_url"]["url"] == "data:image/jpeg;base64," + base64.b64encode(b"\xff\x00x").decode()
     assert len(first[0]["body"]["messages"][0]["content"]) == 1 and len(first) == 205
