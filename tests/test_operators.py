@@ -7,7 +7,7 @@ from pyspark.sql import Row, functions as F
 
 from gridmosaic.functions import tags as T
 from gridmosaic.operators import cells as C, entities as E, interleave as N, pages as PG, prompts as P, questions as Q, ranking as K, responses as R, sampling as SA, scoring as S, similarity as M, tagging as TG
-from gridmosaic.operators.containment import contained_texts
+from gridmosaic.operators.containment import bounded_candidates, contained_texts
 
 CELLS = "table_id bigint, row_idx bigint, col_idx bigint, header string, original string, cell string"
 
@@ -127,6 +127,22 @@ def test_contained_texts(spark, at_boundaries):
     assert got == {(i, n) for i, t in enumerate(texts) for n in needles if inside(n, t)}
 
 
+def test_bounded_candidates_hold_all_bounded_texts(spark):
+    rng = random.Random(7)
+    letters = "ab1 .(é"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(60)]
+    needles = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(60)})
+    hay = spark.createDataFrame([(1, i, t.upper()) for i, t in enumerate(texts)], "b int, k int, t string")
+    nee = spark.createDataFrame([(1, n) for n in needles], "b int, n string")
+    got = {(r.k, r.needle) for r in bounded_candidates(hay, nee, "b", ("k",), "t", "n").collect()}
+
+    def free(text, i):
+        return not (0 <= i < len(text)) or text[i] not in "ab1"
+
+    want = {(i, n) for i, t in enumerate(texts) for n in needles for s in range(len(t)) if t.startswith(n, s) and free(t, s - 1) and free(t, s + len(n))}
+    assert want <= got and all(n[:1] in texts[i] for i, n in got)
+
+
 def test_tag_by_text(spark):
     body = [["Club", "Notes"], ["Red Star Oslo (Red Star)", "Red Star"], ["star oslo, Bergen", "x"], ["Turku  Turku", "y"]]
     cells = grid(spark, body)
