@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from gridmosaic.llm.common import stage
 
 WINDOW = 13
+TERM = 3  # words of an index term, fewer for shorter items
 # Runs of digits, letters and characters beyond ASCII; A-Z are lowered word by word.
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -23,8 +24,10 @@ def lowered(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def term(word: Column) -> Column:
-    return F.xxhash64(lowered(word))
+def grams(words: Column, n: int) -> Column:
+    """Hashes of the runs of n words, by place."""
+    at = F.sequence(F.lit(0), F.size(words) - n)
+    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.xxhash64(F.lit(n), *[F.get(words, i + k) for k in range(n)])))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -33,18 +36,31 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """Distinct items with words: item (id as text, empty for null), words, span (words of a window)."""
+    """Distinct items with words: item (id as text, empty for null), words, span (words of a window), n (words of a term)."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.transform(tokens(F.col("text")), lowered).alias("words")).distinct()
-    return items.filter(F.size("words") > 0).withColumn("span", F.least(F.lit(WINDOW), F.size("words")))
+    return items.filter(F.size("words") > 0).withColumn("span", F.least(F.lit(WINDOW), F.size("words"))).withColumn("n", F.least(F.lit(TERM), F.size("words")))
 
 
-def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The index: one row (term, k1, k2, pos) per word of a document that is in the vocabulary.
+def item_terms(items: DataFrame) -> DataFrame:
+    """The terms of items by place: item, words, span, n, at, term."""
+    listed = F.lit(None).cast("array<bigint>")
+    for n in range(1, TERM + 1):
+        listed = F.when(F.col("n") == n, grams(F.col("words"), n)).otherwise(listed)
+    return items.select("item", "words", "span", "n", F.posexplode(listed).alias("at", "term"))
 
-    Terms are 64-bit hashes, so equal hashes can only add candidates, which are compared word by word at the end.
+
+def postings(docs: DataFrame, vocabulary: DataFrame, lengths: list[int]) -> DataFrame:
+    """The index: one row (term, k1, k2, pos) per place of a document at which a term of the vocabulary starts.
+
+    A term is a run of 1 to 3 words, `lengths` those of the vocabulary, as a 64-bit hash: equal hashes can only add
+    candidates, which are compared word by word at the end.
     """
-    words = docs.select("k1", "k2", F.posexplode(tokens(F.col("text"))).alias("pos", "word")).select("k1", "k2", "pos", term(F.col("word")).alias("term"))
-    return words.join(vocabulary, "term").select("term", "k1", "k2", "pos")
+    words = docs.select("k1", "k2", F.transform(tokens(F.col("text")), lowered).alias("words"))
+    out = None
+    for n in lengths:
+        terms = words.select("k1", "k2", F.posexplode(grams(F.col("words"), n)).alias("pos", "term")).join(vocabulary, "term").select("term", "k1", "k2", "pos")
+        out = terms if out is None else out.unionByName(terms)
+    return out
 
 
 def phrase_candidates(index: DataFrame, items: DataFrame) -> DataFrame:
@@ -54,15 +70,16 @@ def phrase_candidates(index: DataFrame, items: DataFrame) -> DataFrame:
     two, moved by their places in the item, must have them as well. A window with a term that no document has is dropped.
     Windows of an item with the same rarest places are looked up once.
     """
-    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    places = items.select("item", "words", "span", F.posexplode("words").alias("at", "word")).select("item", "words", "span", "at", F.xxhash64("word").alias("term"))
-    places = places.join(counts, "term", "left").select("item", "words", "span", F.struct(F.col("n").alias("n"), "at", "term").alias("p"))
-    listed = places.groupBy("item", "words", "span").agg(F.array_sort(F.collect_list(F.struct(F.col("p.at").alias("at"), F.col("p.n").alias("n"), F.col("p.term").alias("term")))).alias("p"))
-    windows = listed.select("item", "words", "span", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("span") + 1), lambda s: F.slice("p", s, F.col("span")))).alias("w"))
-    windows = windows.filter(F.forall("w", lambda x: x["n"].isNotNull()))
-    rarest = F.array_sort(F.transform("w", lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"), x["term"].alias("term"))))
+    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+    places = item_terms(items).join(counts, "term", "left")
+    listed = places.groupBy("item", "words", "span", "n").agg(F.array_sort(F.collect_list(F.struct("at", "count", "term"))).alias("p"))
+    inside = F.col("span") - F.col("n") + 1  # terms of a window
+    windows = listed.select("item", "words", "span", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("span") + 1), lambda s: F.slice("p", s, inside))).alias("w"))
+    windows = windows.filter(F.forall("w", lambda x: x["count"].isNotNull()))
+    rarest = F.array_sort(F.transform("w", lambda x: F.struct(x["count"].alias("count"), x["at"].alias("at"), x["term"].alias("term"))))
     looked = windows.select("item", "words", "span", F.slice(rarest, 1, 3).alias("r")).distinct()
-    looked = looked.select("item", "words", "span", *[F.get("r", k)[f].alias(f"{f}{k}") for k in range(3) for f in ("at", "term")])
+    # Written, so that Spark knows the size before it plans the joins.
+    looked = stage(looked.select("item", "words", "span", *[F.get("r", F.lit(k))[f].alias(f"{f}{k}") for k in range(3) for f in ("at", "term")]), "looked-up")
 
     found = looked.join(index.withColumnRenamed("term", "term0"), "term0").withColumn("shift", F.col("pos") - F.col("at0")).drop("pos", "term0", "at0")
     for k in (1, 2):
@@ -95,8 +112,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_share: int = 2
     Words are runs of digits, letters and characters beyond ASCII, A-Z lowered. A window is 13 words of an item in a row, or all words of a shorter one;
     a document word inside an occurrence of a window is hit. Contaminated: `min_share` times the hit words are at least all words, and some word is hit.
 
-    The index holds the postings of every document for the words of the benchmark and is written once, in the order of the
-    documents, without a shuffle. Posting lists are joined, never gathered. Null text: no words. An item without words has no window; an item id
+    The index holds the postings of every document for the terms of the benchmark, runs of three words, and is written once, in the order of
+    the documents, without a shuffle. Posting lists are joined, never gathered. Null text: no words. An item without words has no window; an item id
     that stands on several rows is one item, a null id is the item ''. Rows equal in id and text have equal results. Other columns are dropped.
     Returns doc_id, text, n_words, n_hit, n_items, items_sha256, contaminated.
     """
@@ -122,19 +139,20 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_share: int = 20
 
 def matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Hit words and items of the documents (`keyed`) that have some: (k1, k2, n_hit, items)."""
-    items = items_of(benchmark)
-    vocabulary = items.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("term")).distinct()
-    index = stage(postings(docs, vocabulary), "postings")
+    items = stage(items_of(benchmark), "items")
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect()) or [TERM]  # three at most
+    vocabulary = stage(item_terms(items).select("term").distinct(), "vocabulary")
+    index = stage(postings(docs, vocabulary, lengths), "postings")
     return stage(hits(docs, stage(phrase_candidates(index, items), "phrase-candidates")), "hits")
 
 
-def proximity_matches(index: DataFrame, words: list[str], within: int) -> DataFrame:
-    """Documents in which all words stand within `within` positions: (k1, k2, start), start being a place of the rarest word.
+def proximity_matches(docs: DataFrame, words: list[str], within: int) -> DataFrame:
+    """Documents (`keyed`) in which all words stand within `within` positions: (k1, k2, start), start being a place of the rarest word.
 
     Each list is met with that of the rarest by document and a block of positions, so a common word adds no pairs beyond its near places.
     """
-    spark = index.sparkSession
-    wanted = spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string").select(F.xxhash64("word").alias("term"))
+    wanted = docs.sparkSession.createDataFrame([([w],) for w in dict.fromkeys(words)], "words array<string>").select(grams(F.col("words"), 1)[0].alias("term"))
+    index = stage(postings(docs, wanted, [1]), "word-postings")
     counts = {r["term"]: r["count"] for r in index.join(wanted, "term").groupBy("term").count().collect()}  # one row per given word
     terms = [r["term"] for r in wanted.collect()]
     if any(t not in counts for t in terms):

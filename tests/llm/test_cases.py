@@ -148,9 +148,8 @@ def test_contamination_cases(make, spark):
 
 def test_proximity(make, spark):
     docs = contamination.keyed(make([(1, "alpha x x beta"), (2, "alpha " + "x " * 50 + "beta"), (3, "beta alpha")]))
-    index = contamination.postings(docs, spark.createDataFrame([("alpha",), ("beta",)], "w string").select(F.xxhash64("w").alias("term")))
-    assert {r["k1"] for r in contamination.proximity_matches(index, ["alpha", "beta"], 5).collect()} == {1, 3}
-    assert contamination.proximity_matches(index, ["alpha", "gamma"], 5).isEmpty()
+    assert {r["k1"] for r in contamination.proximity_matches(docs, ["alpha", "beta"], 5).collect()} == {1, 3}
+    assert contamination.proximity_matches(docs, ["alpha", "gamma"], 5).isEmpty()
 
 
 def test_chat_cases(spark):
