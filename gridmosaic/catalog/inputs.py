@@ -44,7 +44,7 @@ def table_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 FACTS_SQL = """
-facts AS (
+facts AS MATERIALIZED (
   SELECT l_partkey AS table_id, row_idx, s_suppkey, s_name, n_nationkey, n_name, l_returnflag, l_linestatus, l_linenumber
   FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey,
           l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS row_idx FROM lineitem) l
@@ -89,7 +89,7 @@ def _cell(row, col, header, original, cell):
 
 
 CELLS_SQL = FACTS_SQL + """,
-cells AS (
+cells AS MATERIALIZED (
   SELECT table_id, row_idx, CAST(0 AS BIGINT) AS col_idx, 'Supplier' AS header, s_name AS original,
      CASE WHEN s_suppkey % 10 <> 0 THEN concat('{IMG-{DRV-', table_id, '-', row_idx, '-0-0}}') ELSE s_name END AS cell FROM facts
   UNION ALL SELECT table_id, row_idx, 1, 'Nation',
@@ -137,7 +137,7 @@ def image_tags(spark: SparkSession, d: str, lines: DataFrame | None = None) -> D
 
 
 IMAGE_TAGS_SQL = """
-image_tags AS (
+image_tags AS MATERIALIZED (
   SELECT concat('{IMG-{DRV-', table_id, '-', row_idx, '-0-0}}') AS tag, concat('img/supplier_', s_suppkey, '.jpg') AS image_path,
      s_name AS original_string, concat('Q', s_suppkey) AS qid, concat('/wiki/Supplier_', s_suppkey) AS wiki_link FROM facts WHERE s_suppkey % 10 <> 0
   UNION ALL SELECT concat('{IMG-{DRV-', table_id, '-', row_idx, '-1-0}}'), concat('img/nation_', n_nationkey, '.svg'),
@@ -148,7 +148,7 @@ image_tags AS (
      l_returnflag, concat('F', l_returnflag), concat('/wiki/Flag_', l_returnflag) FROM facts WHERE l_linestatus = 'F')"""
 
 TAGS_SQL = """
-tags AS (
+tags AS MATERIALIZED (
   SELECT table_id, row_idx, col_idx, unnest(regexp_extract_all(cell, '\\{IMG-\\{.*?\\}\\}')) AS tag,
          generate_subscripts(regexp_extract_all(cell, '\\{IMG-\\{.*?\\}\\}'), 1) - 1 AS tag_pos
   FROM cells WHERE regexp_matches(cell, '\\{IMG-\\{.*?\\}\\}'))"""

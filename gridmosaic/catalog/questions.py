@@ -40,9 +40,9 @@ def q02(spark, d):
 LQ = I.TABLE_SQL + """
 , lq AS (SELECT concat(l_orderkey, '-', l_partkey) AS question_id, l_partkey AS table_context, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS ex,
     CASE WHEN l_partkey % 2 = 0 THEN 'passages' ELSE 'highlights' END AS source FROM lineitem GROUP BY l_orderkey, l_partkey)
-, evidence AS (SELECT DISTINCT concat(l_orderkey, '-', l_partkey) AS question_id, l_partkey AS table_context, row_idx, col_idx FROM (
+, evidence AS MATERIALIZED (SELECT DISTINCT concat(l_orderkey, '-', l_partkey) AS question_id, l_partkey AS table_context, row_idx, col_idx FROM (
     SELECT l_orderkey, l_partkey, CAST(l_linenumber AS BIGINT) AS row_idx, l_suppkey % 3 AS col_idx FROM lineitem UNION ALL SELECT l_orderkey, l_partkey, l_linenumber + 7, 0 FROM lineitem))
-, mentions AS (SELECT DISTINCT concat(l_orderkey, '-', l_partkey) AS question_id, l_partkey AS table_context, row_idx, col_idx FROM (
+, mentions AS MATERIALIZED (SELECT DISTINCT concat(l_orderkey, '-', l_partkey) AS question_id, l_partkey AS table_context, row_idx, col_idx FROM (
     SELECT l_orderkey, l_partkey, CAST(l_linenumber + 7 AS BIGINT) AS row_idx, CAST(0 AS BIGINT) AS col_idx FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_partkey, l_linenumber + 1, 1 FROM lineitem WHERE l_returnflag = 'R'))
 , canon AS (SELECT DISTINCT l_partkey AS table_id, l_partkey - l_partkey % 2 AS canonical_id FROM lineitem)""" + f"""
 , pictured AS (SELECT table_id AS table_context, row_idx, col_idx FROM cells WHERE regexp_matches(cell, {TAG}))"""
@@ -130,7 +130,7 @@ def q07(spark, d):
 
 
 AVOID = LQ + """
-, marked AS (SELECT m.question_id, canonical_id AS table_id, m.row_idx, m.col_idx, e.question_id IS NOT NULL AND m.row_idx <> 0 AS shared, md5(concat_ws('|', '42', m.question_id, m.row_idx, m.col_idx)) AS k
+, marked AS MATERIALIZED (SELECT m.question_id, canonical_id AS table_id, m.row_idx, m.col_idx, e.question_id IS NOT NULL AND m.row_idx <> 0 AS shared, md5(concat_ws('|', '42', m.question_id, m.row_idx, m.col_idx)) AS k
    FROM mentions m JOIN canon ON m.table_context = canon.table_id LEFT JOIN evidence e ON e.question_id = m.question_id AND e.row_idx = m.row_idx AND e.col_idx = m.col_idx)
 , definite AS (SELECT question_id, table_id, row_idx, col_idx FROM marked QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY NOT shared, k) = 1)
 , maybe AS (SELECT question_id, table_id, row_idx, col_idx FROM marked ANTI JOIN definite USING (question_id, row_idx, col_idx) WHERE shared)"""

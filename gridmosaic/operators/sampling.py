@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridmosaic.operators.ranking import global_position, hashed_position, md5_bucket, position_in_group, seeded_key
 
@@ -13,8 +13,20 @@ NONE = "None"
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """Exactly n rows (all, if there are fewer), the first in seeded order."""
-    return hashed_position(df, seeded_key(seed, key), [key], "__place").where(F.col("__place") <= n).drop("__place")
+    """Exactly n rows (all, if there are fewer), the first in seeded order.
+
+    Counts per key bucket give the bucket that holds the n-th row; rows beyond
+    it are filtered out before anything is shuffled.
+    """
+    keyed = df.withColumn("__key", seeded_key(seed, key)).withColumn("__bucket", md5_bucket(F.col("__key")))
+    sizes = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    until = F.sum("__n").over(W.orderBy("__bucket"))
+    reached = sizes.withColumn("__until", until).where(F.col("__until") >= n)
+    cut = reached.agg(F.min(F.struct("__bucket", (F.col("__until") - F.col("__n")).alias("before"))).alias("cut")).scalar()
+    near = keyed.withColumn("__cut", cut).where(F.col("__cut").isNull() | (F.col("__bucket") <= F.col("__cut.__bucket")))
+    place = F.row_number().over(W.partitionBy("__bucket").orderBy("__key", key))
+    first = F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut.__bucket")) | (F.col("__place") <= n - F.col("__cut.before"))
+    return near.withColumn("__place", place).where(first).drop("__key", "__bucket", "__cut", "__place")
 
 
 def seeded_order(df: DataFrame, seed: int, key: str, name: str = "position") -> DataFrame:
