@@ -105,7 +105,32 @@ def op8_format_chat(spark, sf_dir):
         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-RULES_SQL = None
+MEASURES = {"symbol_share": "n_symbols / word_chars", "mark_share": "n_marks / word_chars", "upper_share": "n_upper / word_chars",
+            "repeat_share": "n_repeat_words / n_words", "dup_line_share": "n_dup_lines / n_lines"}
+RULES_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tri AS (SELECT doc_id, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+m AS MATERIALIZED (SELECT l.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS n_marks FROM l LEFT JOIN cov ON l.doc_id = cov.doc_id),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+v AS MATERIALIZED (SELECT doc_id, lang, base_failed, unnest([{', '.join(f"{{'measure': '{k}', 'v': coalesce({e}, 0)}}" for k, e in MEASURES.items())}], recursive := true) FROM j),
+labelled AS (SELECT v.*, good FROM v JOIN (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) q ON v.doc_id = q.doc_id WHERE NOT base_failed),
+grid AS (SELECT i + 1 AS j, round(1.0 - 0.02 * i, 2)::DOUBLE AS cutoff FROM range(50) r(i)),
+tests AS (SELECT lang, measure, j, cutoff, count(*) FILTER (good) AS n_good, count(*) FILTER (good AND v > cutoff) AS k_good, count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (NOT good AND v > cutoff) AS k_bad
+    FROM labelled, grid GROUP BY ALL),
+terms AS (SELECT lang, measure, j, sum(exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln(0.01) + (n_good - i) * ln(0.99))) AS tail
+    FROM (SELECT *, unnest(generate_series(0, k_good)) AS i FROM tests WHERE k_good < n_good * 0.01) GROUP BY ALL),
+judged AS (SELECT t.*, sum((coalesce(x.tail, 1) > 0.05 / (SELECT count(*) FROM (SELECT DISTINCT lang, measure FROM tests)))::INT) OVER (PARTITION BY t.lang, t.measure ORDER BY t.j) AS failed,
+    CASE WHEN n_bad > 0 THEN k_bad / n_bad ELSE 0 END - CASE WHEN n_good > 0 THEN k_good / n_good END AS gain
+    FROM tests t LEFT JOIN terms x ON t.lang IS NOT DISTINCT FROM x.lang AND t.measure = x.measure AND t.j = x.j),
+cuts AS (SELECT lang, measure, arg_max(cutoff, row(gain, -j)) AS cutoff FROM judged WHERE failed = 0 AND gain > 0 GROUP BY ALL),
+over AS (SELECT DISTINCT doc_id FROM v JOIN cuts c ON v.lang IS NOT DISTINCT FROM c.lang AND v.measure = c.measure AND v.v > c.cutoff)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o.doc_id IS NULL AS kept FROM j LEFT JOIN over o ON j.doc_id = o.doc_id
+"""
 
 
 @query("op9_quality_rules", RULES_SQL)
