@@ -407,3 +407,17 @@ def l32(spark, d):
     parts = I.table(spark, d, "part")
     extra = parts.select(F.explode(F.array(F.concat(F.lit("https://maps.org/"), "p_name"), F.concat(F.lit("https://x.org/"), "p_name", F.lit(".MID")))).alias("image_url"))
     return G.downloadable(merged(spark, d).select("image_url").unionByName(extra))
+
+
+@query("l33_table_cells", """
+SELECT p_partkey AS table_id, CAST(r AS BIGINT) AS row_idx, CAST(c AS BIGINT) AS col_idx, r = 0 AS is_header, cell FROM (
+  SELECT p_partkey, unnest([0, 0, 0, 1, 1, 1, 2, 2, 2]) AS r, unnest([0, 1, 2, 0, 1, 2, 0, 1, 2]) AS c,
+    unnest([p_name, p_name, 'Size', p_brand, concat(p_type, ' & é'), concat('', p_size), p_brand, concat('a ', p_partkey), 'b']) AS cell FROM part)""")
+def l33(spark, d):
+    """A table per part with spans, references, and cells and rows that are not closed."""
+    part = I.table(spark, d, "part")
+    html = F.concat(
+        F.lit("<table class=x><tr><th colspan=2>"), "p_name", F.lit("</th><th>Size</tr><tr><td rowspan='2'><b>"), "p_brand", F.lit("</b><td>"), "p_type", F.lit(" &amp; &eacute;</td>\n<td>"),
+        F.col("p_size").cast("string"), F.lit("<tr><td>a<br>"), F.col("p_partkey").cast("string"), F.lit("<!-- <td> --><TD title='>'>b</table>"),
+    )
+    return P.table_cells(part.select(F.col("p_partkey").alias("table_id"), html.alias("table_html")))

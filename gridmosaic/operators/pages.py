@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import html as entities
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from gridmosaic.functions import links as L, markup as M, tags as T
 from gridmosaic.operators.ranking import global_position, last_per_key
@@ -16,6 +22,66 @@ def extract_tables(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"))
     return tables.withColumn("pos", F.col("pos").cast("bigint"))
 
 
+TABLE_PART = re.compile(r"<!--.*?-->|<(tr|td|th)\b((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|</(?:tr|td|th|table)\b[^>]*>", re.I | re.S)
+GRID = ArrayType(StructType([
+    StructField("row_idx", LongType()), StructField("col_idx", LongType()), StructField("is_header", BooleanType()), StructField("cell", StringType()),
+]))
+SPAN_LIMIT = 1000  # of the HTML standard for columns
+
+
+def _span(attributes: str, name: str) -> int:
+    found = re.search(rf"\b{name}\s*=\s*[\"']?\s*(\d+)", attributes, re.I)
+    return min(max(1, int(found[1])), SPAN_LIMIT) if found else 1
+
+
+def table_grid(html: str | None) -> list[tuple[int, int, bool, str]]:
+    """(row, column, is header, text) of one table; spanned cells repeat, and
+    missing end tags end with the next cell or row."""
+    source, out, held = html or "", [], {}
+    row, col, cell = -1, 0, None
+
+    def close(end: int) -> None:
+        nonlocal col, cell
+        if cell is None:
+            return
+        start, head, attributes = cell
+        body = re.sub(r"<[^>]*>", "", re.sub(r"(?i)<br\b[^>]*>", " ", re.sub(r"(?s)<!--.*?-->", "", source[start:end])))
+        text = " ".join(entities.unescape(body).split())
+        while held.get(col, 0) >= row + 1:
+            col += 1
+        rows = _span(attributes, "rowspan")
+        for _ in range(_span(attributes, "colspan")):
+            out.extend((row + k, col, head, text) for k in range(rows))
+            held[col] = row + rows
+            col += 1
+        cell = None
+
+    for part in TABLE_PART.finditer(source):
+        if part[0].startswith("<!--"):
+            continue
+        close(part.start())
+        if part[1] is None:
+            continue
+        if part[1].lower() == "tr":
+            row, col = row + 1, 0
+        else:
+            row = max(row, 0)
+            cell = (part.end(), part[1].lower() == "th", part[2])
+    close(len(source))
+    return [x for x in out if x[0] <= row]
+
+
+@pandas_udf(GRID)
+def table_grids(tables: pd.Series) -> pd.Series:
+    """``table_grid`` of a batch of tables."""
+    return tables.map(lambda t: [{"row_idx": r, "col_idx": c, "is_header": h, "cell": x} for r, c, h, x in table_grid(t)])
+
+
+def table_cells(tables: DataFrame, keys: tuple[str, ...] = ("table_id",), html: str = "table_html") -> DataFrame:
+    """Cells of landed tables: keys, row_idx, col_idx, is_header, cell."""
+    return tables.select(*keys, F.explode(table_grids(F.col(html))).alias("c")).select(*keys, "c.*")
+
+
 def assign_table_ids(tables: DataFrame, order: tuple[str, ...] = ("page_id", "pos"), offset: int = TABLE_ID_OFFSET) -> DataFrame:
     """Dense ids in page order, starting at the offset."""
     return global_position(tables, order, "table_id").withColumn("table_id", F.col("table_id") + offset - 1)

@@ -274,3 +274,33 @@ def test_multiset_and_empty(spark):
     pairs = spark.createDataFrame([Row(left_id=1, right_id=2), Row(left_id=8, right_id=9)])
     out = {r.left_id: r.similarity for r in M.multiset_jaccard(rows, rows, pairs).collect()}
     assert out == {1: 0.25, 8: 0.0}
+
+
+@pytest.mark.parametrize("html,want", [
+    ("<table><tr><th>A<th>B<tr><td>1<td>2</table>", [["A", "B"], ["1", "2"]]),
+    ("<table><tr><td rowspan=2>a</td><td colspan='2'>b</td></tr><tr><td>c</td><td>d &lt; e</td></tr></table>", [["a", "b", "b"], ["a", "c", "d < e"]]),
+    ("<table><tr><td>x<br>y<!-- <td>no --></td></tr>", [["x y"]]), ("<table></table>", []), ("", []), (None, []),
+    ("<table><tr><td rowspan=9>a<td>b</table>", [["a", "b"]]),
+])
+def test_table_grid(html, want):
+    got = {}
+    for r, c, _, text in PG.table_grid(html):
+        got.setdefault(r, {})[c] = text
+    assert [[got[r][c] for c in sorted(got[r])] for r in sorted(got)] == want
+
+
+def test_pages_to_tagged_tables(spark):
+    from gridmosaic.plans import construct
+
+    html = """<html><body><table><tr><th>City<th>Rank</tr>
+      <tr><td><a href='/wiki/Oslo_(city)'>Oslo &amp; surroundings</a><td>1<tr><td><a href="/wiki/Turku">Turku</a><td>2</table>
+      <table><tr><td>other<td>thing</table></body></html>"""
+    pages = spark.createDataFrame([(1, "u1", html)], "page_id bigint, url string, html string")
+    page_tables = PG.assign_table_ids(PG.extract_tables(pages))
+    page_cells = PG.table_cells(page_tables).select("table_id", "cell")
+    cells = grid(spark, [["City", "Rank"], ["the Oslo & surroundings", "1"], ["Turku", "2"]])
+    links = spark.createDataFrame([(0, 1, 0, 0, "/wiki/Oslo_(city)"), (0, 2, 0, 0, "/wiki/Turku")], "table_id bigint, row_idx bigint, col_idx bigint, ord bigint, link string")
+    images = spark.createDataFrame([("https://en.wikipedia.org/wiki/Oslo_(city)", "o.jpg"), ("https://en.wikipedia.org/wiki/Turku", "t.jpg")], "link string, image_path string")
+    tagged, attributes = construct.tag_tables(cells, links, page_tables, spark.createDataFrame([(0, "u1")], "table_id bigint, url string"), page_cells, images, "D")
+    assert {(r.row_idx, r.col_idx): r.cell for r in tagged.collect() if r.col_idx == 0} == {(0, 0): "City", (1, 0): "the {IMG-{D-0-1-0-0}}", (2, 0): "{IMG-{D-0-2-0-0}}"}
+    assert {r.image_path for r in attributes.collect()} == {"o.jpg", "t.jpg"}
