@@ -146,6 +146,9 @@ def label_frequency(df: DataFrame, label: str = "category") -> DataFrame:
     return global_position(counts, [F.desc("n"), label], "rank")
 
 
+EDGE_BLOCK = 4096
+
+
 def cumulative_top(df: DataFrame, col: str, width: float, share: float = 0.8) -> DataFrame:
     """Edges ``i * width`` with the count of values below each, up to the first
     edge that has ``share`` of all values below it."""
@@ -153,10 +156,21 @@ def cumulative_top(df: DataFrame, col: str, width: float, share: float = 0.8) ->
     counts = df.where(F.col(col).isNotNull()).groupBy((F.floor(F.col(col) / step) + 1).alias("i")).agg(
         F.count(F.lit(1)).alias("n"), F.max(col).alias("top")
     )
-    spread = counts.agg(F.ceil((F.max("top") + step) / step).alias("edges"), F.sum("n").alias("total"))
-    edges = spread.select("total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("edges") - 1)).alias("i"))
+    block = F.floor(F.col("i") / EDGE_BLOCK)
+    whole = counts.agg(F.struct(F.sum("n").alias("total"), (F.ceil((F.max("top") + step) / step) - 1).alias("last")).alias("w")).scalar()
+    # sums per block of edges first; a block without values carries the sum before it
+    filled = counts.groupBy(block.alias("block")).agg(F.sum("n").alias("n"))
+    by_block = W.orderBy("block")
+    before = F.sum("n").over(by_block.rowsBetween(W.unboundedPreceding, -1))
+    spans = filled.select("block", F.coalesce(before, F.lit(0)).alias("before"), F.lead("block").over(by_block).alias("next"), F.lag("block").over(by_block).alias("previous"))
+    needed = spans.withColumn("w", whole).where(F.col("before") < share * F.col("w.total"))
+    start = F.when(F.col("previous").isNull(), F.lit(0)).otherwise(F.col("previous") + 1)
+    blocks = needed.select("before", "w.total", "w.last", F.explode(F.sequence(start, F.col("block"))).alias("block"))
+    first = F.col("block") * EDGE_BLOCK
+    end = F.least(first + EDGE_BLOCK - 1, F.col("last"))
+    edges = blocks.where(first <= F.col("last")).select("before", "total", "block", F.explode(F.sequence(first, end)).alias("i"))
     running = edges.join(counts.select("i", "n"), "i", "left").withColumn(
-        "below", F.sum(F.coalesce("n", F.lit(0))).over(W.orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+        "below", F.col("before") + F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("block").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
     )
     reached = (F.col("below") - F.coalesce("n", F.lit(0))) >= share * F.col("total")
     return running.where(~reached).select((F.col("i") * step).alias("edge"), F.col("below").cast("bigint").alias("below"))

@@ -304,3 +304,16 @@ def test_pages_to_tagged_tables(spark):
     tagged, attributes = construct.tag_tables(cells, links, page_tables, spark.createDataFrame([(0, "u1")], "table_id bigint, url string"), page_cells, images, "D")
     assert {(r.row_idx, r.col_idx): r.cell for r in tagged.collect() if r.col_idx == 0} == {(0, 0): "City", (1, 0): "the {IMG-{D-0-1-0-0}}", (2, 0): "{IMG-{D-0-2-0-0}}"}
     assert {r.image_path for r in attributes.collect()} == {"o.jpg", "t.jpg"}
+
+
+def test_cumulative_top_over_gaps(spark):
+    values = [0.0, 1.0, 2.5, 2.6, 7.0, 20_000.0, 20_000.0, 20_001.0, 50_000.0, 50_000.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = {r.edge: r.below for r in E.cumulative_top(df, "x", 2.5).collect()}
+    want, i = {}, 0
+    while not want or want[(i - 1) * 2.5] < 0.8 * len(values):
+        want[i * 2.5] = sum(v < i * 2.5 for v in values)
+        i += 1
+    assert got == want
+    assert [r.edge for r in E.cumulative_top(spark.createDataFrame([(5.0,)], "x double"), "x", 2.5).orderBy("edge").collect()] == [0.0, 2.5, 5.0]
+    assert E.cumulative_top(df.limit(0), "x", 2.5).isEmpty()
