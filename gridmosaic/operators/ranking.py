@@ -39,17 +39,16 @@ def position_in_group(
 
     ``bucket`` must not decrease along ``order``. Groups of up to ``hot_rows``
     rows form one bucket; only larger ones are cut, so ordinary groups cost one
-    shuffle of the data. The list of hot groups has at most rows / hot_rows
-    entries and is joined by whatever strategy its measured size allows. A
-    caller that knows the group sizes gives the hot ones as ``hot_groups``,
-    which is looked at first: without any, one window does it.
+    shuffle of the data. The list of hot groups, counted here if the caller
+    does not know it, has at most rows / hot_rows entries. It is looked at
+    first: without any, one window does it, and both ways give the same numbers.
     """
     group = list(group)
-    if hot_groups is not None and hot_groups.isEmpty():
-        place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-        return df.withColumn(name, place.cast("bigint"))
     if hot_groups is None:
         hot_groups = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+    if hot_groups.isEmpty():
+        place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+        return df.withColumn(name, place.cast("bigint"))
     hot = hot_groups.select(*group, F.lit(True).alias("__hot"))
     marked = df.withColumn("__fine", bucket).join(hot, group, "left").withColumn(
         "__bucket", F.when(F.col("__hot"), F.col("__fine"))
