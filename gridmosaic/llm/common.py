@@ -47,6 +47,12 @@ def unit_interval(seed: int, *cols: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """Drop columns whose names an operator is about to add."""
-    return df.drop(*names)
+def hashed_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most n rows, those with the smallest hashes of the keys: the same in every run.
+
+    Rows are counted first and all but about one and a half times n filtered out by their hash, so that the tasks together, and
+    not each of them, send about that many to be put in order.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(*keys), 33)
+    cut = min(1 << 31, int((1 << 31) * (1.5 * n + 50) / max(1, df.count())))
+    return df.filter(place < cut).orderBy(place, *keys).limit(n)

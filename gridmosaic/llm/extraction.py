@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridmosaic.llm.boosting import Forest, fit_forest
+from gridmosaic.llm.common import hashed_sample
 
 MAX_PAGES = 400  # bound of the pages that training reads
 SEED = 7
@@ -331,7 +332,7 @@ def training_rows(sources: list[str], copies: int = 2, seed: int = SEED) -> tupl
 
 def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> Forest:
     """Fit on layouts drawn around the paragraphs of at most `max_pages` pages, those with the smallest hashes."""
-    rows = pages.filter(F.col("html").isNotNull()).select("html").orderBy(F.xxhash64("html"), "html").limit(max_pages).collect()
+    rows = hashed_sample(pages.filter(F.col("html").isNotNull()).select("page_id", "html"), max_pages, "page_id", "html").collect()
     return fit_forest(*training_rows([r["html"] for r in rows]))
 
 

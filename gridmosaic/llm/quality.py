@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gridmosaic.llm.common import stage
+from gridmosaic.llm.common import hashed_sample, stage
 
 FEATURES = (
     "log_words", "word_length", "distinct_words", "distinct_pairs", "same_neighbours", "top_word", "distinct_lines", "words_per_line",
@@ -192,7 +192,7 @@ def train(measured: DataFrame, labels: DataFrame, label: str = "quality", max_la
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min(label).alias("y"))
     rows = measured.select("doc_id", "features").join(known, "doc_id")
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_labelled).select("features", (F.col("y") == 1).cast("double").alias("y")).toArrow()
+    sample = hashed_sample(rows, max_labelled, "doc_id", "features").select("features", (F.col("y") == 1).cast("double").alias("y")).toArrow()
     x = np.array(sample.column("features").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, np.array(sample.column("y").to_pylist(), dtype=float))
 
