@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-FILTER_BITS = 1 << 23  # of the filter sent to the tasks: 1 MB
+FILTER_BITS = 1 << 26  # of the filter sent to the tasks: 8 MB
 SLICE_BYTES = 1 << 20  # text hashed at a time
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -42,29 +42,40 @@ def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         a = b
 
 
-def _bits(a: np.ndarray, seed: int, bits: int) -> np.ndarray:
-    return (mix(a.view(np.uint64), seed) % np.uint64(bits)).astype(np.int64)
+def _bits(keys: np.ndarray, seed: int, bits: int) -> np.ndarray:
+    return (mix(keys, seed) % np.uint64(bits)).astype(np.int64)
 
 
-def passes_filter(known: np.ndarray, a: np.ndarray, bits: int) -> np.ndarray:
+def joint(*columns: np.ndarray) -> np.ndarray:
+    """One key of several 64-bit columns."""
+    key = np.zeros(len(columns[0]), dtype=np.uint64)
+    for c in columns:
+        key = mix(key ^ c.view(np.uint64), 7)
+    return key
+
+
+def passes_filter(known: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     """True for every member of the filter, and for others by chance."""
-    passed = np.ones(len(a), dtype=bool)
+    passed = np.ones(len(keys), dtype=bool)
     for seed in (11, 12):
-        at = _bits(a, seed, bits)
-        passed &= ((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+        at = _bits(keys, seed, bits)
+        passed &= ((known[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
     return passed
 
 
-def print_filter(sets: DataFrame, bits: int) -> np.ndarray:
-    """A bit filter of the prints `a`, of a fixed size: it passes every member, and the more others the fuller it is."""
+def key_filter(rows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit filter of the rows of long columns, of a fixed size: it passes every member, and the more others the fuller it is.
+
+    At most `bits` / 64 words come to the driver, whatever the number of rows.
+    """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a = batch.column("a").to_numpy()
-            at = np.concatenate([_bits(a, seed, bits) for seed in (11, 12)])
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 3), pa.array((1 << (at & 7)).astype(np.int32))], names=["w", "bit"])
+            keys = joint(*(c.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False) for c in batch.columns))
+            at = np.concatenate([_bits(keys, seed, bits) for seed in (11, 12)])
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["w", "bit"])
 
-    rows = sets.select("a").mapInArrow(words, "w long, bit int").groupBy("w").agg(F.bit_or("bit").alias("bit")).toArrow()
-    known = np.zeros(bits >> 3, dtype=np.uint8)
-    known[rows.column("w").to_numpy()] = rows.column("bit").to_numpy()
+    found = rows.mapInArrow(words, "w long, bit long").groupBy("w").agg(F.bit_or("bit").alias("bit")).toArrow()
+    known = np.zeros((bits + 63) >> 6, dtype=np.uint64)
+    known[found.column("w").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
     return known

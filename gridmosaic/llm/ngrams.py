@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridmosaic.llm.common import stage
 from gridmosaic.llm.components import components
-from gridmosaic.llm.hashing import BASE, BASE_INVERSE, FILTER_BITS, mix, passes_filter, powers, print_filter, slices
+from gridmosaic.llm.hashing import BASE, BASE_INVERSE, FILTER_BITS, joint, key_filter, mix, passes_filter, powers, slices
 
 N_WORDS = 5
 N_KEYS = 3  # grouping keys of a set
+ROUNDS = 2  # of heads per key
+QUERY_ROUNDS = 3  # of counting the tokens that stand in other groups
 CHUNK_TOKENS = 1 << 20  # prefix tokens met before they leave a task
 
 PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -88,33 +90,24 @@ def prefix_length(n):
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, the two prints of the set, and its prefix: the smallest hashes."""
+    """doc_id, n and the two prints of the set."""
     for batch in batches:
-        for first, rows, n, prints, at, hashes in _sets(batch):
-            size = prefix_length(n)
-            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            keep = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) + np.repeat(at[:-1], size)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").slice(first, rows), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[keep.astype(np.int64)].view(np.int64))),
-            ], names=["doc_id", "n", "a", "b", "prefix"])
+        for first, rows, n, prints, _, _ in _sets(batch):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, rows), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1])], names=["doc_id", "n", "a", "b"])
 
 
 def meet_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token rows of the distinct sets of a chunk, combined before they leave the task.
+    """Prefix tokens (the smallest hashes) of the distinct sets of a chunk, combined before they leave the task.
 
     A token of one set leaves as (token, a). A token of two sets or more is known to be shared: the sets
     count it here, and it leaves once, with c = -1. Each set sends its count c with its size n, under its own print as token.
     So a token has one row per chunk, however frequent it is.
     """
-    chunk = 0
-    prints: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    tokens: list[np.ndarray] = []
-    lengths: list[np.ndarray] = []
+    chunk, held = 0, 0
+    parts: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> pa.RecordBatch:
-        a, n, t, length = (np.concatenate(x) for x in (prints, sizes, tokens, lengths))
+        a, n, t, length = (np.concatenate(x) for x in zip(*parts))
         owner = np.repeat(np.arange(len(a)), length)
         _, one = np.unique(a, return_index=True)
         single = np.zeros(len(a), dtype=bool)
@@ -133,42 +126,41 @@ def meet_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         out = [pa.array(x) for x in columns] + [pa.array(np.full(len(columns[0]), chunk, np.int32))]
         return pa.RecordBatch.from_arrays(out, names=["token", "a", "c", "n", "chunk"])
 
-    held = 0
     for batch in batches:
-        for k in range(0, batch.num_rows, 512):
-            part = batch.slice(k, 512)
-            lists = part.column("prefix")
-            prints.append(part.column("a").to_numpy())
-            sizes.append(part.column("n").to_numpy())
-            tokens.append(lists.flatten().to_numpy())
-            lengths.append(np.diff(lists.offsets.to_numpy()))
-            held += len(tokens[-1])
+        for _, _, n, prints, at, hashes in _sets(batch):
+            full = n > 0
+            size = prefix_length(n)[full]
+            ends = np.cumsum(size)
+            keep = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[:-1][full] - ends + size, size)
+            parts.append((prints[0][full], n[full], hashes[keep].view(np.int64), size))
+            held += len(keep)
             if held >= CHUNK_TOKENS:
                 yield flush()
-                chunk, held = chunk + 1, 0
-                prints, sizes, tokens, lengths = [], [], [], []
-    if prints:
+                chunk, held, parts = chunk + 1, 0, []
+    if parts:
         yield flush()
 
 
 def full_sets(known: np.ndarray, bits: int):
-    """A task that hashes texts again and gives the whole sets of those whose print passes the filter."""
+    """A task that hashes texts again and gives the whole sets of those that pass the filter of (doc_id, prints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()  # a repeated row is given once per task
         for batch in batches:
             for first, rows, n, prints, at, hashes in _sets(batch):
-                passed = (n > 0) & passes_filter(known, prints[0], bits)
-                chosen = np.flatnonzero(passed)
+                ids = batch.column("doc_id").slice(first, rows).fill_null(-(1 << 63)).to_numpy()
+                chosen = np.flatnonzero((n > 0) & passes_filter(known, joint(ids, prints[0], prints[1]), bits))
+                chosen = np.array([i for i in chosen if (a := int(prints[0][i])) not in given and not given.add(a)], dtype=np.int64)
                 if not len(chosen):
                     continue
                 lists = [hashes[at[i]: at[i + 1]] for i in chosen]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 keys = np.array([[int(mix(x, 20 + k).min()) if k else int(x[0]) for k in range(N_KEYS)] for x in lists], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(first, rows).take(pa.array(chosen)), pa.array(n[chosen].astype(np.int64)), pa.array(prints[0][chosen]), pa.array(prints[1][chosen]),
+                    pa.array(n[chosen].astype(np.int64)), pa.array(prints[0][chosen]),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(chosen) + 1, dtype=np.int32) * N_KEYS), pa.array(keys.ravel())),
-                ], names=["doc_id", "n", "a", "b", "hashes", "keys"])
+                ], names=["n", "a", "hashes", "keys"])
 
     return run
 
@@ -177,57 +169,96 @@ def similar(inter: Column, n1: Column, n2: Column) -> Column:
     return 100 * inter >= 80 * (n1 + n2 - inter)
 
 
-def star_links(sets: DataFrame) -> DataFrame:
-    """Links (u, v) from each set to the smallest set among those with an equal key, where they are similar.
+def star_links(sets: DataFrame, private: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Links (u, v) from each set to the head of each of its key groups, where they are similar.
 
-    Compares every set with one other per key, so a group of any size costs its length.
+    `private` gives for each set how many of its prefix tokens no other set has. The head of a group is the set with the fewest: what copies
+    were made from has none, while a copy has those of its changes, so copies that are not similar to each other still meet in
+    their source. Sets without a link form groups with a new head in the next round. Every set is compared with one other per key and round,
+    and only once if keys agree on it, so a group of any size costs its length.
     """
+    slim = sets.select("a", "n", "keys").join(private, "a", "left").withColumn("private", F.coalesce("private", "n"))
+    keyed = stage(slim.select("a", "n", "private", F.posexplode("keys").alias("k", "key")), "set-keys")
     out = None
-    for k in range(N_KEYS):
-        keyed = sets.select("a", "n", "hashes", F.get("keys", F.lit(k)).alias("key"))
-        leaders = keyed.groupBy("key").agg(F.min("a").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-        heads = leaders.join(keyed.select(F.col("a").alias("leader"), F.col("n").alias("ln"), F.col("hashes").alias("lh")), "leader")
-        pairs = keyed.join(heads, "key").filter(F.col("a") != F.col("leader"))
-        pairs = pairs.filter((5 * F.col("n") >= 4 * F.col("ln")) & (5 * F.col("ln") >= 4 * F.col("n")))
-        linked = pairs.filter(similar(F.size(F.array_intersect("hashes", "lh")), F.col("n"), F.col("ln"))).select(F.col("a").alias("u"), F.col("leader").alias("v"))
+    for _ in range(rounds):
+        heads = keyed.groupBy("k", "key").agg(F.min(F.struct("private", "a", "n")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        pairs = keyed.join(heads, ["k", "key"]).select(F.col("a").alias("u"), "n", F.col("head.a").alias("v"), F.col("head.n").alias("vn"))
+        pairs = pairs.filter((F.col("u") != F.col("v")) & (5 * F.col("n") >= 4 * F.col("vn")) & (5 * F.col("vn") >= 4 * F.col("n"))).select("u", "v").distinct()
+        linked = stage(_similar_pairs(pairs, sets), "star-links")
         out = linked if out is None else out.unionByName(linked)
+        met = linked.select(F.col("u").alias("a")).unionByName(linked.select(F.col("v").alias("a"))).distinct()
+        keyed = stage(keyed.join(met, "a", "left_anti"), "set-keys")
     return out
 
 
+def _similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    left = sets.select(F.col("a").alias("u"), F.col("n").alias("un"), F.col("hashes").alias("uh"))
+    right = sets.select(F.col("a").alias("v"), F.col("n").alias("vn"), F.col("hashes").alias("vh"))
+    met = stage(pairs, "pairs").join(left, "u").join(right, "v")
+    return met.filter(similar(F.size(F.array_intersect("uh", "vh")), F.col("un"), F.col("vn"))).select("u", "v").distinct()
+
+
+def _shared(tokens: DataFrame) -> DataFrame:
+    """Rows (a, n, grp, token) whose token stands in two groups or more."""
+    shared = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("token")
+    return tokens.join(stage(shared, "shared-tokens"), "token")
+
+
+def needed_in_prefix(n: Column) -> Column:
+    """Prefix tokens that a set of n has in common with any similar one, at least."""
+    return F.floor((n - F.floor(n / 5) + 9) / 10)
+
+
 def links_between_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """All links between sets of different groups, by the token-group matrix.
 
     `groups` has (u, root) of sets that are not their own root. The matrix holds (token, group): the union of the members' tokens. A set can be similar
     to one of another group only if that group's union holds at least four fifths of its tokens. First each set counts its tokens that stand in any
-    other group; most sets end there. The rest look up the groups of their rarest tokens, as many as they may lack and one, count the overlap
-    with each group found, and open those that reach the bound. Only members that passed the first count can be partners.
+    other group, at first in its prefix only (see `near_duplicates`); most sets end there. The rest look up the groups of their rarest tokens, as many as they may lack and a tenth more; those that a
+    group holds, and all tokens not looked up, bound the overlap with it, and only groups that reach four fifths are opened. Only members that
+    passed the first count can be partners, and a pair is compared if it has one of its rarest tokens in common.
     """
-    placed = sets.join(groups, sets["a"] == groups["u"], "left").select("a", "n", F.coalesce("root", "a").alias("grp"), "hashes")
-    tokens = placed.select("a", "n", "grp", F.explode("hashes").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("token")
-    outside = stage(tokens.join(shared, "token"), "outside-tokens")
+    placed = sets.join(groups, sets["a"] == groups["u"], "left").select("a", "n", F.coalesce("root", "a").alias("grp"))
+    placed = stage(placed, "placed-sets")
+    size = F.least(F.col("n"), F.floor(F.col("n") / 5) + F.floor((F.col("n") + 9) / 10)).cast("int")
+    prefixes = sets.select("a", F.slice("hashes", F.lit(1), size).alias("h")).join(placed, "a").select("a", "n", "grp", F.explode("h").alias("token"))
+    open_sets = _shared(prefixes).groupBy("a", "n", "grp").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= needed_in_prefix(F.col("n"))).select("a", "n", "grp")
+    open_sets = stage(open_sets, "open-sets")
+    tokens = sets.select("a", "hashes").join(open_sets, "a").select("a", "n", "grp", F.explode("hashes").alias("token"))
+    outside = stage(_shared(tokens), "outside-tokens")
     least = F.col("n") - F.floor(F.col("n") / 5)
-    queries = outside.groupBy("a", "n", "grp").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= least)
-    queries = stage(queries.withColumn("least", least), "group-queries")
+    queries = None
+    for _ in range(QUERY_ROUNDS):  # partners are queries themselves, so only their tokens count the next time
+        outside = outside if queries is None else stage(_shared(outside.join(queries.select("a"), "a", "left_semi")), "outside-tokens")
+        queries = outside.groupBy("a", "n", "grp").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= least)
+        queries = stage(queries.withColumn("least", least), "group-queries")
     if queries.isEmpty():
         return queries.select(F.col("a").alias("u"), F.col("a").alias("v")).limit(0)
-    matrix = stage(outside.select("token", "grp").distinct(), "token-groups")
+    asked = stage(outside.join(queries.select("a", "m", "least"), "a"), "asked-tokens")
+    sizes = queries.groupBy(F.col("grp").alias("other")).agg(F.max("m").alias("om"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    matrix = stage(asked.select("token", F.col("grp").alias("other")).distinct().join(sizes, "other"), "token-groups")
     weights = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("gf"))
-    asked = outside.join(queries.select("a", "m", "least"), "a")
     ranked = asked.join(weights, "token").groupBy("a", "n", "grp", "m", "least").agg(F.array_sort(F.collect_list(F.struct("gf", "token"))).alias("t"))
-    prefix = stage(ranked.select("a", "n", "grp", "least", F.explode(F.slice("t", 1, F.col("m") - F.col("least") + 1)).alias("t")).select("a", "n", "grp", "least", "t.token"), "group-prefixes")
-    # Groups that only hold sets without enough outside tokens cannot be partners.
-    open_groups = queries.select(F.col("grp").alias("other")).distinct()
-    found = prefix.join(matrix.withColumnRenamed("grp", "other"), "token").filter(F.col("grp") != F.col("other")).join(open_groups, "other", "left_semi").select("a", "least", "other").distinct()
-    overlap = asked.select("a", "token").join(found, "a").join(matrix.withColumnRenamed("grp", "other"), ["token", "other"], "left_semi")
-    bound = overlap.groupBy("a", "least", "other").agg(F.count(F.lit(1)).alias("overlap")).filter(F.col("overlap") >= F.col("least")).select("a", "other")
-    mine = prefix.join(bound, "a").select("token", "a", "n", "grp", "other")
-    theirs = prefix.select("token", F.col("a").alias("d"), F.col("n").alias("dn"), F.col("grp").alias("other"))
-    pairs = mine.join(theirs, ["token", "other"]).filter((5 * F.col("n") >= 4 * F.col("dn")) & (5 * F.col("dn") >= 4 * F.col("n")))
-    pairs = pairs.select(F.least("a", "d").alias("u"), F.greatest("a", "d").alias("v")).distinct()
-    left = sets.select(F.col("a").alias("u"), F.col("n").alias("un"), F.col("hashes").alias("uh"))
-    right = sets.select(F.col("a").alias("v"), F.col("n").alias("vn"), F.col("hashes").alias("vh"))
-    return pairs.join(left, "u").join(right, "v").filter(similar(F.size(F.array_intersect("uh", "vh")), F.col("un"), F.col("vn"))).select("u", "v")
+    first = F.col("m") - F.col("least") + 1  # one of so many rarest tokens is common to any similar set
+    more = F.least(F.floor(F.col("n") / 10), F.col("m") - first)
+    rows = ranked.select("a", "n", "m", "grp", more.alias("more"), first.alias("first"), F.posexplode(F.slice("t", 1, (first + more).cast("int"))).alias("at", "t"))
+    prefix = stage(rows.select("a", "n", "m", "grp", "more", "at", (F.col("at") < F.col("first")).alias("is_first"), "t.token"), "group-prefixes")
+
+    def reach(m: Column, other_m: Column, n: Column, other_n: Column) -> Column:
+        """The overlap, at most the smaller count of outside tokens, can be four ninths of both sizes, which is a similarity of 0.8."""
+        return 9 * F.least(m, other_m) >= 4 * (n + other_n)
+
+    # The tokens not looked up are fewer than the bound by one and `more`, so a group must hold more than `more` of those that are.
+    fits = reach(F.col("m"), F.col("om"), F.col("n"), F.col("least_n")) & (5 * F.col("n") >= 4 * F.col("least_n")) & (5 * F.col("most_n") >= 4 * F.col("n"))
+    looked = prefix.join(matrix.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & (F.col("grp") != F.col("other")) & fits)
+    bound = looked.groupBy("a", "other", "more").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > F.col("more")).select("a", "other")
+    mine = prefix.filter("is_first").join(bound, "a").select("token", "a", "n", (F.col("m") - F.col("at")).alias("m"), "other")
+    theirs = prefix.filter("is_first").select(F.col("token").alias("t"), F.col("a").alias("d"), F.col("n").alias("dn"), (F.col("m") - F.col("at")).alias("dm"), F.col("grp").alias("dgrp"))
+    # What follows the first common token in both orders bounds the overlap; the pair is found at that token if at any.
+    near = reach(F.col("m"), F.col("dm"), F.col("n"), F.col("dn")) & (5 * F.col("n") >= 4 * F.col("dn")) & (5 * F.col("dn") >= 4 * F.col("n"))
+    pairs = mine.join(theirs, (F.col("token") == F.col("t")) & (F.col("other") == F.col("dgrp")) & (F.col("a") < F.col("d")) & near)
+    pairs = pairs.select(F.col("a").alias("u"), F.col("d").alias("v")).distinct()
+    return _similar_pairs(pairs, sets)
 
 
 def near_duplicates(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -246,22 +277,22 @@ def near_duplicates(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFram
     Returns doc_id, n_shingles, component_id, a (print of the set).
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stage(source.mapInArrow(describe, "doc_id long, n long, a long, b long, prefix array<long>"), "set-prefixes")
-    rows = described.filter("n > 0").select("a", "n", "prefix").mapInArrow(meet_prefixes, "token long, a long, c int, n int, chunk int")
-    rows = rows.withColumn("chunk", F.col("chunk") + F.spark_partition_id() * 4096)
-    met = rows.repartition("token").select("token", "a", "c", "n", "chunk")
-    same = W.partitionBy("token")
-    flagged = met.withColumn("shared", (F.min(F.when(F.col("c") >= 0, F.col("a"))).over(same) != F.max(F.when(F.col("c") >= 0, F.col("a"))).over(same)) | (F.min("c").over(same) < 0))
+    described = stage(source.mapInArrow(describe, "doc_id long, n long, a long, b long"), "set-prints")
+    rows = source.mapInArrow(meet_prefixes, "token long, a long, c int, n int, chunk int")
+    met = rows.withColumn("chunk", F.col("chunk") + F.spark_partition_id() * 4096).repartition("token")
+    same, own = W.partitionBy("token"), F.when(F.col("c") >= 0, F.col("a"))
+    flagged = met.withColumn("shared", (F.min(own).over(same) != F.max(own).over(same)) | (F.min("c").over(same) < 0))
     counts = flagged.filter("c >= 0").groupBy("a", "chunk").agg(
         F.max("n").alias("n"), F.sum(F.when(F.col("n") > 0, F.col("c")).when(F.col("shared"), 1).otherwise(0)).alias("c"))
-    needed = F.floor((F.col("n") - F.floor(F.col("n") / 5) + 9) / 10)
-    survivors = counts.filter((F.col("n") > 0) & (F.col("c") >= needed)).select("a").distinct()
-    reps = stage(described.filter("n > 0").join(survivors, "a", "left_semi").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")), "surviving-sets")
-
-    whole = source.mapInArrow(full_sets(print_filter(reps, filter_bits), filter_bits), "doc_id long, n long, a long, b long, hashes array<long>, keys array<long>")
-    chosen = whole.join(reps.withColumnRenamed("doc_id", "rep"), ["a", "b"]).filter(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("rep")
-    sets = stage(chosen.dropDuplicates(["a", "b"]), "full-sets")
-    stars = stage(star_links(sets), "star-links")
+    size = F.least(F.col("n"), F.floor(F.col("n") / 5) + F.floor((F.col("n") + 9) / 10))
+    enough = counts.filter((F.col("n") > 0) & (F.col("c") >= needed_in_prefix(F.col("n"))))
+    survivors = stage(enough.groupBy("a").agg(F.min(size - F.col("c")).alias("private")), "survivors")
+    reps = described.filter("n > 0").join(survivors, "a", "left_semi").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"))
+
+    # One document of each set passes, and few others do, which do no harm: similar sets among them are linked like any.
+    known = key_filter(reps.select("doc_id", "a", "b"), filter_bits)
+    sets = stage(source.mapInArrow(full_sets(known, filter_bits), "n long, a long, hashes array<long>, keys array<long>"), "full-sets")
+    stars = stage(star_links(sets, survivors), "stars")
     groups = components(stars)
     between = links_between_groups(sets, groups)
     roots = components(stars.unionByName(between))

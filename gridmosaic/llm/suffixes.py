@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from gridmosaic.llm.common import stage
-from gridmosaic.llm.hashing import BASE, BASE_INVERSE, FILTER_BITS, mix, passes_filter, powers, print_filter, slices
+from gridmosaic.llm.hashing import BASE, BASE_INVERSE, FILTER_BITS, joint, key_filter, mix, passes_filter, powers, slices
 from gridmosaic.llm.induced import repeated_windows
 
 WIDTH = 100
@@ -189,13 +189,13 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _split(docs: DataFrame, keys: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     """Documents whose key passes a bounded filter of `keys` (all that are in it, and a few more), and the others, which are not in it."""
-    known = print_filter(keys.select(F.xxhash64("k1", "k2").alias("a")), bits)
+    known = key_filter(keys.select("k1", "k2"), bits)
 
     @F.pandas_udf(T.BooleanType())
-    def passes(a: pd.Series) -> pd.Series:
-        return pd.Series(passes_filter(known, a.to_numpy(), bits))
+    def passes(k1: pd.Series, k2: pd.Series) -> pd.Series:
+        return pd.Series(passes_filter(known, joint(k1.to_numpy(), k2.to_numpy()), bits))
 
-    flag = passes(F.xxhash64("k1", "k2"))
+    flag = passes("k1", "k2")
     return docs.filter(flag), docs.filter(~flag)
 
 
