@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridmosaic.llm.common import stage
+
 
 def site_lines(docs: DataFrame, text: str = "text", host: str = "source", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
     """Lines that stand on more than `max_ratio` of the pages of their host, and on `min_pages` of them at least.
@@ -23,7 +25,8 @@ def site_lines(docs: DataFrame, text: str = "text", host: str = "source", max_ra
         t = totals.withColumnRenamed("host", "th")
         return counts.filter(F.col("pages") >= min_pages).join(t, F.col("host").eqNullSafe(F.col("th"))).drop("th").filter(frequent)
 
-    hashes = above(lines.groupBy("host", F.xxhash64("line").alias("hash")).agg(F.count(F.lit(1)).alias("pages")))
+    # Written, so that Spark knows the size before it plans the join: a small list goes to the tasks, and no line is shuffled.
+    hashes = stage(above(lines.groupBy("host", F.xxhash64("line").alias("hash")).agg(F.count(F.lit(1)).alias("pages"))), "line-hashes")
     keys = hashes.select(F.col("host").alias("kh"), "hash")
     candidates = lines.join(keys, F.col("host").eqNullSafe(F.col("kh")) & (F.xxhash64("line") == F.col("hash")), "left_semi")
     return above(candidates.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")))
@@ -37,7 +40,8 @@ def drop_site_lines(docs: DataFrame, text: str = "text", host: str = "source", m
     blank line. Rows repeat as often as they came. Columns called n_lines or n_dropped are replaced, all others are kept.
     Returns docs with `text` rewritten, n_lines, n_dropped.
     """
-    bad = site_lines(docs, text, host, max_ratio, min_pages).groupBy("host").agg(F.collect_set("line").alias("__bad")).withColumnRenamed("host", "__host")
+    bad = site_lines(docs, text, host, max_ratio, min_pages).groupBy("host").agg(F.collect_set("line").alias("__bad"))
+    bad = stage(bad, "site-lines").withColumnRenamed("host", "__host")
     docs = docs.drop("n_lines", "n_dropped", "__bad", "__host")
     joined = docs.join(bad, docs[host].eqNullSafe(F.col("__host")), "left")
     lines = F.split(text, "\n")
