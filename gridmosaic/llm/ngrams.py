@@ -214,9 +214,9 @@ def links_between_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
 
     `groups` has (u, root) of sets that are not their own root. The matrix holds (token, group): the union of the members' tokens. A set can be similar
     to one of another group only if that group's union holds at least four fifths of its tokens. First each set counts its tokens that stand in any
-    other group, at first in its prefix only (see `near_duplicates`); most sets end there. The rest look up the groups of their rarest tokens, as many as they may lack and a tenth more; those that a
-    group holds, and all tokens not looked up, bound the overlap with it, and only groups that reach four fifths are opened. Only members that
-    passed the first count can be partners, and a pair is compared if it has one of its rarest tokens in common.
+    other group, at first in its prefix only (see `near_duplicates`); most sets end there. The rest look up the groups of their rarest tokens, as many as they may lack and one. What follows such a token in the
+    order of both bounds the overlap, and only groups whose bound reaches four fifths are opened. Only members that
+    passed the first count can be partners, and a pair is compared if its own bound does.
     """
     placed = sets.join(groups, sets["a"] == groups["u"], "left").select("a", "n", F.coalesce("root", "a").alias("grp"))
     placed = stage(placed, "placed-sets")
@@ -235,27 +235,23 @@ def links_between_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
     if queries.isEmpty():
         return queries.select(F.col("a").alias("u"), F.col("a").alias("v")).limit(0)
     asked = stage(outside.join(queries.select("a", "m", "least"), "a"), "asked-tokens")
-    sizes = queries.groupBy(F.col("grp").alias("other")).agg(F.max("m").alias("om"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    matrix = stage(asked.select("token", F.col("grp").alias("other")).distinct().join(sizes, "other"), "token-groups")
-    weights = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("gf"))
+    weights = asked.select("token", "grp").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("gf"))
     ranked = asked.join(weights, "token").groupBy("a", "n", "grp", "m", "least").agg(F.array_sort(F.collect_list(F.struct("gf", "token"))).alias("t"))
     first = F.col("m") - F.col("least") + 1  # one of so many rarest tokens is common to any similar set
-    more = F.least(F.floor(F.col("n") / 10), F.col("m") - first)
-    rows = ranked.select("a", "n", "m", "grp", more.alias("more"), first.alias("first"), F.posexplode(F.slice("t", 1, (first + more).cast("int"))).alias("at", "t"))
-    prefix = stage(rows.select("a", "n", "m", "grp", "more", "at", (F.col("at") < F.col("first")).alias("is_first"), "t.token"), "group-prefixes")
-
-    def reach(m: Column, other_m: Column, n: Column, other_n: Column) -> Column:
-        """The overlap, at most the smaller count of outside tokens, can be four ninths of both sizes, which is a similarity of 0.8."""
-        return 9 * F.least(m, other_m) >= 4 * (n + other_n)
-
-    # The tokens not looked up are fewer than the bound by one and `more`, so a group must hold more than `more` of those that are.
-    fits = reach(F.col("m"), F.col("om"), F.col("n"), F.col("least_n")) & (5 * F.col("n") >= 4 * F.col("least_n")) & (5 * F.col("most_n") >= 4 * F.col("n"))
-    looked = prefix.join(matrix.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & (F.col("grp") != F.col("other")) & fits)
-    bound = looked.groupBy("a", "other", "more").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > F.col("more")).select("a", "other")
-    mine = prefix.filter("is_first").join(bound, "a").select("token", "a", "n", (F.col("m") - F.col("at")).alias("m"), "other")
-    theirs = prefix.filter("is_first").select(F.col("token").alias("t"), F.col("a").alias("d"), F.col("n").alias("dn"), (F.col("m") - F.col("at")).alias("dm"), F.col("grp").alias("dgrp"))
-    # What follows the first common token in both orders bounds the overlap; the pair is found at that token if at any.
-    near = reach(F.col("m"), F.col("dm"), F.col("n"), F.col("dn")) & (5 * F.col("n") >= 4 * F.col("dn")) & (5 * F.col("dn") >= 4 * F.col("n"))
+    rows = ranked.select("a", "n", "grp", "m", F.posexplode(F.slice("t", 1, first.cast("int"))).alias("at", "t"))
+    prefix = stage(rows.select("a", "n", "grp", (F.col("m") - F.col("at")).alias("left"), "t.token"), "group-prefixes")
+
+    def reach(left: Column, other: Column, n: Column, other_n: Column) -> Column:
+        """The overlap, at most what is left in both orders from the first common token on, can be four ninths of both sizes: a similarity of 0.8."""
+        return 9 * F.least(left, other) >= 4 * (n + other_n)
+
+    # The matrix: the union of the members' rarest tokens, with the most that is left of any member and the span of their sizes.
+    matrix = prefix.groupBy(F.col("token").alias("t"), F.col("grp").alias("other")).agg(F.max("left").alias("most_left"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    fits = reach(F.col("left"), F.col("most_left"), F.col("n"), F.col("least_n")) & (5 * F.col("n") >= 4 * F.col("least_n")) & (5 * F.col("most_n") >= 4 * F.col("n"))
+    bound = prefix.join(matrix, (F.col("token") == F.col("t")) & (F.col("grp") != F.col("other")) & fits).select("a", "other").distinct()
+    mine = prefix.join(bound, "a").select("token", "a", "n", "left", "other")
+    theirs = prefix.select(F.col("token").alias("t"), F.col("a").alias("d"), F.col("n").alias("dn"), F.col("left").alias("dleft"), F.col("grp").alias("dgrp"))
+    near = reach(F.col("left"), F.col("dleft"), F.col("n"), F.col("dn")) & (5 * F.col("n") >= 4 * F.col("dn")) & (5 * F.col("dn") >= 4 * F.col("n"))
     pairs = mine.join(theirs, (F.col("token") == F.col("t")) & (F.col("other") == F.col("dgrp")) & (F.col("a") < F.col("d")) & near)
     pairs = pairs.select(F.col("a").alias("u"), F.col("d").alias("v")).distinct()
     return _similar_pairs(pairs, sets)
