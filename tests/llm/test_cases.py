@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import random
+
 import brute
 import numpy as np
 import pytest
@@ -250,3 +252,39 @@ def test_decode_keeps_no_child_of_a_dropped_node():
         page.add(parent, 7)
     assert extraction.decode(page, np.array([0, -5.0, 2.0, 1.0, -1.0])) == [True, False, False, False, False]
     assert extraction.decode(page, np.array([0, -5.0, 4.0, 2.0, 1.0])) == [True, True, True, True, True]
+
+
+def test_large_grams_are_split(make):
+    """One phrase in a third of the rows, with other words around it each time: its grams are far larger than a shard."""
+    rng = random.Random(5)
+    phrase = " ".join(rng.choice(LONG.split()) + str(rng.randrange(99)) for _ in range(9))[:70]
+    copied = [phrase + " and what follows it in some rows " + "".join(rng.choice("abc ") for _ in range(k)) for k in (20, 60)]
+
+    def noise(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    rows = [(k, noise(60) + (rng.choice([phrase, phrase, *copied]) + noise(rng.choice([3, 60])) if k % 3 == 0 else "") + noise(60)) for k in range(360)]
+    rows += [(1000 + k, rows[3 * k][1][30:]) for k in range(20)]
+    want = brute.repeats(rows)
+    assert sum(w[1] for w in want.values()) > 2000
+    for options in ({"shard_bytes": 400, "sample": 1, "hot_runs": 5}, {"shard_bytes": 3000}):
+        out = suffixes.drop_repeats(make(rows), **options)
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()} == want
+
+
+def test_parts_of_a_large_gram():
+    """Equal windows keep one key however often a gram is split, and keys of different windows get few."""
+    rng = random.Random(6)
+    phrase = bytes(rng.randrange(97, 123) for _ in range(60))
+    strings = [bytes(rng.randrange(97, 123) for _ in range(60)) + phrase + bytes(rng.randrange(97, 123) for _ in range(60)) for _ in range(50)]
+    strings += strings[:5]
+    raw, bounds = np.frombuffer(b"".join(strings), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(s) for s in strings])])
+    for depth, most in ((2, 55), (4, 40), (0, 2)):
+        string, offset, length, key, prints = suffixes.parts_of(raw, bounds, np.zeros(len(strings), dtype=np.int64), 100, 20, depth)
+        keys, seen = {}, {}
+        for s, o, n, k in zip(string, offset, length, key):
+            keys.setdefault(k, set()).add(s)
+            for w in range(o, o + n - 99):
+                assert seen.setdefault(strings[s][w: w + 100], k) == k
+        assert sum(length - 99) == sum(len(s) - 99 for s in strings)
+        assert max(map(len, keys.values())) <= most, depth
