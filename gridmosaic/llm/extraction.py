@@ -25,8 +25,11 @@ GROUPS = {
 }
 TEXT = 0
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-UNSEEN = {"script", "style", "head", "title", "template", "noscript", "svg", "math", "select", "textarea", "button", "iframe", "object", "canvas", "audio", "video"}
+UNSEEN = {"script", "style", "title", "template", "noscript", "svg", "math", "select", "textarea", "button", "iframe", "object", "canvas", "audio", "video"}
 RAW = {"script", "style", "title", "textarea", "iframe"}  # hold no markup
+TO_END = {"script", "style", "textarea"}  # take the rest of the page if never closed
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I | re.A) for name in RAW}
+HEAD_END = re.compile(r"</head\s*>", re.I | re.A)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}}
 # Words of class, id and role, by what they speak for.
@@ -78,7 +81,7 @@ def read_page(source: str | None) -> Page:
     stack: list[tuple[str, int]] = [("#page", page.add(-1, GROUPS["html"]))]
     parts: list[str] = []
     linked, links, at = 0, 0, 0
-    lower = None
+    tags, ends = tags_of(source)
 
     def end_text() -> None:
         nonlocal linked
@@ -88,8 +91,9 @@ def read_page(source: str | None) -> Page:
         parts.clear()
         linked = 0
 
-    while True:
-        tag = MARKUP.search(source, at)
+    for tag in [*tags, None]:
+        if tag is not None and tag.start() < at:
+            continue  # inside an element that is not seen
         run = html.unescape(source[at: tag.start() if tag else len(source)])
         if run:
             parts.append(run)
@@ -102,10 +106,7 @@ def read_page(source: str | None) -> Page:
             continue
         name = tag[2].lower()
         if name in UNSEEN:
-            if not tag[1] and not tag[3].endswith("/"):
-                lower = lower or source.lower()
-                end = _end_of(lower, name, at)
-                at = len(source) if end is None else end
+            at = ends.get(tag.start(), at)
             continue
         if name == "br":
             parts.append(" ")
@@ -140,18 +141,45 @@ def read_page(source: str | None) -> Page:
     return page
 
 
-def _end_of(lower: str, name: str, at: int) -> int | None:
-    """Where the element that opened before `at` ends: at its next end tag, nested ones of its name counted unless its content is no markup."""
-    depth = 1
-    for m in re.compile(rf"<(/?){name}\b[^>]*>").finditer(lower, at):
-        depth += -1 if m[1] else (0 if name in RAW or name in ("head",) else 1)
-        if depth == 0:
-            return m.end()
-    # The head ends where the body starts.
-    if name == "head":
-        body = re.compile(r"<body\b").search(lower, at)
-        return body.start() if body else None
-    return None
+def tags_of(source: str) -> tuple[list[re.Match], dict[int, int]]:
+    """The tags and comments of a page in order, and where each element that is not seen ends, by the start of its start tag.
+
+    End tags belong to the last open element of their name. An element that is never closed has no end, so that only its start tag is skipped; but scripts,
+    styles and text areas take the rest of the page, or of an open head. What stands inside an element without markup gives no tags.
+    One pass, whatever is left open. A head has no end of its own: what it may hold is not seen or holds no text.
+    """
+    tags: list[re.Match] = []
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    endless: set[str] = set()
+    at, in_head = 0, False
+    while (tag := MARKUP.search(source, at)) is not None:
+        tags.append(tag)
+        at = tag.end()
+        if tag[2] is None:
+            continue
+        name = tag[2].lower()
+        if name in ("head", "body"):
+            in_head = name == "head" and not tag[1]
+        if name not in UNSEEN:
+            continue
+        if tag[1]:
+            if opened.get(name):
+                ends[opened[name].pop()] = tag.end()
+        elif tag[3].endswith("/"):
+            continue
+        elif name not in RAW:
+            opened.setdefault(name, []).append(tag.start())
+        else:
+            end = None if name in endless else RAW_END[name].search(source, at)
+            if end is not None:
+                at = ends[tag.start()] = end.end()
+                continue
+            endless.add(name)
+            if name in TO_END:
+                head = HEAD_END.search(source, at) if in_head else None
+                at = ends[tag.start()] = head.start() if head else len(source)
+    return tags, ends
 
 
 def node_features(page: Page) -> np.ndarray:

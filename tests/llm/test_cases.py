@@ -288,3 +288,28 @@ def test_parts_of_a_large_gram():
                 assert seen.setdefault(strings[s][w: w + 100], k) == k
         assert sum(length - 99) == sum(len(s) - 99 for s in strings)
         assert max(map(len, keys.values())) <= most, depth
+
+
+@pytest.mark.parametrize("name", ["button", "svg", "select", "object", "noscript", "iframe", "audio", "title", "canvas"])
+def test_unclosed_elements_lose_no_text(name):
+    article = "<p>First.</p><p>Last.</p>"
+    for source in (f"<body><p>Top.</p><{name} class='x'>{article}", f"<html><{name}>{article}</html>", f"<p>Top.</p><{name}>in</{name}><{name}>{article}"):
+        texts = [t for t in extraction.read_page(source).texts if t]
+        assert texts[-2:] == ["First.", "Last."] and "in" not in texts, source
+
+
+def test_heads_without_end_and_growing_letters():
+    def texts(source):
+        return [t for t in extraction.read_page(source).texts if t]
+
+    assert texts("<html><head><meta charset=x><title>T</title><style>p{}</style><article><p>One.</p></article>") == ["One."]
+    assert texts("<head><title>T</title><p>One.</p><script>x</script><p>Two.") == ["One.", "Two."]
+    assert texts("<head><title>T</title><link></head><body><p>One.</p></body>") == ["One."]
+    assert texts("<head><style>p{}</head><body><p>One.</p></body>") == ["One."]
+    assert texts("<p>One.</p><script>x <p>no</p>") == ["One."]
+    grown = "İ" * 40
+    for name in ("script", "style", "button", "noscript", "svg"):
+        assert texts(f"<p>{grown}</p><{name}>no</{name.upper()}><p>Text after it.</p><{name}>no</{name}><p>More.</p>") == [grown, "Text after it.", "More."]
+    assert texts("<svg><svg>a</svg>b</svg><p>x</p>") == ["x"]
+    assert texts("<noscript><!-- </noscript> -->no</noscript><p>x</p>") == ["x"]
+    assert texts("<svg><style>a</style>b</svg><p>x</p>") == ["x"]
