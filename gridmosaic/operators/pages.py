@@ -29,9 +29,12 @@ GRID = ArrayType(StructType([
 SPAN_LIMIT = 1000  # of the HTML standard for columns
 
 
-def _span(attributes: str, name: str) -> int:
+def _span(attributes: str, name: str, most: int) -> int:
     found = re.search(rf"\b{name}\s*=\s*[\"']?\s*(\d+)", attributes, re.I)
-    return min(max(1, int(found[1])), SPAN_LIMIT) if found else 1
+    if not found:
+        return 1
+    digits = found[1].lstrip("0")
+    return most if len(digits) > 9 else min(max(1, int(digits or 0)), most)
 
 
 def table_grid(html: str | None) -> list[tuple[int, int, bool, str]]:
@@ -39,6 +42,8 @@ def table_grid(html: str | None) -> list[tuple[int, int, bool, str]]:
     missing end tags end with the next cell or row."""
     source, out, held = html or "", [], {}
     row, col, cell = -1, 0, None
+    parts = list(TABLE_PART.finditer(source))
+    last = sum((part[1] or "").lower() == "tr" for part in parts)  # no row is later; one may stand before the first tag
 
     def close(end: int) -> None:
         nonlocal col, cell
@@ -49,14 +54,14 @@ def table_grid(html: str | None) -> list[tuple[int, int, bool, str]]:
         text = " ".join(entities.unescape(body).split())
         while held.get(col, 0) >= row + 1:
             col += 1
-        rows = _span(attributes, "rowspan")
-        for _ in range(_span(attributes, "colspan")):
+        rows = _span(attributes, "rowspan", last - row + 1)
+        for _ in range(_span(attributes, "colspan", SPAN_LIMIT)):
             out.extend((row + k, col, head, text) for k in range(rows))
             held[col] = row + rows
             col += 1
         cell = None
 
-    for part in TABLE_PART.finditer(source):
+    for part in parts:
         if part[0].startswith("<!--"):
             continue
         close(part.start())

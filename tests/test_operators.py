@@ -317,3 +317,10 @@ def test_cumulative_top_over_gaps(spark):
     assert got == want
     assert [r.edge for r in E.cumulative_top(spark.createDataFrame([(5.0,)], "x double"), "x", 2.5).orderBy("edge").collect()] == [0.0, 2.5, 5.0]
     assert E.cumulative_top(df.limit(0), "x", 2.5).isEmpty()
+
+
+def test_row_span_of_many_rows():
+    """A cell may span more than 1,000 rows; columns stay where they are, and a span beyond the table ends with it."""
+    for span in ("1500", "65534", "9" * 40):
+        table = f"<table><tr><th rowspan={span}>a<td>0</tr>" + "".join(f"<tr><td>{k}</tr>" for k in range(1, 1500)) + "</table>"
+        assert sorted(PG.table_grid(table)) == sorted((k, c, c == 0, "a" if c == 0 else str(k)) for k in range(1500) for c in (0, 1))
