@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from gridmosaic.llm.common import stage
 from gridmosaic.llm.components import components
@@ -257,21 +257,8 @@ def links_between_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
     return _similar_pairs(pairs, sets)
 
 
-def near_duplicates(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """The component of every document in the graph of near-duplicate links.
-
-    Words are runs without white space, A-Z lowered; a document's set holds its distinct 5-word shingles, or its whole word sequence if shorter. Two
-    documents link if their sets' Jaccard similarity is 0.8 or more. Texts with equal sets are one set from the start.
-
-    1. Each set is described by its size, two 64-bit prints and a prefix of its smallest hashes. Similar sets share at least a tenth of
-       the smaller set in their prefixes, so sets with fewer prefix tokens in other sets drop out. One shuffle, combined in the tasks.
-    2. The remaining sets are hashed in full. Each is compared with one set per key (`star_links`); components of those links are the groups.
-    3. Links between groups come from the token-group matrix (`links_between_groups`). Together the links have the components of all links.
-
-    Shingles and sets are told apart by 64-bit hashes. Null, empty and blank texts: 0 shingles, linked with nothing, not even with each other.
-    A null doc_id counts for no component_id; it gets that of its component, or null. Repeated rows repeat. Other columns are dropped. Empty table: no rows.
-    Returns doc_id, n_shingles, component_id, a (print of the set).
-    """
+def _labelled(docs: DataFrame, filter_bits: int) -> DataFrame:
+    """Rows (doc_id, n, a, root), one per document; documents of one component have one root. Method and cases as in `near_duplicates`."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = stage(source.mapInArrow(describe, "doc_id long, n long, a long, b long"), "set-prints")
     rows = source.mapInArrow(meet_prefixes, "token long, a long, c int, n int, chunk int")
@@ -293,15 +280,60 @@ def near_duplicates(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFram
     between = links_between_groups(sets, groups)
     roots = components(stars.unionByName(between))
     labelled = described.select("doc_id", "n", "a").join(roots, F.col("a") == F.col("u"), "left").select("doc_id", "n", "a", F.coalesce("root", "a").alias("root"))
-    labelled = stage(labelled, "labelled")
+    return stage(labelled, "labelled")
+
+
+def near_duplicates(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The component of every document in the graph of near-duplicate links.
+
+    Words are runs without white space, A-Z lowered; a document's set holds its distinct 5-word shingles, or its whole word sequence if shorter. Two
+    documents link if their sets' Jaccard similarity is 0.8 or more. Texts with equal sets are one set from the start.
+
+    1. Each set is described by its size, two 64-bit prints and a prefix of its smallest hashes. Similar sets share at least a tenth of
+       the smaller set in their prefixes, so sets with fewer prefix tokens in other sets drop out. One shuffle, combined in the tasks.
+    2. The remaining sets are hashed in full. Each is compared with one set per key (`star_links`); components of those links are the groups.
+    3. Links between groups come from the token-group matrix (`links_between_groups`). Together the links have the components of all links.
+
+    Shingles and sets are told apart by 64-bit hashes. Null, empty and blank texts: 0 shingles, linked with nothing, not even with each other.
+    A null doc_id counts for no component_id; it gets that of its component, or null. Repeated rows repeat. Other columns are dropped. Empty table: no rows.
+    Returns doc_id, n_shingles, component_id, a (print of the set).
+    """
+    labelled = _labelled(docs, filter_bits)
     least = labelled.filter("n > 0").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least"))
     out = labelled.join(least, (F.col("root") == F.col("r")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "a")
 
 
+def with_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with n and the first print of their set."""
+    for batch in batches:
+        for first, rows, n, prints, _, _ in _sets(batch):
+            columns = [batch.column(c).slice(first, rows) for c in ("doc_id", "text", "row")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64)), pa.array(prints[0])], names=["doc_id", "text", "row", "n", "a"])
+
+
 def one_of_each_group(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """Documents without the near duplicates of one with a smaller id. Cases as in `near_duplicates`; rows with a null id stay."""
-    found = near_duplicates(docs, filter_bits)
-    gone = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Of the rows of each component, the one with the smallest doc_id. Cases as in `near_duplicates`; rows with a null id stay, as do rows without shingles.
+
+    Rows may share a doc_id: a row is dropped by its id and the print of its set, so unlike text under the same id stays. Of rows with the
+    smallest id of a component the one with the smallest print is kept, of equal prints the smallest text, then the smallest JSON of the row.
+    """
+    labelled = _labelled(docs, filter_bits).filter(F.col("doc_id").isNotNull())
+    key = F.struct("doc_id", "a")
+    kept = labelled.filter("n > 0").groupBy(F.col("root").alias("r")).agg(F.min(key).alias("kept"))
+    gone = labelled.filter("n > 0").join(kept, F.col("root") == F.col("r")).filter(key != F.col("kept"))
+    gone = stage(gone.select(F.col("doc_id").alias("gone_id"), F.col("a").alias("gone_a")).distinct(), "gone-rows")
+    shared = stage(labelled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("shared_id")), "shared-ids")
+    row_id = docs["doc_id"].cast("long")
+    if shared.isEmpty():
+        return docs.join(gone, row_id == F.col("gone_id"), "left_anti")
+    alone = docs.join(shared, row_id == F.col("shared_id"), "left_anti")
+    alone = alone.join(gone, row_id == F.col("gone_id"), "left_anti")
+    several = docs.join(shared, row_id == F.col("shared_id"), "left_semi")
+    several = several.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+    schema = T.StructType([*several.schema.fields, T.StructField("n", T.LongType()), T.StructField("a", T.LongType())])
+    several = several.mapInArrow(with_prints, schema)
+    left = several.filter("n > 0").join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("a") == F.col("gone_a")), "left_anti")
+    first = left.groupBy("doc_id", "a").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+    return alone.unionByName(several.filter("n = 0").select("row.*")).unionByName(first.select("row.*"))

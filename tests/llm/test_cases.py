@@ -313,3 +313,13 @@ def test_heads_without_end_and_growing_letters():
     assert texts("<svg><svg>a</svg>b</svg><p>x</p>") == ["x"]
     assert texts("<noscript><!-- </noscript> -->no</noscript><p>x</p>") == ["x"]
     assert texts("<svg><style>a</style>b</svg><p>x</p>") == ["x"]
+
+
+def test_one_of_each_group_with_shared_ids(make):
+    """Unlike text under an id whose other row goes stays, and repeated rows of the smallest id leave one."""
+    words = LONG.split()
+    text, other, third = " ".join(words[:300]), " ".join(words[1000:1300]), " ".join(words[2000:2300])
+    rows = [(1, text), (2, text + " more"), (2, other), (3, third), (3, third), (4, third + " end"), (5, ""), (5, ""), (None, text)]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in ngrams.one_of_each_group(make(rows)).collect())
+    assert got == sorted([("1", text), ("2", other), ("3", third), ("5", ""), ("5", ""), ("None", text)])
+    assert ngrams.one_of_each_group(make(rows)).columns == make(rows).columns
