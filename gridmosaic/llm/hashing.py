@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 FILTER_BITS = 1 << 26  # of the filter sent to the tasks: 8 MB
 SLICE_BYTES = 1 << 20  # text hashed at a time
 
+WORD_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")  # a word in lowered UTF-8
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))  # translates A-Z
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 

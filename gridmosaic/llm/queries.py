@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from gridmosaic.llm import chat, contamination, extraction, lines, mixing, ngrams, quality, rules, suffixes, urls
+from gridmosaic.llm import chat, contamination, extraction, importance, lines, mixing, negatives, ngrams, quality, rules, spots, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WORDS5 = f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 MIX_SQL = f"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
     (CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, chr(0))), 1, 13) AS BIGINT)::DOUBLE + 0.5) / {float(1 << 52)!r} AS u FROM documents),
@@ -179,7 +180,6 @@ def op1_quality_gam(spark, sf_dir):
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_WORDS5 = f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 CONTAMINATION_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS5} AS w FROM documents),
 i AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS5} AS w FROM benchmark) WHERE len(w) > 0),
@@ -215,6 +215,75 @@ def op6_suffix_repeats(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+NEGATIVES_SQL = """
+WITH v AS MATERIALIZED (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+_COMMON = ", ".join(f"'{w}'" for w in dict.fromkeys(spots.COMMON_WORDS))
+SPOTS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t)::BIGINT AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nx FROM d),
+e AS MATERIALIZED (SELECT doc_id, t, n, nx, left(t, n - n // 2) || left(nx, n // 2) AS ed FROM n),
+texts AS MATERIALIZED (SELECT text, {_WORDS5} AS w FROM (SELECT t AS text FROM e UNION SELECT ed FROM e)),
+parts AS (SELECT text, list_filter(w, lambda x: NOT list_contains([{_COMMON}], x)) AS c FROM texts),
+places AS (SELECT text, x, x IN ({_COMMON}) AS anchor, sum((x NOT IN ({_COMMON}))::INT) OVER (PARTITION BY text ORDER BY i) AS k
+    FROM (SELECT text, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM texts)),
+chains AS (SELECT text, list_sort(list(DISTINCT substr(md5(x || ' ' || array_to_string(list_slice(c, k::BIGINT + 1, k::BIGINT + 3), ' ')), 1, 8))) AS s
+    FROM places JOIN parts USING (text) WHERE anchor AND k + 3 <= len(c) GROUP BY text),
+sets AS MATERIALIZED (SELECT text, CASE WHEN text = '' THEN []::VARCHAR[] WHEN s IS NOT NULL THEN s
+    ELSE [substr(md5(CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE text END), 1, 8)] END AS s FROM texts LEFT JOIN chains USING (text)),
+pairs AS (SELECT doc_id, n, sha256(ed) AS edited_sha256, a.s AS a, b.s AS b, c.s AS c FROM e JOIN sets a ON t = a.text JOIN sets b ON ed = b.text JOIN sets c ON nx = c.text)
+SELECT doc_id, n AS n_chars, edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+    CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END AS near_edited,
+    CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, c))::DOUBLE / len(list_distinct(list_concat(a, c))) END AS near_next
+FROM pairs
+"""
+
+
+@query("op12_spot_fingerprints", SPOTS_SQL)
+def op12_spot_fingerprints(spark, sf_dir):
+    return spots.fingerprints(table(spark, sf_dir, "documents"))
+
+
+# The checksum of a word: its bytes folded through the table of the usual reflected polynomial, which is made by its rule.
+_CRC_STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+RESAMPLE_SQL = f"""
+WITH RECURSIVE steps AS (SELECT i AS byte, i::BIGINT AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT byte, {_CRC_STEP.format('c')}, k + 1 FROM steps WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY byte) AS tab FROM steps WHERE k = 8),
+dw AS MATERIALIZED (SELECT doc_id, unnest({_WORDS5}) AS w FROM documents),
+tw AS MATERIALIZED (SELECT unnest({_WORDS5}) AS w FROM benchmark),
+vocabulary AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM tw)),
+hashed AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM vocabulary, crc),
+ds AS (SELECT b, count(*) AS s FROM dw JOIN hashed USING (w) GROUP BY b),
+ts AS (SELECT b, count(*) AS t FROM tw JOIN hashed USING (w) GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM ds)::BIGINT + 10000)::DOUBLE / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM ts)::BIGINT + 10000)::DOUBLE))) AS g
+    FROM ds LEFT JOIN ts USING (b)),
+wide AS (SELECT doc_id, count(*)::BIGINT AS n_features, floor(sum(g) / count(*))::BIGINT AS weight FROM dw JOIN hashed USING (w) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM documents LEFT JOIN wide USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+@query("op13_importance_resampling", RESAMPLE_SQL)
+def op13_importance_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
