@@ -21,7 +21,8 @@ def explicit_questions(questions: DataFrame, cells: DataFrame) -> DataFrame:
     The first such cell in reading order is reported; of equal texts in a row
     the first column counts.
     """
-    data = cells.where((F.col("row_idx") > 0) & (F.length("original") > 0))
+    asked = questions.select(F.col("table_context").alias("table_id")).distinct()
+    data = cells.where((F.col("row_idx") > 0) & (F.length("original") > 0)).join(asked, "table_id", "left_semi")
     firsts = data.groupBy("table_id", "row_idx", F.lower("original").alias("found_word")).agg(
         F.min_by(F.struct("col_idx", "cell"), "col_idx").alias("c")
     )

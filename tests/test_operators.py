@@ -1,13 +1,14 @@
 """Operators on small hand-made tables and against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Row, functions as F
 
-from gridmosaic.functions import tags as T
+from gridmosaic.functions import links as L, tags as T
 from gridmosaic.operators import cells as C, entities as E, interleave as N, pages as PG, prompts as P, questions as Q, ranking as K, responses as R, sampling as SA, scoring as S, similarity as M, tagging as TG
-from gridmosaic.operators.containment import bounded_candidates, contained_texts
+from gridmosaic.operators.containment import BOUNDED, Automaton, bounded_candidates, contained_texts, occurring_texts
 
 CELLS = "table_id bigint, row_idx bigint, col_idx bigint, header string, original string, cell string"
 
@@ -324,3 +325,39 @@ def test_row_span_of_many_rows():
     for span in ("1500", "65534", "9" * 40):
         table = f"<table><tr><th rowspan={span}>a<td>0</tr>" + "".join(f"<tr><td>{k}</tr>" for k in range(1, 1500)) + "</table>"
         assert sorted(PG.table_grid(table)) == sorted((k, c, c == 0, "a" if c == 0 else str(k)) for k in range(1500) for c in (0, 1))
+
+
+def test_texts_that_reach_into_tags(spark):
+    cells = spark.createDataFrame([(1234, 1, 0, "h", "Oslo and Turku, Rome", "Oslo and Turku, Rome"), (1234, 2, 0, "h", "none", "none")],
+                                  "table_id bigint, row_idx bigint, col_idx bigint, header string, original string, cell string")
+    texts = ["Oslo", "Turku", "Rome", "1234", "img-", "-1-0", "1-0-2", "5678", "}} and"]
+    anchors = spark.createDataFrame([(1234, t, f"/wiki/{k}") for k, t in enumerate(texts)], "table_id bigint, text string, link string")
+    linked = anchors.select("link").distinct()
+    images = linked.select(L.absolute_link(F.col("link")).alias("link"), F.lit("p").alias("image_path"))
+    found = {(r.row_idx, r.text) for r in TG._candidates(cells, anchors, "DRV").collect()}
+    assert found == {(1, t) for t in texts if t != "5678"}
+    hits = {r.row_idx: [h.text for h in r.hits] for r in TG.tag_cells_by_text(cells, anchors, images, "DRV").collect()}
+    assert hits[2] == [] and {"Turku", "Oslo", "Rome"} <= set(hits[1])
+
+
+def test_occurring_texts_in_ranges(spark):
+    """A block cut into ranges of needles and texts gives the same rows, repeats included."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abç ") for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    needles = sorted({"".join(rng.choice("abç ") for _ in range(rng.randint(1, 4))) for _ in range(80)})
+    hay = spark.createDataFrame([(i % 3 or None, i, t) for i, t in enumerate(texts)], "b int, k int, t string")
+    nee = spark.createDataFrame([(i % 3 or None, n) for i, n in enumerate(needles)], "b int, n string")
+    for sizes in ({}, {"range_chars": 7, "text_chars": 50}):
+        got = sorted((r.k, r.needle) for r in occurring_texts(hay, nee, "b", ("k",), "t", "n", **sizes).collect() if r.b)
+        assert got == sorted((i, n) for i, t in enumerate(texts) for j, n in enumerate(needles) if i % 3 == j % 3 and i % 3 and n in t)
+
+
+def test_automaton_finds_all_needles():
+    rng = random.Random(1)
+    for _ in range(200):
+        needles = sorted({"".join(rng.choice("ab1") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 12))})
+        text = "".join(rng.choice("ab1 ") for _ in range(rng.randint(0, 40)))
+        found = Automaton(needles)
+        assert {needles[i] for i in found.find(text)} == {n for n in needles if n in text}
+        bounded = {n for n in needles if re.search(rf"(?<![a-z0-9]){n}(?![a-z0-9])", text)}
+        assert {needles[i] for i in found.find(text, BOUNDED)} == bounded
