@@ -27,21 +27,41 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+TABLE_PLACES = 64
+PLACE_TABLE = mix(np.arange(TABLE_PLACES << 8, dtype=np.uint64), 31)
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n + 1, base, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Row number of the first text, the bytes and the bounds of about `SLICE_BYTES` of texts at a time."""
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word low[start:end]: the scrambled sum of random numbers, one per byte value and place in the word.
+
+    Unlike a polynomial of the bytes, the sum has no words that are bound to meet. Words lie one after another and do not overlap.
+    """
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    symbol = low[np.repeat(starts, size) + place].astype(np.int64)
+    drawn = PLACE_TABLE[(np.minimum(place, TABLE_PLACES - 1) << 8) | symbol]
+    far = place >= TABLE_PLACES - 1
+    if far.any():
+        drawn[far] = mix(((place[far] << 8) | symbol[far]).view(np.uint64), 31)
+    return mix(np.add.reduceat(drawn, first) + size.astype(np.uint64)) if len(size) else np.zeros(0, dtype=np.uint64)
+
+
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row number of the first text, the bytes and the bounds of about `size` bytes of texts at a time."""
     texts = batch.column("text").cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset: texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     a = 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE_BYTES, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
         yield a, raw[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]
         a = b
 

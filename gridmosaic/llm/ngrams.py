@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from gridmosaic.llm.common import stage
 from gridmosaic.llm.components import components
-from gridmosaic.llm.hashing import BASE, BASE_INVERSE, FILTER_BITS, joint, key_filter, mix, passes_filter, powers, slices
+from gridmosaic.llm.hashing import FILTER_BITS, joint, key_filter, mix, passes_filter, slices, word_hashes
 
 N_WORDS = 5
 N_KEYS = 3  # grouping keys of a set
 ROUNDS = 2  # of heads per key
 QUERY_ROUNDS = 3  # of counting the tokens that stand in other groups
-CHUNK_TOKENS = 1 << 20  # prefix tokens met before they leave a task
+CHUNK_TOKENS = 1 << 18  # prefix tokens met before they leave a task
+TEXT_BYTES = 1 << 17  # of texts hashed at a time; each becomes a dozen numbers for a while
 
 PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -24,15 +25,13 @@ PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0
 def shingles_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of texts that lie one after another in `raw`: (text number, hash), sorted by both.
 
-    A-Z are lowered. A word's hash is a polynomial of its bytes, taken from running sums; a shingle's is a
-    weighted sum of its words' hashes, scrambled. A text of one to four words has one shingle of all of them.
+    A-Z are lowered. A shingle's hash is a weighted sum of its words' hashes, scrambled. A text of one to four words has one shingle of all of them.
     """
     none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     if not len(raw):
         return none
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw).astype(np.uint64)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((low + np.uint64(1)) * powers(BASE, len(raw) - 1))])
+    low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[bounds] = True
     word = ~blank
@@ -40,7 +39,7 @@ def shingles_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     ends = np.flatnonzero(word & (edge[1:] | np.concatenate([blank[1:], [True]]))) + 1
     if not len(starts):
         return none
-    words = mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(raw))[starts])
+    words = word_hashes(low, starts, ends)
     owner = np.searchsorted(bounds, starts, side="right") - 1
     n = np.bincount(owner, minlength=len(bounds) - 1)
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -67,7 +66,7 @@ def shingles_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per slice: first row, rows, sizes, both halves of the set prints, places and hashes of the sets' members."""
-    for first, raw, bounds in slices(batch):
+    for first, raw, bounds in slices(batch, TEXT_BYTES):
         rows = len(bounds) - 1
         texts, hashes = shingles_of(raw, bounds)
         n = np.bincount(texts, minlength=rows)
@@ -108,6 +107,7 @@ def meet_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def flush() -> pa.RecordBatch:
         a, n, t, length = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
         owner = np.repeat(np.arange(len(a)), length)
         _, one = np.unique(a, return_index=True)
         single = np.zeros(len(a), dtype=bool)
@@ -136,7 +136,7 @@ def meet_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             held += len(keep)
             if held >= CHUNK_TOKENS:
                 yield flush()
-                chunk, held, parts = chunk + 1, 0, []
+                chunk, held = chunk + 1, 0
     if parts:
         yield flush()
 
@@ -248,8 +248,7 @@ def links_between_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
     # The matrix: the union of the members' rarest tokens, with the most that is left of any member and the span of their sizes.
     matrix = prefix.groupBy(F.col("token").alias("t"), F.col("grp").alias("other")).agg(F.max("left").alias("most_left"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     fits = reach(F.col("left"), F.col("most_left"), F.col("n"), F.col("least_n")) & (5 * F.col("n") >= 4 * F.col("least_n")) & (5 * F.col("most_n") >= 4 * F.col("n"))
-    bound = prefix.join(matrix, (F.col("token") == F.col("t")) & (F.col("grp") != F.col("other")) & fits).select("a", "other").distinct()
-    mine = prefix.join(bound, "a").select("token", "a", "n", "left", "other")
+    mine = prefix.join(matrix, (F.col("token") == F.col("t")) & (F.col("grp") != F.col("other")) & fits).select("token", "a", "n", "left", "other")
     theirs = prefix.select(F.col("token").alias("t"), F.col("a").alias("d"), F.col("n").alias("dn"), F.col("left").alias("dleft"), F.col("grp").alias("dgrp"))
     near = reach(F.col("left"), F.col("dleft"), F.col("n"), F.col("dn")) & (5 * F.col("n") >= 4 * F.col("dn")) & (5 * F.col("dn") >= 4 * F.col("n"))
     pairs = mine.join(theirs, (F.col("token") == F.col("t")) & (F.col("other") == F.col("dgrp")) & (F.col("a") < F.col("d")) & near)

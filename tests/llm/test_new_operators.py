@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridmosaic.llm import importance, negatives, spots
+from gridmosaic.llm import importance, negatives, ngrams, spots
 
 VECTORS = "vec_id long, label int, embedding array<float>"
 
@@ -177,3 +177,13 @@ def test_resampling_cases(spark):
     by_rank = sorted((r for r in every if r["rank"]), key=lambda r: r["rank"])
     keys = [(-r["score"], r["doc_id"] is None, r["doc_id"] or 0) for r in by_rank]
     assert keys == sorted(keys)
+
+
+def test_long_words_that_a_polynomial_would_confuse(make):
+    """A word that doubles itself with a and b swapped, and its swap: different words, so different sets."""
+    swap = str.maketrans("ab", "ba")
+    word = "a"
+    for _ in range(10):
+        word += word.translate(swap)
+    got = {r["doc_id"]: r["component_id"] for r in ngrams.near_duplicates(make([(1, word), (2, word.translate(swap)), (3, word)])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
