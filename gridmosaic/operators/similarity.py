@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridmosaic.operators.ranking import HOT_GROUP_ROWS, position_in_group
 from gridmosaic.operators.scoring import ngrams, word_tokens
 from gridmosaic.session import reliable_checkpoint
 
-STAGES = (0.8, 0.4, 0.0)
+SEED_SHINGLES = 4  # rarest shared shingles that give a first match
 GLUE = "\x01"
 
 
@@ -51,45 +51,73 @@ def _side(shingles: DataFrame, block: Sequence[str], frequency: DataFrame, name:
     return members.select(*block, "table_id", "set_id"), reliable_checkpoint(numbered)
 
 
-def _prefix(side: DataFrame, name: str, threshold: float) -> DataFrame:
-    n = F.col(f"{name}_n")
-    return side.where(F.col("pos") <= n - F.ceil(F.lit(threshold) * n) + 1).drop("pos")
-
-
-def _set_pairs(left: DataFrame, right: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
-    """All pairs of sets with a Jaccard of at least ``threshold`` (above 0 if it is 0)."""
-    key = [*block, "left_set", "right_set"]
-    if threshold > 0:
-        # sets this similar share one of their rarest shingles, and are of similar size
-        close = F.least("left_n", "right_n") >= threshold * F.greatest("left_n", "right_n")
-        candidates = (
-            _prefix(left, "left", threshold).join(_prefix(right, "right", threshold), [*block, "shingle"])
-            .where(close).select(*key).distinct()
-        )
-        shared = (
-            candidates.join(left.drop("pos"), [*block, "left_set"])
-            .join(right.drop("pos"), [*block, "right_set", "shingle"])
-        )
-    else:
-        shared = left.drop("pos").join(right.drop("pos"), [*block, "shingle"])
-    counted = shared.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("both"), F.first("left_n").alias("left_n"), F.first("right_n").alias("right_n")
+def _bound(left: Column, n: Column, m: Column) -> Column:
+    """The highest Jaccard of sets of n and m that have at most ``left`` in common."""
+    both = F.least(left, m)
+    return both.cast("double") / (n + m - both)
+
+
+def _postings(right: DataFrame, block: Sequence[str], frequency: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The list of every shingle by falling weight (smaller sets first, then smaller ids), cut into pieces, and a bound per piece.
+
+    A list of f has about sqrt(f) pieces of about sqrt(f), so neither a look at
+    all bounds of a list nor one piece is long.
+    """
+    key = [*block, "shingle"]
+    listed = right.drop("pos").join(frequency, key)
+    ordered = position_in_group(
+        listed, key, [F.col("right_n"), F.col("match_id")], F.col("right_n"), "at",
+        hot_groups=frequency.where(F.col("frequency") > HOT_GROUP_ROWS).select(*key),
+    )
+    postings = reliable_checkpoint(ordered.select(
+        *key, F.floor((F.col("at") - 1) / F.ceil(F.sqrt("frequency"))).cast("int").alias("piece"), "right_set", "right_n", "match_id"
+    ))
+    pieces = postings.groupBy(*key, "piece").agg(
+        F.min("right_n").alias("least_n"), F.max("right_n").alias("most_n"), F.min_by("match_id", F.struct("right_n", "match_id")).alias("first_id"),
+        F.min("match_id").alias("least_id"),
     )
-    jaccard = F.col("both").cast("double") / (F.col("left_n") + F.col("right_n") - F.col("both"))
-    return counted.withColumn("similarity", jaccard).where(F.col("similarity") >= threshold)
+    return postings, pieces
 
 
-def best_table_match(
-    left: DataFrame, right: DataFrame, block_key: str | None = "block", stages: Sequence[float] = STAGES
-) -> DataFrame:
+def _seeds(left: DataFrame, postings: DataFrame, block: Sequence[str]) -> DataFrame:
+    """A first match for each left set that shares anything.
+
+    It has most in common among the first pieces of the lists of the rarest
+    shared shingles and the first entry of the most common one's.
+    """
+    key = [*block, "left_set"]
+    shared = left.where("shared").withColumn("nth", F.row_number().over(W.partitionBy(*key).orderBy("pos")))
+    shared = shared.withColumn("last", F.max("pos").over(W.partitionBy(*key)))
+    head = postings.where("piece = 0")
+    first = head.groupBy(*block, "shingle").agg(F.min(F.struct("right_n", "match_id", "right_set")).alias("f")).select(*block, "shingle", "f.*")
+    near = shared.where(F.col("nth") <= SEED_SHINGLES).join(head, [*block, "shingle"])
+    common = shared.where((F.col("pos") == F.col("last")) & (F.col("nth") > SEED_SHINGLES)).join(first, [*block, "shingle"])
+    columns = [*key, "left_n", "right_set", "right_n", "match_id"]
+    counted = near.select(*columns).unionByName(common.select(*columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("both"))
+    low = F.col("both").cast("double") / (F.col("left_n") + F.col("right_n") - F.col("both"))
+    best = F.max_by(F.struct("left_n", "right_set", "right_n", "match_id"), F.struct(low, (-F.col("match_id")).alias("o"))).alias("s")
+    return counted.groupBy(*key).agg(best).select(*key, "s.*")
+
+
+def _similarities(pairs: DataFrame, left: DataFrame, right: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Adds the Jaccard ``similarity`` to pairs of sets, by their common shingles; pairs without any go."""
+    key = [*block, "left_set"]
+    shared = pairs.join(left.where("shared").select(*key, "shingle"), key).join(right.select(*block, "right_set", "shingle"), [*block, "right_set", "shingle"])
+    counted = shared.groupBy(*key, "right_set", "left_n", "right_n", "match_id").agg(F.count(F.lit(1)).alias("both"))
+    return counted.withColumn("similarity", F.col("both").cast("double") / (F.col("left_n") + F.col("right_n") - F.col("both")))
+
+
+def best_table_match(left: DataFrame, right: DataFrame, block_key: str | None = "block", least: float = 0.0) -> DataFrame:
     """For each left table the most similar right table of its block.
 
     Inputs: (block, table_id, shingle), distinct; tables are listed in the order
-    of their id, and ties go to the first. No overlap gives null.
+    of their id, and ties go to the first. No overlap, or none of ``least``, gives null.
 
-    Tables of equal content are compared once. Stages go from a high similarity
-    down: at each, only sets that share a rare shingle are compared, and the left
-    sets that found a match leave. The last stage (0) compares what is left.
+    Tables of equal content are compared once. The shingles of a left set are
+    read from rare to common. What is left of them from one shingle on bounds
+    the overlap with any right set not met before, so pieces of a list that
+    cannot beat the best known so far are not opened, and reading ends where no
+    list can. Only right sets from opened pieces are compared in full.
     """
     block = [block_key] if block_key else []
     left, right = reliable_checkpoint(left), reliable_checkpoint(right)  # each is read several times
@@ -97,19 +125,33 @@ def best_table_match(
     left_members, left_sets = _side(left, block, frequency, "left")
     right_members, right_sets = _side(right, block, frequency, "right")
     first_right = right_members.groupBy(*block, F.col("set_id").alias("right_set")).agg(F.min("table_id").alias("match_id"))
-
-    found, open_sets = None, left_sets
-    for threshold in stages:
-        pairs = _set_pairs(open_sets, right_sets, block, threshold).join(first_right, [*block, "right_set"])
-        best = pairs.groupBy(*block, "left_set").agg(
-            F.max_by("match_id", F.struct("similarity", (-F.col("match_id")).alias("o"))).alias("match_id"),
-            F.max("similarity").alias("similarity"),
-        )
-        best = reliable_checkpoint(best)
-        found = best if found is None else found.unionByName(best)
-        open_sets = open_sets.join(best.select(*block, "left_set"), [*block, "left_set"], "left_anti")
+    right_sets = right_sets.join(first_right, [*block, "right_set"])
+    frequency = right_sets.groupBy(*block, "shingle").agg(F.count(F.lit(1)).alias("frequency"))
+    postings, pieces = _postings(right_sets, block, frequency)
+
+    key = [*block, "left_set"]
+    known = frequency.select(*block, "shingle", F.lit(True).alias("shared"))
+    left_sets = left_sets.join(known, [*block, "shingle"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    seeds = _similarities(_seeds(left_sets, postings, block), left_sets, right_sets, block)
+    low = F.greatest("similarity", F.lit(float(least))).alias("low")
+    seeds = reliable_checkpoint(seeds.select(*key, low, F.col("match_id").alias("seed_id")))
+    reading = left_sets.where("shared").join(seeds, key).withColumn("left", F.col("left_n") - F.col("pos") + 1)
+    reading = reading.where(_bound(F.col("left"), F.col("left_n"), F.col("left")) >= F.col("low"))
+    # the bound rises with the size of a right set up to what is left, then falls
+    top_n = F.greatest(F.col("least_n"), F.least(F.col("most_n"), F.col("left")))
+    top = _bound(F.col("left"), F.col("left_n"), top_n)
+    opened = reading.join(pieces, [*block, "shingle"]).where(
+        (top > F.col("low")) | ((top == F.col("low")) & (F.col("least_id") <= F.col("seed_id"))) | ((top == F.col("low")) & (F.col("low") == least))
+    )
+    bound = _bound(F.col("left"), F.col("left_n"), F.col("right_n"))
+    pairs = opened.select(*key, "left_n", "left", "low", "seed_id", "shingle", "piece").join(postings, [*block, "shingle", "piece"])
+    pairs = pairs.where((bound > F.col("low")) | ((bound == F.col("low")) & ((F.col("match_id") <= F.col("seed_id")) | (F.col("low") == least))))
+    pairs = reliable_checkpoint(pairs.select(*key, "right_set", "left_n", "right_n", "match_id").distinct())
+    near = _similarities(pairs, left_sets, right_sets, block).where(F.col("similarity") >= least)
+    best = near.groupBy(*key).agg(F.max(F.struct("similarity", (-F.col("match_id")).alias("o"))).alias("b"))
+    found = best.select(*key, F.col("b.similarity").alias("similarity"), (-F.col("b.o")).alias("match_id"))
     return (
-        left_members.withColumnRenamed("set_id", "left_set").join(found, [*block, "left_set"], "left")
+        left_members.withColumnRenamed("set_id", "left_set").join(found, key, "left")
         .select(*block, "table_id", "match_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
     )
 
@@ -117,10 +159,7 @@ def best_table_match(
 def near_duplicates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """``best_table_match`` without a block: the most similar right table of at
     least ``threshold``, or null."""
-    if threshold <= 0:
-        raise ValueError("a threshold above 0 is needed without a block")
-    stages = [t for t in STAGES if t > threshold] + [threshold]
-    return best_table_match(left, right, None, stages)
+    return best_table_match(left, right, None, threshold)
 
 
 def multiset_jaccard(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:

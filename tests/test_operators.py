@@ -218,6 +218,32 @@ def test_best_match_and_ties(spark):
     assert far == {1: 11, 2: None, 3: None}
 
 
+def best_by_hand(left, right, least):
+    out = {}
+    for k, s in left.items():
+        found = [(-len(s & t) / len(s | t), j) for j, t in right.items() if s & t and len(s & t) / len(s | t) >= least]
+        out[k] = (min(found)[1], -min(found)[0]) if found else (None, 0.0)
+    return out
+
+
+@pytest.mark.parametrize("alphabet", [30, 300])
+def test_best_match_with_a_shingle_in_every_table(spark, monkeypatch, alphabet):
+    """All tables share one shingle, sizes and similarities tie often; the pieces of its list that cannot win are not opened."""
+    rng = random.Random(alphabet)
+    left, right = ({k: frozenset({"all"} | {f"x{rng.randrange(alphabet)}" for _ in range(rng.randint(0, 6))}) for k in ids} for ids in (range(60), range(100, 260)))
+
+    def sets(d):
+        return spark.createDataFrame([(0, k, c) for k, v in d.items() for c in v], "block int, table_id bigint, shingle string")
+
+    seen, keep = [], M.reliable_checkpoint
+    monkeypatch.setattr(M, "reliable_checkpoint", lambda df: seen.append(keep(df)) or seen[-1])
+    got = {r.table_id: (r.match_id, r.similarity) for r in M.best_table_match(sets(left), sets(right)).collect()}
+    assert got == best_by_hand(left, right, 0.0)
+    assert seen[-1].count() < len(set(left.values())) * len(set(right.values())) / 4
+    got = {r.table_id: (r.match_id, r.similarity) for r in M.best_table_match(sets(left), sets(right), least=0.4).collect()}
+    assert got == best_by_hand(left, right, 0.4)
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
