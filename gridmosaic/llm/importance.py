@@ -129,8 +129,8 @@ def ranked_draw(scored: DataFrame, share: tuple[int, int], min_words: int) -> Da
     above_steps = counts.groupBy("step").agg(F.sum("c").alias("c")).select("step", (F.sum("c").over(W.orderBy(F.desc("step"))) - F.col("c")).alias("above"))
     within = W.partitionBy("step").orderBy(F.desc("score"))
     places = counts.join(above_steps, "step").select("score", "c", (F.col("above") + F.sum("c").over(within) - F.col("c")).alias("above"))
-    wanted = counts.agg(F.floor(F.coalesce(F.sum("c"), F.lit(0)) * share[0] / share[1]).alias("wanted"))
-    reached = stage(places.join(wanted, F.col("above") < F.col("wanted")), "score-places")
+    wanted = counts.agg(F.floor(F.coalesce(F.sum("c"), F.lit(0)) * share[0] / share[1])).scalar()
+    reached = stage(places.withColumn("wanted", wanted).filter(F.col("above") < F.col("wanted")), "score-places")
 
     joined = scored.join(reached, "score", "left")
     drawn = joined.filter(F.col("above").isNotNull() & (F.col("n_words") >= min_words))
