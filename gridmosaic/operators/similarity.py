@@ -10,7 +10,8 @@ from gridmosaic.operators.ranking import HOT_GROUP_ROWS, position_in_group
 from gridmosaic.operators.scoring import ngrams, word_tokens
 from gridmosaic.session import reliable_checkpoint
 
-SEED_SHINGLES = 4  # rarest shared shingles that give a first match
+RARE = 64  # right sets of a shingle that is met and counted
+HEADS = 4  # hot lists of which the whole first piece may give a first match
 GLUE = "\x01"
 
 
@@ -37,18 +38,12 @@ def signatures(shingles: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _side(shingles: DataFrame, block: Sequence[str], frequency: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Members (every table with its set) and the sets, one per distinct
-    content, with their shingles numbered from rare to common."""
+def _side(shingles: DataFrame, block: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Members (every table with its set) and the shingles of the sets, one set per distinct content."""
     members = reliable_checkpoint(signatures(shingles, [*block, "table_id"]).withColumn("set_id", F.concat_ws("-", "n", "h1", "h2")))
     firsts = members.groupBy(*block, "set_id").agg(F.min("table_id").alias("table_id"), F.first("n").alias("n"))
-    rows = shingles.join(firsts, [*block, "table_id"]).join(frequency, [*block, "shingle"], "left")
-    rows = rows.withColumn("frequency", F.coalesce("frequency", F.lit(0)))
-    numbered = position_in_group(
-        rows, [*block, "set_id"], [F.col("frequency"), F.col("shingle")], F.col("frequency"), "pos",
-        hot_groups=firsts.where(F.col("n") > HOT_GROUP_ROWS),
-    ).select(*block, F.col("set_id").alias(f"{name}_set"), F.col("n").alias(f"{name}_n"), "shingle", "pos")
-    return members.select(*block, "table_id", "set_id"), reliable_checkpoint(numbered)
+    rows = shingles.join(firsts, [*block, "table_id"]).select(*block, F.col("set_id").alias(f"{name}_set"), F.col("n").alias(f"{name}_n"), "shingle")
+    return members.select(*block, "table_id", "set_id"), rows
 
 
 def _bound(left: Column, n: Column, m: Column) -> Column:
@@ -57,97 +52,99 @@ def _bound(left: Column, n: Column, m: Column) -> Column:
     return both.cast("double") / (n + m - both)
 
 
-def _postings(right: DataFrame, block: Sequence[str], frequency: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The list of every shingle by falling weight (smaller sets first, then smaller ids), cut into pieces, and a bound per piece.
+def _postings(right: DataFrame, frequency: DataFrame, block: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The list of every shingle by falling weight (smaller sets first, then smaller ids), cut into pieces, and what bounds a piece.
 
     A list of f has about sqrt(f) pieces of about sqrt(f), so neither a look at
     all bounds of a list nor one piece is long.
     """
     key = [*block, "shingle"]
-    listed = right.drop("pos").join(frequency, key)
     ordered = position_in_group(
-        listed, key, [F.col("right_n"), F.col("match_id")], F.col("right_n"), "at",
+        right, key, [F.col("right_n"), F.col("match_id")], F.col("right_n"), "at",
         hot_groups=frequency.where(F.col("frequency") > HOT_GROUP_ROWS).select(*key),
     )
-    postings = reliable_checkpoint(ordered.select(
-        *key, F.floor((F.col("at") - 1) / F.ceil(F.sqrt("frequency"))).cast("int").alias("piece"), "right_set", "right_n", "match_id"
-    ))
+    piece = F.floor((F.col("at") - 1) / F.ceil(F.sqrt("frequency"))).cast("int").alias("piece")
+    postings = reliable_checkpoint(ordered.select(*key, piece, "right_set", "right_n", "match_id"))
     pieces = postings.groupBy(*key, "piece").agg(
-        F.min("right_n").alias("least_n"), F.max("right_n").alias("most_n"), F.min_by("match_id", F.struct("right_n", "match_id")).alias("first_id"),
-        F.min("match_id").alias("least_id"),
-    )
+        F.min("right_n").alias("least_n"), F.max("right_n").alias("most_n"), F.min("match_id").alias("least_id"))
     return postings, pieces
 
 
-def _seeds(left: DataFrame, postings: DataFrame, block: Sequence[str]) -> DataFrame:
-    """A first match for each left set that shares anything.
-
-    It has most in common among the first pieces of the lists of the rarest
-    shared shingles and the first entry of the most common one's.
-    """
-    key = [*block, "left_set"]
-    shared = left.where("shared").withColumn("nth", F.row_number().over(W.partitionBy(*key).orderBy("pos")))
-    shared = shared.withColumn("last", F.max("pos").over(W.partitionBy(*key)))
-    head = postings.where("piece = 0")
-    first = head.groupBy(*block, "shingle").agg(F.min(F.struct("right_n", "match_id", "right_set")).alias("f")).select(*block, "shingle", "f.*")
-    near = shared.where(F.col("nth") <= SEED_SHINGLES).join(head, [*block, "shingle"])
-    common = shared.where((F.col("pos") == F.col("last")) & (F.col("nth") > SEED_SHINGLES)).join(first, [*block, "shingle"])
-    columns = [*key, "left_n", "right_set", "right_n", "match_id"]
-    counted = near.select(*columns).unionByName(common.select(*columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("both"))
-    low = F.col("both").cast("double") / (F.col("left_n") + F.col("right_n") - F.col("both"))
-    best = F.max_by(F.struct("left_n", "right_set", "right_n", "match_id"), F.struct(low, (-F.col("match_id")).alias("o"))).alias("s")
-    return counted.groupBy(*key).agg(best).select(*key, "s.*")
-
-
-def _similarities(pairs: DataFrame, left: DataFrame, right: DataFrame, block: Sequence[str]) -> DataFrame:
-    """Adds the Jaccard ``similarity`` to pairs of sets, by their common shingles; pairs without any go."""
+def _similarities(pairs: DataFrame, left_hot: DataFrame, right_hot: DataFrame, block: Sequence[str]) -> DataFrame:
+    """``similarity`` of pairs whose common rare shingles are counted in ``both``, with their common hot ones."""
     key = [*block, "left_set"]
-    shared = pairs.join(left.where("shared").select(*key, "shingle"), key).join(right.select(*block, "right_set", "shingle"), [*block, "right_set", "shingle"])
-    counted = shared.groupBy(*key, "right_set", "left_n", "right_n", "match_id").agg(F.count(F.lit(1)).alias("both"))
-    return counted.withColumn("similarity", F.col("both").cast("double") / (F.col("left_n") + F.col("right_n") - F.col("both")))
+    columns = [*key, "right_set", "left_n", "right_n", "match_id", "both"]
+    met = pairs.join(left_hot.select(*key, "shingle"), key).join(right_hot.select(*block, "right_set", "shingle"), [*block, "right_set", "shingle"])
+    counted = pairs.select(*columns).unionByName(met.withColumn("both", F.lit(1).cast("bigint")).select(*columns)).groupBy(*columns[:-1]).agg(F.sum("both").alias("both"))
+    return counted.where("both > 0").withColumn("similarity", _jaccard(F.col("both")))
 
 
-def best_table_match(left: DataFrame, right: DataFrame, block_key: str | None = "block", least: float = 0.0) -> DataFrame:
+def _jaccard(both: Column) -> Column:
+    return both.cast("double") / (F.col("left_n") + F.col("right_n") - both)
+
+
+def best_table_match(left: DataFrame, right: DataFrame, block_key: str | None = "block", least: float = 0.0, rare: int = RARE) -> DataFrame:
     """For each left table the most similar right table of its block.
 
     Inputs: (block, table_id, shingle), distinct; tables are listed in the order
     of their id, and ties go to the first. No overlap, or none of ``least``, gives null.
 
-    Tables of equal content are compared once. The shingles of a left set are
-    read from rare to common. What is left of them from one shingle on bounds
-    the overlap with any right set not met before, so pieces of a list that
-    cannot beat the best known so far are not opened, and reading ends where no
-    list can. Only right sets from opened pieces are compared in full.
+    Tables of equal content are compared once. Shingles of at most ``rare`` right
+    sets are met and counted, so each gives so many rows at most. The common hot
+    shingles of a pair are bounded by how many both have, and only pairs that can
+    reach the best known match are looked up. A pair without a common rare
+    shingle is found from the lists of the hot ones, read from rare to common: what is left
+    of them bounds the overlap, so pieces of a list that cannot win are not opened.
     """
     block = [block_key] if block_key else []
+    key = [*block, "left_set"]
     left, right = reliable_checkpoint(left), reliable_checkpoint(right)  # each is read several times
-    frequency = right.groupBy(*block, "shingle").agg(F.count(F.lit(1)).alias("frequency"))
-    left_members, left_sets = _side(left, block, frequency, "left")
-    right_members, right_sets = _side(right, block, frequency, "right")
+    left_members, left_rows = _side(left, block, "left")
+    right_members, right_rows = _side(right, block, "right")
     first_right = right_members.groupBy(*block, F.col("set_id").alias("right_set")).agg(F.min("table_id").alias("match_id"))
-    right_sets = right_sets.join(first_right, [*block, "right_set"])
-    frequency = right_sets.groupBy(*block, "shingle").agg(F.count(F.lit(1)).alias("frequency"))
-    postings, pieces = _postings(right_sets, block, frequency)
-
-    key = [*block, "left_set"]
-    known = frequency.select(*block, "shingle", F.lit(True).alias("shared"))
-    left_sets = left_sets.join(known, [*block, "shingle"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
-    seeds = _similarities(_seeds(left_sets, postings, block), left_sets, right_sets, block)
+    frequency = reliable_checkpoint(right_rows.groupBy(*block, "shingle").agg(F.count(F.lit(1)).alias("frequency")))
+    left_rows = reliable_checkpoint(left_rows.join(frequency, [*block, "shingle"]))
+    hot = frequency.where(F.col("frequency") > rare)
+    left_hot = left_rows.where(F.col("frequency") > rare)
+    right_hot = reliable_checkpoint(right_rows.join(hot, [*block, "shingle"]).join(first_right, [*block, "right_set"]))
+
+    met = left_rows.where(F.col("frequency") <= rare).drop("frequency").join(right_rows, [*block, "shingle"])
+    met = met.groupBy(*key, "right_set", "left_n", "right_n").agg(F.count(F.lit(1)).alias("both")).join(first_right, [*block, "right_set"])
+    left_more = left_hot.groupBy(*key).agg(F.count(F.lit(1)).alias("left_more"))
+    right_more = right_hot.groupBy(*block, "right_set").agg(F.count(F.lit(1)).alias("right_more"))
+    more = F.coalesce(F.least(F.coalesce("left_more", F.lit(0)), F.coalesce("right_more", F.lit(0))), F.lit(0)).alias("more")
+    columns = [*key, "right_set", "left_n", "right_n", "match_id", "both"]
+    met = reliable_checkpoint(met.join(left_more, key, "left").join(right_more, [*block, "right_set"], "left").select(*columns, more))
+
+    # a first match of each left set: of those met, or at the start of the hot lists, the one with most in common so far
+    postings, pieces = _postings(right_hot, hot, block)
+    place = F.row_number().over(W.partitionBy(*key).orderBy("frequency", "shingle"))
+    left_hot = left_hot.withColumn("place", place)
+    heads = postings.where("piece = 0")
+    firsts = heads.groupBy(*block, "shingle").agg(F.min(F.struct("right_n", "match_id", "right_set")).alias("f")).select(*block, "shingle", "f.*")
+    begun = left_hot.where(F.col("place") <= HEADS).join(heads.drop("piece"), [*block, "shingle"]).unionByName(
+        left_hot.where(F.col("place") > HEADS).join(firsts, [*block, "shingle"])).groupBy(*columns[:-1]).agg(F.lit(0).cast("bigint").alias("both"), F.count(F.lit(1)).alias("so_far"))
+    started = met.select(*columns, F.col("both").alias("so_far")).unionByName(begun)
+    best = F.max_by(F.struct(*columns[len(key):]), F.struct(_jaccard(F.col("so_far")), (-F.col("match_id")).alias("o"))).alias("s")
+    seeds = _similarities(started.groupBy(*key).agg(best).select(*key, "s.*"), left_hot, right_hot, block)
     low = F.greatest("similarity", F.lit(float(least))).alias("low")
     seeds = reliable_checkpoint(seeds.select(*key, low, F.col("match_id").alias("seed_id")))
-    reading = left_sets.where("shared").join(seeds, key).withColumn("left", F.col("left_n") - F.col("pos") + 1)
-    reading = reading.where(_bound(F.col("left"), F.col("left_n"), F.col("left")) >= F.col("low"))
+
+    def can_win(bound: Column, match_id: Column) -> Column:
+        return (bound > F.col("low")) | ((bound == F.col("low")) & ((match_id <= F.col("seed_id")) | (F.col("low") == least)))
+
+    most = F.least(F.col("both") + F.col("more"), F.col("left_n"), F.col("right_n"))
+    open_met = met.join(seeds, key).where(can_win(_jaccard(most), F.col("match_id"))).select(*columns)
+    reading = left_hot.join(left_more, key).join(seeds, key).withColumn("left", F.col("left_more") - F.col("place") + 1)
     # the bound rises with the size of a right set up to what is left, then falls
     top_n = F.greatest(F.col("least_n"), F.least(F.col("most_n"), F.col("left")))
-    top = _bound(F.col("left"), F.col("left_n"), top_n)
-    opened = reading.join(pieces, [*block, "shingle"]).where(
-        (top > F.col("low")) | ((top == F.col("low")) & (F.col("least_id") <= F.col("seed_id"))) | ((top == F.col("low")) & (F.col("low") == least))
-    )
-    bound = _bound(F.col("left"), F.col("left_n"), F.col("right_n"))
-    pairs = opened.select(*key, "left_n", "left", "low", "seed_id", "shingle", "piece").join(postings, [*block, "shingle", "piece"])
-    pairs = pairs.where((bound > F.col("low")) | ((bound == F.col("low")) & ((F.col("match_id") <= F.col("seed_id")) | (F.col("low") == least))))
-    pairs = reliable_checkpoint(pairs.select(*key, "right_set", "left_n", "right_n", "match_id").distinct())
-    near = _similarities(pairs, left_sets, right_sets, block).where(F.col("similarity") >= least)
+    opened = reading.join(pieces, [*block, "shingle"]).where(can_win(_bound(F.col("left"), F.col("left_n"), top_n), F.col("least_id")))
+    listed = opened.select(*key, "left_n", "left", "low", "seed_id", "shingle", "piece").join(postings, [*block, "shingle", "piece"])
+    listed = listed.where(can_win(_bound(F.col("left"), F.col("left_n"), F.col("right_n")), F.col("match_id")))
+    pairs = open_met.unionByName(listed.select(*columns[:-1]).distinct().withColumn("both", F.lit(0).cast("bigint")))
+    pairs = reliable_checkpoint(pairs.groupBy(*columns[:-1]).agg(F.max("both").alias("both")))
+
+    near = _similarities(pairs, left_hot, right_hot, block).where(F.col("similarity") >= least)
     best = near.groupBy(*key).agg(F.max(F.struct("similarity", (-F.col("match_id")).alias("o"))).alias("b"))
     found = best.select(*key, F.col("b.similarity").alias("similarity"), (-F.col("b.o")).alias("match_id"))
     return (

@@ -237,11 +237,10 @@ def test_best_match_with_a_shingle_in_every_table(spark, monkeypatch, alphabet):
 
     seen, keep = [], M.reliable_checkpoint
     monkeypatch.setattr(M, "reliable_checkpoint", lambda df: seen.append(keep(df)) or seen[-1])
-    got = {r.table_id: (r.match_id, r.similarity) for r in M.best_table_match(sets(left), sets(right)).collect()}
-    assert got == best_by_hand(left, right, 0.0)
-    assert seen[-1].count() < len(set(left.values())) * len(set(right.values())) / 4
-    got = {r.table_id: (r.match_id, r.similarity) for r in M.best_table_match(sets(left), sets(right), least=0.4).collect()}
-    assert got == best_by_hand(left, right, 0.4)
+    for rare, least in ((1, 0.0), (8, 0.0), (8, 0.4)):
+        got = {r.table_id: (r.match_id, r.similarity) for r in M.best_table_match(sets(left), sets(right), least=least, rare=rare).collect()}
+        assert got == best_by_hand(left, right, least)
+        assert seen[-1].count() < len(set(left.values())) * len(set(right.values())) / 4
 
 
 def lcs(a, b):
