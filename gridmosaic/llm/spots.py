@@ -101,7 +101,6 @@ def in_buckets(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
     Bounds are quantiles of the ids, so at most `MAX_BUCKETS` numbers come to the driver. Null ids come last.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = min(MAX_BUCKETS, -(-source.count() // bucket_rows))
     ids = source.filter("doc_id IS NOT NULL").select("doc_id")
@@ -117,11 +116,21 @@ def in_buckets(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
     placed = source.withColumn("bucket", bucket_of("doc_id"))
     firsts = placed.select("bucket", "doc_id").groupBy("bucket").agg(F.min("doc_id").alias("first")).orderBy("bucket").collect()
-    rows = [(r["first"], firsts[k - 1]["bucket"]) for k, r in enumerate(firsts)]
-    guests = spark.createDataFrame(rows, "first long, host int")
-    hosted = placed.join(guests, F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    known = sorted((r["first"], firsts[k - 1]["bucket"]) for k, r in enumerate(firsts) if r["first"] is not None)
+    starts, hosts = (np.array([x[k] for x in known] or [0], dtype=np.int64) for k in (0, 1))
+    of_null = next((firsts[k - 1]["bucket"] for k, r in enumerate(firsts) if r["first"] is None), -1)
+
+    @F.pandas_udf("int")
+    def host_of(doc_id, missing):
+        # the bucket before the one that a row begins, else -1; joining so few rows would shuffle the texts once more
+        ids = doc_id.to_numpy(dtype=np.int64)
+        at = np.minimum(np.searchsorted(starts, ids), len(starts) - 1)
+        found = np.where((starts[at] == ids) & bool(known), hosts[at], -1)
+        return doc_id.__class__(np.where(missing.to_numpy(), of_null, found).astype(np.int32))
+
+    hosted = placed.withColumn("host", host_of(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()))
     own = F.struct("bucket", F.lit(0).alias("guest"))
-    both = F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest"))))
+    both = F.when(F.col("host") < 0, F.array(own)).otherwise(F.array(own, F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest"))))
     return hosted.select(F.explode(both).alias("place"), "doc_id", "text").select("place.*", "doc_id", "text")
 
 
