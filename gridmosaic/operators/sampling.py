@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gridmosaic.operators.ranking import global_position, hashed_position, md5_bucket, position_in_group, seeded_key
+from gridmosaic.operators.ranking import global_position, hashed_position, md5_bucket, seeded_key, top_k
 
 OTHERS = "Others"
 NONE = "None"
@@ -73,14 +73,19 @@ def quotas(frequency: DataFrame, total: DataFrame, n: int) -> DataFrame:
 
 def stratified_sample(df: DataFrame, quota: DataFrame, id_col: str, seed: int, category: str = "category") -> DataFrame:
     """Up to its quota from each stratum, in seeded order; categories without a
-    quota of their own form ``Others``."""
+    quota of their own form ``Others``.
+
+    The largest quota limits what a task keeps of a stratum before the shuffle,
+    so a stratum sends tasks times that many rows at most, whatever its size.
+    """
     named = quota.select(F.col("category").alias("stratum"), F.col("quota"))
     strata = (
         df.join(named.select(F.col("stratum").alias(category), F.lit(True).alias("__own")), category, "left")
         .withColumn("stratum", F.when(F.col("__own"), F.col(category)).otherwise(F.lit(OTHERS))).drop("__own")
         .withColumn("__key", seeded_key(seed, id_col))
     )
-    ranked = position_in_group(strata, ["stratum"], [F.col("__key"), F.col(id_col)], md5_bucket(F.col("__key")), "__place")
+    largest = quota.agg(F.max("quota")).first()[0] or 0
+    ranked = top_k(strata, ["stratum"], [F.col("__key"), F.col(id_col)], largest, "__place")
     return ranked.join(named, "stratum").where(F.col("__place") <= F.col("quota")).drop("__key", "__place", "quota")
 
 

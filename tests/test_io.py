@@ -2,6 +2,7 @@
 
 import base64
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,25 @@ def test_stream_keeps_each_result_once(spark, tmp_path):
     assert {r.key for r in landing.open_keys(spark, keys, table).collect()} == {"b", "d"}
 
 
+def test_stream_keeps_the_last_result(spark, tmp_path):
+    """A key twice in a file, in two files of a batch, in two batches, and in a file that is read late; the stream restarts each time."""
+    (tmp_path / "land").mkdir()
+
+    def put(*files):
+        for name, time, rows in files:
+            path = tmp_path / "land" / name
+            path.write_text("".join(json.dumps({"key": k, "value": v}) + "\n" for k, v in rows))
+            os.utime(path, (time, time))
+        land = landing.landed_results(spark, str(tmp_path / "land"))
+        landing.keep_results(land, str(tmp_path / "table"), str(tmp_path / "state")).awaitTermination()
+        return {r.key: r.value for r in landing.stored_results(spark, str(tmp_path / "table")).collect()}
+
+    day = 1_700_000_000
+    assert put(("b.json", day + 10, [("a", "9"), ("a", "1"), ("c", "x")]), ("a.json", day + 20, [("c", "b")])) == {"a": "1", "c": "b"}
+    assert put(("c.json", day + 30, [("a", "0"), ("d", "y"), ("d", None)])) == {"a": "0", "c": "b", "d": "y"}
+    assert put(("0.json", day + 15, [("a", "late"), ("c", "late"), ("e", "late")])) == {"a": "0", "c": "b", "d": "y", "e": "late"}
+
+
 def test_score_plan(spark):
     lines = spark.createDataFrame([
         (json.dumps({"key": "1", "response": "Step 2: ['Paris']", "gold_ans": "paris", "prompt": "p"}),),

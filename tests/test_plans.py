@@ -31,3 +31,9 @@ def test_filter_reaches_the_scan(spark):
 
 def test_top_k_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(QUERIES["c16_context_rows"](spark, SF))
+
+
+def test_sample_limits_strata_before_the_shuffle(spark):
+    text = plan(QUERIES["q22_stratified_sample"](spark, SF))
+    limit = text.index("WindowGroupLimit", text.index("WindowGroupLimit") + 1)
+    assert "Exchange hashpartitioning(stratum" in text[:limit] and ", Partial" in text[limit: limit + 400]
