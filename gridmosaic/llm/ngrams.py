@@ -16,6 +16,7 @@ N_WORDS = 5
 N_KEYS = 3  # grouping keys of a set
 ROUNDS = 2  # of heads per key
 QUERY_ROUNDS = 3  # of counting the tokens that stand in other groups
+IMAGE_BITS = 1024  # of the bit image of a set
 CHUNK_TOKENS = 1 << 18  # prefix tokens met before they leave a task
 TEXT_BYTES = 1 << 17  # of texts hashed at a time; each becomes a dozen numbers for a while
 
@@ -141,6 +142,19 @@ def meet_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
+def bit_image(hashes: np.ndarray) -> np.ndarray:
+    """A bit per residue that some member has, as 64-bit words. A bit that another set's image lacks stands for a member that the other set lacks."""
+    bits = np.zeros(IMAGE_BITS, dtype=bool)
+    bits[(hashes >> np.uint64(20)) % np.uint64(IMAGE_BITS)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def lacking(image: Column, other: Column) -> Column:
+    """How many members of a set the other lacks, at least."""
+    words = [F.bit_count(F.get(image, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(k))))) for k in range(IMAGE_BITS // 64)]
+    return sum(words[1:], words[0])
+
+
 def full_sets(known: np.ndarray, bits: int):
     """A task that hashes texts again and gives the whole sets of those that pass the filter of (doc_id, prints)."""
 
@@ -160,7 +174,8 @@ def full_sets(known: np.ndarray, bits: int):
                     pa.array(n[chosen].astype(np.int64)), pa.array(prints[0][chosen]),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(chosen) + 1, dtype=np.int32) * N_KEYS), pa.array(keys.ravel())),
-                ], names=["n", "a", "hashes", "keys"])
+                    pa.array([bit_image(x) for x in lists], pa.list_(pa.int64())),
+                ], names=["n", "a", "hashes", "keys", "image"])
 
     return run
 
@@ -216,7 +231,7 @@ def links_between_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
     to one of another group only if that group's union holds at least four fifths of its tokens. First each set counts its tokens that stand in any
     other group, at first in its prefix only (see `near_duplicates`); most sets end there. The rest look up the groups of their rarest tokens, as many as they may lack and one. What follows such a token in the
     order of both bounds the overlap, and only groups whose bound reaches four fifths are opened. Only members that
-    passed the first count can be partners, and a pair is compared if its own bound does.
+    passed the first count can be partners, and a pair is compared if its own bound does and the bit images of both sets allow it.
     """
     placed = sets.join(groups, sets["a"] == groups["u"], "left").select("a", "n", F.coalesce("root", "a").alias("grp"))
     placed = stage(placed, "placed-sets")
@@ -239,7 +254,8 @@ def links_between_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
     ranked = asked.join(weights, "token").groupBy("a", "n", "grp", "m", "least").agg(F.array_sort(F.collect_list(F.struct("gf", "token"))).alias("t"))
     first = F.col("m") - F.col("least") + 1  # one of so many rarest tokens is common to any similar set
     rows = ranked.select("a", "n", "grp", "m", F.posexplode(F.slice("t", 1, first.cast("int"))).alias("at", "t"))
-    prefix = stage(rows.select("a", "n", "grp", (F.col("m") - F.col("at")).alias("left"), "t.token"), "group-prefixes")
+    images = sets.join(queries.select("a"), "a", "left_semi").groupBy("a").agg(F.first("image").alias("image"))
+    prefix = stage(rows.select("a", "n", "grp", (F.col("m") - F.col("at")).alias("left"), "t.token").join(images, "a"), "group-prefixes")
 
     def reach(left: Column, other: Column, n: Column, other_n: Column) -> Column:
         """The overlap, at most what is left in both orders from the first common token on, can be four ninths of both sizes: a similarity of 0.8."""
@@ -248,9 +264,12 @@ def links_between_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
     # The matrix: the union of the members' rarest tokens, with the most that is left of any member and the span of their sizes.
     matrix = prefix.groupBy(F.col("token").alias("t"), F.col("grp").alias("other")).agg(F.max("left").alias("most_left"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     fits = reach(F.col("left"), F.col("most_left"), F.col("n"), F.col("least_n")) & (5 * F.col("n") >= 4 * F.col("least_n")) & (5 * F.col("most_n") >= 4 * F.col("n"))
-    mine = prefix.join(matrix, (F.col("token") == F.col("t")) & (F.col("grp") != F.col("other")) & fits).select("token", "a", "n", "left", "other")
-    theirs = prefix.select(F.col("token").alias("t"), F.col("a").alias("d"), F.col("n").alias("dn"), F.col("left").alias("dleft"), F.col("grp").alias("dgrp"))
+    mine = prefix.join(matrix, (F.col("token") == F.col("t")) & (F.col("grp") != F.col("other")) & fits).select("token", "a", "n", "left", "image", "other")
+    theirs = prefix.select(
+        F.col("token").alias("t"), F.col("a").alias("d"), F.col("n").alias("dn"), F.col("left").alias("dleft"), F.col("grp").alias("dgrp"), F.col("image").alias("dimage"))
     near = reach(F.col("left"), F.col("dleft"), F.col("n"), F.col("dn")) & (5 * F.col("n") >= 4 * F.col("dn")) & (5 * F.col("dn") >= 4 * F.col("n"))
+    # nor can more be common than what both hold of each other's bits
+    near = near & reach(F.col("n") - lacking(F.col("image"), F.col("dimage")), F.col("dn") - lacking(F.col("dimage"), F.col("image")), F.col("n"), F.col("dn"))
     pairs = mine.join(theirs, (F.col("token") == F.col("t")) & (F.col("other") == F.col("dgrp")) & (F.col("a") < F.col("d")) & near)
     pairs = pairs.select(F.col("a").alias("u"), F.col("d").alias("v")).distinct()
     return _similar_pairs(pairs, sets)
@@ -273,7 +292,7 @@ def _labelled(docs: DataFrame, filter_bits: int) -> DataFrame:
 
     # One document of each set passes, and few others do, which do no harm: similar sets among them are linked like any.
     known = key_filter(reps.select("doc_id", "a", "b"), filter_bits)
-    sets = stage(source.mapInArrow(full_sets(known, filter_bits), "n long, a long, hashes array<long>, keys array<long>"), "full-sets")
+    sets = stage(source.mapInArrow(full_sets(known, filter_bits), "n long, a long, hashes array<long>, keys array<long>, image array<long>"), "full-sets")
     stars = stage(star_links(sets, survivors), "stars")
     groups = components(stars)
     between = links_between_groups(sets, groups)
