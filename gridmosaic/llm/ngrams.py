@@ -261,9 +261,12 @@ def links_between_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
         """The overlap, at most what is left in both orders from the first common token on, can be four ninths of both sizes: a similarity of 0.8."""
         return 9 * F.least(left, other) >= 4 * (n + other_n)
 
-    # The matrix: the union of the members' rarest tokens, with the most that is left of any member and the span of their sizes.
-    matrix = prefix.groupBy(F.col("token").alias("t"), F.col("grp").alias("other")).agg(F.max("left").alias("most_left"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    # The matrix: the union of the members' rarest tokens, with the most that is left of any member, the span of their sizes and the image of all their tokens.
+    union = F.array(*[F.bit_or(F.get("image", F.lit(k))) for k in range(IMAGE_BITS // 64)]).alias("union")
+    matrix = prefix.groupBy(F.col("token").alias("t"), F.col("grp").alias("other")).agg(
+        F.max("left").alias("most_left"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), union)
     fits = reach(F.col("left"), F.col("most_left"), F.col("n"), F.col("least_n")) & (5 * F.col("n") >= 4 * F.col("least_n")) & (5 * F.col("most_n") >= 4 * F.col("n"))
+    fits = fits & (9 * (F.col("n") - lacking(F.col("image"), F.col("union"))) >= 4 * (F.col("n") + F.col("least_n")))
     mine = prefix.join(matrix, (F.col("token") == F.col("t")) & (F.col("grp") != F.col("other")) & fits).select("token", "a", "n", "left", "image", "other")
     theirs = prefix.select(
         F.col("token").alias("t"), F.col("a").alias("d"), F.col("n").alias("dn"), F.col("left").alias("dleft"), F.col("grp").alias("dgrp"), F.col("image").alias("dimage"))
