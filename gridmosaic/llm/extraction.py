@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from gridmosaic.llm.common import hashed_sample
 
 MAX_PAGES = 400  # bound of the pages that training reads
 SEED = 7
+BUCKETS = 4096  # attribute words are told apart by hash
 
 # Elements by their part in a page.
 GROUPS = {
@@ -25,7 +27,7 @@ GROUPS = {
 }
 TEXT = 0
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-UNSEEN = {"script", "style", "title", "template", "noscript", "svg", "math", "select", "textarea", "button", "iframe", "object", "canvas", "audio", "video"}
+UNSEEN = {"script", "style", "title", "template", "noscript", "svg", "annotation", "annotation-xml", "select", "textarea", "button", "iframe", "object", "canvas", "audio", "video"}
 RAW = {"script", "style", "title", "textarea", "iframe"}  # hold no markup
 TO_END = {"script", "style", "textarea"}  # take the rest of the page if never closed
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I | re.A) for name in RAW}
@@ -57,23 +59,43 @@ class Page:
     kinds: list[int] = field(default_factory=list)  # bits of the attribute words
     texts: list[str] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)  # characters inside links
+    words: list[tuple[int, ...]] = field(default_factory=list)  # buckets of the attribute words
 
-    def add(self, parent: int, group: int, kinds: int = 0, text: str = "", linked: int = 0) -> int:
-        for values, v in ((self.parent, parent), (self.group, group), (self.kinds, kinds), (self.texts, text), (self.linked, linked)):
+    def add(self, parent: int, group: int, kinds: int = 0, text: str = "", linked: int = 0, words: tuple[int, ...] = ()) -> int:
+        for values, v in ((self.parent, parent), (self.group, group), (self.kinds, kinds), (self.texts, text), (self.linked, linked), (self.words, words)):
             values.append(v)
         return len(self.parent) - 1
 
+    def without_article(self, group: int | None, words: tuple[int, ...] = ()) -> Page:
+        """The page with another element in place of its article, or with none: what the article holds moves up."""
+        i = self.group.index(GROUPS["article"])
+        if group is not None:
+            swapped = Page(self.parent, list(self.group), list(self.kinds), self.texts, self.linked, list(self.words))
+            swapped.group[i], swapped.kinds[i], swapped.words[i] = group, 0, words
+            return swapped
+        up = [self.parent[i] if p == i else p for p in self.parent]
+        rest = [k for k in range(len(up)) if k != i]
+        return Page([up[k] - (up[k] > i) for k in rest], *([x[k] for k in rest] for x in (self.group, self.kinds, self.texts, self.linked, self.words)))
+
+
+def attribute_words(attributes: str) -> list[str]:
+    """The words of class, id and role in lower case, cut at marks and capitals."""
+    return [w for found in ATTRIBUTE.findall(attributes) for w in re.split(r"[\W_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(found)).lower()) if w]
+
 
 def attribute_kinds(attributes: str) -> int:
     bits = 0
-    for found in ATTRIBUTE.findall(attributes):
-        for word in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(found)).lower()):
-            k = KINDS.get(word)
-            if k is not None:
-                bits |= 1 << k
+    for word in attribute_words(attributes):
+        for part in re.split(r"[^a-z]+", word):
+            if part in KINDS:
+                bits |= 1 << KINDS[part]
     return bits
 
 
+def word_buckets(attributes: str) -> tuple[int, ...]:
+    return tuple(sorted({zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS for w in attribute_words(attributes)}))
+
+
 def read_page(source: str | None) -> Page:
     """Parse a whole page. Unclosed and misplaced tags close what they must; a `<` that opens no tag is text."""
     source = source or ""
@@ -136,7 +158,7 @@ def read_page(source: str | None) -> Page:
                 if stack[k][0] in CLOSES[name]:
                     del stack[k:]
         if name not in VOID:
-            stack.append((name, page.add(stack[-1][1], GROUPS[name], attribute_kinds(tag[3]))))
+            stack.append((name, page.add(stack[-1][1], GROUPS[name], attribute_kinds(tag[3]), words=word_buckets(tag[3]))))
     end_text()
     return page
 
@@ -182,8 +204,8 @@ def tags_of(source: str) -> tuple[list[re.Match], dict[int, int]]:
     return tags, ends
 
 
-def node_features(page: Page) -> np.ndarray:
-    """One row per node: its own subtree, its place among its siblings, its parent and all above it."""
+def node_features(page: Page, weights: np.ndarray) -> np.ndarray:
+    """One row per node: its own subtree, its place among its siblings, its parent, all above it, and the learned weights of attribute words."""
     n = len(page.parent)
     parent, group, kinds = np.array(page.parent), np.array(page.group), np.array(page.kinds)
     chars = np.array([len(t) for t in page.texts], dtype=float)
@@ -191,8 +213,11 @@ def node_features(page: Page) -> np.ndarray:
     linked, leaves = np.array(page.linked, dtype=float), (chars > 0).astype(float)
     sums = np.stack([chars, stops, linked, leaves, np.ones(n)], axis=1)
     depth, above_kinds, above_groups = np.zeros(n), kinds.copy(), np.zeros(n, dtype=np.int64)
+    own = np.array([sum(weights[w] for w in words) for words in page.words])
+    lowest, highest = np.minimum(own, 0), np.maximum(own, 0)
     for i in range(1, n):
         p = parent[i]
+        lowest[i], highest[i] = min(lowest[i], lowest[p]), max(highest[i], highest[p])
         depth[i] = depth[p] + 1
         above_kinds[i] |= above_kinds[p]
         above_groups[i] = above_groups[p] | (1 << int(group[i]))
@@ -216,7 +241,7 @@ def node_features(page: Page) -> np.ndarray:
     own_kinds = kinds | np.where(group == TEXT, kinds[up], 0)
     columns = [
         group, group[up], depth, rank, siblings, rank / siblings, alike, np.log1p(size), size / whole, link / np.maximum(size, 1), dots / np.maximum(size, 1), size / np.maximum(nodes, 1),
-        size / np.maximum(blocks, 1), np.log1p(size[up]), link[up] / np.maximum(size[up], 1), size[up] / np.maximum(blocks[up], 1), size / np.maximum(size[up], 1), before / whole,
+        size / np.maximum(blocks, 1), np.where(group == TEXT, own[up], own), lowest, highest, np.log1p(size[up]), link[up] / np.maximum(size[up], 1), size[up] / np.maximum(blocks[up], 1), size / np.maximum(size[up], 1), before / whole,
     ]
     columns += [(own_kinds >> k) & 1 for k in range(len(TOKENS))] + [(above_kinds >> k) & 1 for k in range(len(TOKENS))]
     columns += [(above_groups >> g) & 1 for g in (9, 10, 11, 12, 13, 14)]
@@ -240,10 +265,18 @@ def decode(page: Page, log_odds: np.ndarray) -> list[bool]:
     return kept
 
 
-def main_text(pages: list[Page], forest: Forest) -> list[str]:
+@dataclass(frozen=True)
+class Model:
+    """Boosted trees, and the weight of each bucket of attribute words that their features use."""
+
+    forest: Forest
+    weights: np.ndarray
+
+
+def main_text(pages: list[Page], model: Model) -> list[str]:
     """The kept texts of each page, one per line."""
-    rows = [node_features(p) for p in pages]
-    odds = forest.log_odds(np.concatenate(rows)) if rows else np.zeros(0)
+    rows = [node_features(p, model.weights) for p in pages]
+    odds = model.forest.log_odds(np.concatenate(rows)) if rows else np.zeros(0)
     out, at = [], 0
     for p, r in zip(pages, rows):
         kept = decode(p, odds[at: at + len(r)])
@@ -262,6 +295,11 @@ def _paragraphs(page: Page) -> list[str]:
     return [t for t in page.texts if t]
 
 
+def any_word(rng: np.random.Generator) -> str:
+    """A class name that says nothing."""
+    return "".join(chr(97 + int(k)) for k in rng.integers(26, size=int(rng.integers(2, 9))))
+
+
 def drawn_page(rng: np.random.Generator, article: list[str], other: list[str]) -> tuple[str, set[str]]:
     """A page around given paragraphs, in one of many layouts, and its main texts. Boilerplate texts are marked, so that labels are sure."""
     def esc(x: str) -> str:
@@ -302,18 +340,20 @@ def drawn_page(rng: np.random.Generator, article: list[str], other: list[str]) -
     foot = box(("footer", "div"), ("footer", "site-footer", "copyright"), f"&copy; {junk(' '.join(words(3)) + '. ' + sentence())}")
     if rng.random() < 0.5:
         foot = f"<footer>&copy; x &middot; {junk(sentence())}</footer>"
-    body = "".join((f"<h1>{esc(p)}</h1>" if k == 0 else f"<ul><li>{esc(p)}</li></ul>" if rng.random() < 0.03 else f"<p>{esc(p)}</p>") for k, p in enumerate(article))
+    block = one("p", "p", "p", "p", "div")
+    rare = ("<ul><li>{}</li></ul>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<blockquote><p>{}</p></blockquote>", "<table><tr><td>{}</td></tr></table>", "<pre>{}</pre>", "<figure><figcaption>{}</figcaption></figure>")
+    body = "".join((f"<h1>{esc(p)}</h1>" if k == 0 else one(*rare).format(esc(p)) if rng.random() < 0.06 else f"<{block}>{esc(p)}</{block}>") for k, p in enumerate(article))
     inside = one("", "", "", advert, form, comments, side) if rng.random() < 0.4 else ""
-    tag = one("article", "article", "main", "div", "section")
-    attribute = "" if tag in ("article", "main") and rng.random() < 0.6 else f' class="{one("content", "post-body", "entry", "story", "main text")}"'
-    core = f"<{tag}{attribute}>{body}{inside}</{tag}>"
+    tag = one("article", "main", "div", "section", "div", "section", "")
+    attribute = one("", "", f' class="{one("content", "post-body", "entry", "story", "main text")}"', f' class="{any_word(rng)} {any_word(rng)}"', f' id="{any_word(rng)}"')
+    core = f"<{tag}{attribute}>{body}{inside}</{tag}>" if tag else body + inside
 
     def maybe(x: str, chance: float) -> str:
         return x if rng.random() < chance else ""
 
     top = maybe(notice, 0.3) + maybe(head, 0.4) + maybe(nav, 0.9) + maybe(advert, 0.6) + maybe(form, 0.2)
     bottom = maybe(side, 0.3) + maybe(comments, 0.4) + maybe(advert, 0.2) + maybe(form, 0.1) + maybe(foot, 0.9)
-    wrap = one("{}", "{}", '<div id="page">{}</div>', "<div>{}</div>")
+    wrap = one("{}", "{}", '<div id="page">{}</div>', "<div>{}</div>", f'<div class="{any_word(rng)}"><div id="{any_word(rng)}">{{}}</div></div>')
     return f"<html><body>{wrap.format(top + core + bottom)}</body></html>", {" ".join(p.split()) for p in article}
 
 
@@ -328,40 +368,86 @@ def marked_labels(page: Page) -> list[float] | None:
     return label
 
 
-def training_rows(sources: list[str], copies: int = 2, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Node features and labels of given pages that mark their article, and of pages drawn around the paragraphs of all.
+def word_weights(pages: list[Page], labels: list[list[float]], ridge: float = 3.0) -> np.ndarray:
+    """How much each bucket of attribute words speaks for main text: its log odds over the pages that hold it, less than those of all texts.
 
-    In drawn layouts the labels are known: a text is main text if it was put there as such. A node is labelled 1 if it holds main text.
-    The paragraphs give the lengths, languages and marks of the corpus.
+    A page counts once per bucket, with the share of main text in the characters below it, so buckets on few pages weigh little and
+    unseen ones nothing.
+    """
+    good, pages_with = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    base, counted = 0.0, 0
+    for page, label in zip(pages, labels):
+        chars = [len(t) for t in page.texts]
+        main = [c * y for c, y in zip(chars, label)]
+        for i in range(len(chars) - 1, 0, -1):
+            chars[page.parent[i]] += chars[i]
+            main[page.parent[i]] += main[i]
+        if not chars[0]:
+            continue
+        base, counted = base + main[0] / chars[0], counted + 1
+        below: dict[int, list[int]] = {}
+        for i, words in enumerate(page.words):
+            for w in words if chars[i] else ():
+                total = below.setdefault(w, [0, 0])
+                total[0] += main[i]
+                total[1] += chars[i]
+        for w, (m, c) in below.items():
+            good[w] += m / c
+            pages_with[w] += 1
+    share = min(max(base / max(counted, 1), 0.01), 0.99)
+    odds = (good + ridge * share) / (pages_with + ridge)
+    odds = np.clip(odds, 0.01, 0.99)
+    return np.where(pages_with > 0, np.log(odds / (1 - odds)) - np.log(share / (1 - share)), 0.0)
+
+
+def training_rows(sources: list[str], copies: int = 2, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node features and labels of given pages that mark their article, and of pages drawn around the paragraphs of all; the word weights.
+
+    The element that marks an article gives labels only: in training another element stands in its place, or none. In drawn layouts the labels
+    are known: a text is main text if it was put there as such, in an element with a telling name, any name or none. A node is labelled 1 if it
+    holds main text. The paragraphs give the lengths, languages and marks of the corpus. The weights of attribute words that a training page sees
+    come from the other half of the pages, so a word that stands on one page only weighs nothing there, as it will on new pages.
     """
     rng = np.random.default_rng(seed)
     read = [read_page(s) for s in sources]
     pools = [x for x in map(_paragraphs, read) if x] or [FALLBACK]
-    xs, ys = [], []
-
-    def learn(page: Page, label: list[float]) -> None:
-        for i in range(len(label) - 1, 0, -1):
-            label[page.parent[i]] = max(label[page.parent[i]], label[i])
-        xs.append(node_features(page)[1:])
-        ys.append(np.array(label)[1:])
-
+    layouts: list[Page] = []
+    labels: list[list[float]] = []
     for page in read:
         if (label := marked_labels(page)) is not None:
-            learn(page, label)
+            group = (None, GROUPS["div"], GROUPS["section"])[int(rng.integers(3))]
+            if group is None:
+                del label[page.group.index(GROUPS["article"])]
+            layouts.append(page.without_article(group, word_buckets(f"class={any_word(rng)}") if rng.random() < 0.5 else ()))
+            labels.append(label)
     for k in range(max(len(pools) * copies, 60)):
         article, other = pools[k % len(pools)], pools[int(rng.integers(len(pools)))]
         size = int(rng.integers(1, min(len(article), 40) + 1))
         start = int(rng.integers(0, len(article) - size + 1))
         source, texts = drawn_page(rng, article[start: start + size], other)
         page = read_page(source)
-        learn(page, [float(MARK not in t and t in texts) if t else 0.0 for t in page.texts])
-    return np.concatenate(xs), np.concatenate(ys)
+        layouts.append(page)
+        labels.append([float(MARK not in t and t in texts) if t else 0.0 for t in page.texts])
+    halves = [word_weights(layouts[k::2], labels[k::2]) for k in (0, 1)]
+    weights = word_weights(layouts, labels)
+    xs, ys = [], []
+    for k, (page, label) in enumerate(zip(layouts, labels)):
+        for i in range(len(label) - 1, 0, -1):
+            label[page.parent[i]] = max(label[page.parent[i]], label[i])
+        xs.append(node_features(page, halves[1 - k % 2])[1:])
+        ys.append(np.array(label)[1:])
+    return np.concatenate(xs), np.concatenate(ys), weights
+
+
+def fit(sources: list[str]) -> Model:
+    x, y, weights = training_rows(sources)
+    return Model(fit_forest(x, y), weights)
 
 
-def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> Forest:
-    """Fit on layouts drawn around the paragraphs of at most `max_pages` pages, those with the smallest hashes."""
+def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> Model:
+    """Fit on at most `max_pages` pages, those with the smallest hashes, and on layouts drawn around their paragraphs."""
     rows = hashed_sample(pages.filter(F.col("html").isNotNull()).select("page_id", "html"), max_pages, "page_id", "html").collect()
-    return fit_forest(*training_rows([r["html"] for r in rows]))
+    return fit([r["html"] for r in rows])
 
 
 def extract_main_text(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
@@ -374,14 +460,14 @@ def extract_main_text(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame
     Null or empty html, or a page of boilerplate: empty text. Repeated rows repeat. Columns other than page_id and url are dropped. Empty table: no rows.
     Returns page_id, url, text, n_chars.
     """
-    forest = train(pages, max_pages)
+    model = train(pages, max_pages)
 
     @F.pandas_udf(T.StringType())
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out: list[str] = []
             for k in range(0, len(batch), 256):
-                out += main_text([read_page(s) for s in batch.iloc[k: k + 256]], forest)
+                out += main_text([read_page(s) for s in batch.iloc[k: k + 256]], model)
             yield pd.Series(out, dtype=object)
 
     found = pages.select("page_id", "url", texts("html").alias("text"))

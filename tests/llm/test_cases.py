@@ -246,6 +246,45 @@ def test_page_tree():
     assert [t for t in extraction.read_page("1 < 2 &amp; 3 > 2 <a title='>'>x</a>").texts if t] == ["1 < 2 & 3 > 2 x"]
 
 
+def test_formulas_are_text_but_not_their_annotations():
+    page = extraction.read_page("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> and more.</p>")
+    assert [t for t in page.texts if t] == ["Energy is E=m and more."]
+
+
+def test_word_weights_and_pages_without_their_article():
+    source = '<div class="blurbZone"><p>A b c.</p></div><article id="x"><p>D e f.</p><div class="menu"><p>G</p></div></article>'
+    page = extraction.read_page(source)
+    label = extraction.marked_labels(page)
+    assert [t for t, y in zip(page.texts, label) if y] == ["D e f."]
+    bare = page.without_article(None)
+    assert [t for t in bare.texts if t] == ["A b c.", "D e f.", "G"] and extraction.GROUPS["article"] not in bare.group
+    assert all(0 <= bare.parent[i] < i for i in range(1, len(bare.parent))) and bare.parent.count(0) == 3
+    swapped = page.without_article(extraction.GROUPS["section"], extraction.word_buckets('class="q"'))
+    assert swapped.parent == page.parent and swapped.group.count(extraction.GROUPS["section"]) == 1 and page.group.count(extraction.GROUPS["article"]) == 1
+    weights = extraction.word_weights([page] * 20, [label] * 20)
+    (zone,) = extraction.word_buckets("class=zone")
+    (own,) = extraction.word_buckets("id=x")
+    assert weights[zone] < -1 < 0 < weights[own] and np.count_nonzero(weights) <= 4
+
+
+def test_node_sums_against_plain_loops():
+    page = extraction.read_page('<div class="a"><p>One, two.</p><ul><li><a href=x>three</a><li>four</ul></div><div id="b">five</div>')
+    weights = np.zeros(extraction.BUCKETS)
+    weights[list(extraction.word_buckets("class=a"))], weights[list(extraction.word_buckets("class=b"))] = 2.0, -1.0
+    rows = extraction.node_features(page, weights)
+
+    def above(i):
+        return [i] + (above(page.parent[i]) if page.parent[i] >= 0 else [])
+
+    for i in range(len(page.parent)):
+        inside = [j for j in range(len(page.parent)) if i in above(j)]
+        size = sum(len(page.texts[j]) for j in inside)
+        assert rows[i, 2] == len(above(i)) - 1 and np.isclose(rows[i, 7], np.log1p(size))
+        assert np.isclose(rows[i, 9], sum(page.linked[j] for j in inside) / max(size, 1))
+        own = [sum(weights[w] for w in page.words[j]) for j in above(i)]
+        assert rows[i, 14] == min([0, *own]) and rows[i, 15] == max([0, *own])
+
+
 def test_decode_keeps_no_child_of_a_dropped_node():
     page = extraction.Page()
     for parent in (-1, 0, 1, 1, 0):

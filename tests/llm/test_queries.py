@@ -71,6 +71,24 @@ def test_main_text_is_the_article(spark):
     assert right >= 0.98 * len(pages)
 
 
+def test_main_text_in_other_layouts(spark):
+    """The same pages with another element in place of the article, or none: no empty texts, nearly all words."""
+    import html
+    import re
+    from collections import Counter
+
+    from gridmosaic.llm import extraction
+
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    for start, end in (("<div>", "</div>"), ("<section>", "</section>"), ('<div class="qx-71" id="zorp">', "</div>"), ('<div class="richText">', "</div>"), ("", "")):
+        pages = spark.createDataFrame([(r["page_id"], r["url"], r["html"].replace("<article>", start).replace("</article>", end)) for r in rows], "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in extraction.extract_main_text(pages).collect()}
+        for r in rows:
+            article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+            want, have = Counter(html.unescape(re.sub(r"<[^>]+>", " ", article)).split()), Counter(got[r["page_id"]].split())
+            assert have and 2 * (want & have).total() >= 0.9 * (want.total() + have.total()), (start, r["page_id"])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
     from gridmosaic.llm.common import stage
