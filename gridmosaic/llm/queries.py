@@ -159,7 +159,7 @@ log AS (SELECT DISTINCT CASE WHEN event_type IN ('error', 'signup') THEN 'block'
 valid AS (SELECT list, key, changed AS since, coalesce(lead(changed) OVER (PARTITION BY list, key ORDER BY changed, added), TIMESTAMP '9999-01-01') AS until, added FROM log WHERE key IS NOT NULL),
 caps AS (SELECT page_id, url, host, path, make_timestamp((epoch_us(TIMESTAMP '2024-01-01') + ('0x' || substr(md5(url), 1, 8))::BIGINT % 2592000 * 1000000)::BIGINT) AS fetched_at FROM parts),
 keys AS (SELECT DISTINCT page_id, url, fetched_at, key FROM (SELECT page_id, url, fetched_at, 'address:' || host || path AS key FROM caps
-    UNION ALL SELECT page_id, url, fetched_at, 'domain:' || array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') FROM (SELECT *, unnest(generate_series(1, len(string_split(host, '.')))) AS i FROM caps WHERE length(host) <= 253))),
+    UNION ALL SELECT page_id, url, fetched_at, 'domain:' || array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') FROM (SELECT *, unnest(generate_series(1, len(string_split(host, '.')))) AS i FROM caps))),
 hit AS (SELECT page_id, count(*) FILTER (list = 'block') AS nb, count(*) FILTER (list = 'allow') AS na, min(k.key) FILTER (list = 'block') AS be, min(k.key) FILTER (list = 'allow') AS ae
     FROM keys k JOIN valid v ON k.key = v.key AND added AND since <= fetched_at AND fetched_at < until AND since < until GROUP BY page_id)
 SELECT c.page_id, c.url, c.fetched_at::TIMESTAMPTZ AS fetched_at, coalesce(nb, 0)::BIGINT AS n_block, coalesce(na, 0)::BIGINT AS n_allow, coalesce(ae, be) AS entry, coalesce(nb, 0) = 0 OR coalesce(na, 0) > 0 AS kept

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-MAX_HOST = 253  # longer names are no host names of the domain name system
-
 
 def host_of(url: Column) -> Column:
     """The lower-case host, without user, port and last dot; null if there is none."""
@@ -19,12 +17,12 @@ def address_of(url: Column) -> Column:
     return F.concat(host_of(url), path)
 
 
-def capture_keys(url: Column) -> Column:
-    """What list entries can name of an address: every domain its host lies in, and its address."""
+def capture_keys(url: Column, max_labels: int) -> Column:
+    """What list entries of at most `max_labels` labels can name of an address: the domains its host lies in, and its address."""
     parts = F.split(host_of(url), r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+    domains = F.transform(F.sequence(F.greatest(F.lit(1), F.size(parts) - max(max_labels, 1) + 1), F.size(parts)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(parts, i, F.size(parts)), ".")))
     address = F.array(F.concat(F.lit("address:"), address_of(url)))
-    return F.when(F.length(host_of(url)) <= MAX_HOST, F.concat(domains, address)).otherwise(address)
+    return F.concat(domains, address)
 
 
 def _bucket(at: Column, days: int) -> Column:
@@ -67,17 +65,19 @@ def filter_captures(captures: DataFrame, log: DataFrame, bucket_days: int = 7) -
     `captures` has page_id, url, fetched_at; `log` has list ('block' or 'allow'), key ('domain:...' or 'address:...'), at, added.
     A capture is rejected if an active block entry names its address or a domain of its host, and no active allow entry does. Each
     distinct (url, fetched_at) is judged once, joined on key and time bucket, so a hot host is spread over the buckets,
-    and a capture meets only the few intervals of its key and bucket.
+    and a capture meets only the few intervals of its key and bucket. Hosts of any length are looked up under all their domains.
 
     Null url or fetch time, or a url without host: no entry applies, kept. Repeated captures repeat. Other columns are dropped.
     Returns page_id, url, fetched_at, n_block, n_allow, entry (the first active entry that decides, else null), kept.
     """
     captures = captures.select("page_id", "url", F.col("fetched_at").cast("timestamp").alias("fetched_at"))
+    # No domain with more labels than the longest entry can be listed, so a host of any length gives few keys and misses none.
+    longest = log.agg(F.max(F.when(F.col("key").startswith("domain:"), F.size(F.split("key", r"\."))))).first()[0] or 1
     span = captures.agg(F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b")).select(_bucket(F.col("a"), bucket_days), _bucket(F.col("b"), bucket_days)).first()
     first_bucket, last_bucket = (span[0], span[1]) if span[0] is not None else (0, 0)
     intervals = validity(log, first_bucket, last_bucket, bucket_days)
     distinct = captures.filter(F.col("url").isNotNull() & F.col("fetched_at").isNotNull()).select("url", "fetched_at").distinct()
-    keys = distinct.select("url", "fetched_at", _bucket(F.col("fetched_at"), bucket_days).alias("bucket"), F.explode(F.array_distinct(capture_keys(F.col("url")))).alias("key"))
+    keys = distinct.select("url", "fetched_at", _bucket(F.col("fetched_at"), bucket_days).alias("bucket"), F.explode(F.array_distinct(capture_keys(F.col("url"), longest))).alias("key"))
     active = keys.join(intervals, ["key", "bucket"]).filter((F.col("since") <= F.col("fetched_at")) & (F.col("fetched_at") < F.col("until")))
     blocks, allows = F.col("list") == "block", F.col("list") == "allow"
     found = active.groupBy(F.col("url").alias("u"), F.col("fetched_at").alias("f")).agg(
