@@ -6,15 +6,39 @@ pattern here can backtrack over a page.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
+# Names that count without their semicolon, the longest first, as a name may begin with another.
+OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+# Numbers 128 to 159 stand for the characters of windows-1252, where that has one.
+OLD_NUMBERS = {k: c for k in range(128, 160) if (c := bytes([k]).decode("cp1252", "ignore"))}
 
-def decode_entities(col: Column) -> Column:
+
+def _names() -> Column:
+    """Characters by name, in one map per first letter, so that a look-up reads few names."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, value in html5.items():
+        by_letter.setdefault(name[0], {})[name] = value
+    return F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>")
+
+
+def decode_entities(col: Column, in_attribute: bool = False) -> Column:
     """Character references, named and numeric, to their characters; each ``&``
-    is looked at once, so what a reference gives is not decoded again."""
-    names = F.create_map(*[F.lit(x) for n, c in sorted(name2codepoint.items()) for x in (n, chr(c))])
+    is looked at once, so what a reference gives is not decoded again.
+
+    All names of the HTML standard count. Old ones count without a semicolon too, the
+    longest that fits; but in an attribute not before a letter, a digit or ``=``, where
+    they are parts of an address. Unknown names stay as written.
+    """
+    names = _names()
+    old = F.create_map(*[F.lit(x) for pair in OLD_NUMBERS.items() for x in pair])
+    open_name = rf"^(?:{'|'.join(OPEN_NAMES)})" + ("(?![A-Za-z0-9=])" if in_attribute else "")
+
+    def named_by(name: Column) -> Column:
+        return F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
 
     def one(part: Column) -> Column:
         digits = F.regexp_extract(part, r"^#(?:[xX]0*([0-9A-Fa-f]{1,6})|0*([0-9]{1,7}));?", 0)
@@ -22,12 +46,13 @@ def decode_entities(col: Column) -> Column:
         number = F.when(hexed != "", hexed).otherwise(F.conv(F.regexp_extract(digits, r"([0-9]+)", 1), 10, 16))
         code = F.conv(number, 16, 10).cast("bigint")
         is_char = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.conv(number, 16, 16), 8, "0")), "UTF-32")
-        name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)
-        named = F.try_element_at(names, name)
+        char = F.coalesce(F.try_element_at(old, code.cast("int")), F.decode(F.unhex(F.lpad(F.conv(number, 16, 16), 8, "0")), "UTF-32"))
+        name = F.regexp_extract(part, r"^[A-Za-z][A-Za-z0-9]*;", 0)
+        start = F.regexp_extract(part, open_name, 0)
         return (
             F.when((digits != "") & is_char, F.concat(char, F.substring(part, F.length(digits) + 1, F.length(part))))
-            .when(named.isNotNull(), F.concat(named, F.substring(part, F.length(name) + 2, F.length(part))))
+            .when(named_by(name).isNotNull(), F.concat(named_by(name), F.substring(part, F.length(name) + 1, F.length(part))))
+            .when(start != "", F.concat(named_by(start), F.substring(part, F.length(start) + 1, F.length(part))))
             .otherwise(F.concat(F.lit("&"), part))
         )
 
@@ -68,7 +93,7 @@ def attribute(text: Column, name: str) -> Column:
     """Value of an attribute, in double, single or no quotes, or null."""
     pattern = rf"""(?i)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     value = F.concat(*[F.regexp_extract(text, pattern, g) for g in (1, 2, 3)])
-    return F.when(text.rlike(pattern), decode_entities(value))
+    return F.when(text.rlike(pattern), decode_entities(value, in_attribute=True))
 
 
 def has_class(chunk: Column, name: str) -> Column:
