@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 
 QUEUE_BYTES = 64 << 20  # held in memory by all queues of one sort
-READ_TOGETHER = 1 << 20  # positions taken from a queue at a time
+READ_TOGETHER = 1 << 18  # positions taken from a queue at a time
+PAIRS = 1 << 17  # of neighbours compared at a time
 
 
 class BucketQueues:
@@ -20,11 +21,12 @@ class BucketQueues:
 
     def __init__(self, symbols: int, held: int = QUEUE_BYTES):
         self.blocks: list[list] = [[] for _ in range(symbols)]
-        self.held, self.bound, self.file = 0, held, None
+        self.held, self.bound, self.file, self.kind = 0, held, None, None
 
     def push(self, symbol: int, positions: np.ndarray) -> None:
         if not len(positions):
             return
+        self.kind = positions.dtype
         if self.held + positions.nbytes > self.bound:
             if self.file is None:
                 self.file = tempfile.TemporaryFile()
@@ -39,7 +41,7 @@ class BucketQueues:
         block = self.blocks[symbol][k]
         if isinstance(block, tuple):
             self.file.seek(block[0])
-            block = np.frombuffer(self.file.read(8 * block[1]), dtype=np.int64)
+            block = np.frombuffer(self.file.read(self.kind.itemsize * block[1]), dtype=self.kind)
         return block
 
     def pull(self, symbol: int) -> Iterator[np.ndarray]:
@@ -64,15 +66,21 @@ class BucketQueues:
             yield np.concatenate(parts)
 
 
+def positions_type(text: np.ndarray) -> type:
+    """The smaller of the two types that hold all positions of a text."""
+    return np.int32 if len(text) < 1 << 31 else np.int64
+
+
 def small_types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (S), for a text that ends with its one smallest symbol."""
     n = len(text)
-    step = np.zeros(n, dtype=np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int32) - text[:-1].astype(np.int32))
-    step[-1] = 1
-    at = np.where(step != 0, np.arange(n), n - 1)
-    following = np.minimum.accumulate(at[::-1])[::-1]
-    return step[following] > 0
+    kind = positions_type(text)
+    at = np.arange(n, dtype=kind)
+    at[:-1][text[1:] == text[:-1]] = n - 1
+    following = np.minimum.accumulate(at[::-1])[::-1]  # the next place whose symbol is not the one after it
+    rises = np.ones(n, dtype=bool)
+    rises[:-1] = text[1:] > text[:-1]
+    return rises[following]
 
 
 def _spread(text: np.ndarray, small: np.ndarray, positions: np.ndarray, want_small: bool, queues: BucketQueues) -> None:
@@ -103,7 +111,7 @@ def induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int,
             _spread(text, small, block, False, large)
         _spread(text, small, seeds[borders[c]: borders[c + 1]], False, large)
     tiny = BucketQueues(symbols, held)
-    tiny.push(int(text[-1]), np.array([len(text) - 1]))
+    tiny.push(int(text[-1]), np.array([len(text) - 1], dtype=seeds.dtype))
     for c in range(symbols - 1, -1, -1):
         for block in tiny.pull(c):
             _spread(text, small, block, True, tiny)
@@ -129,16 +137,19 @@ def equal_runs(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarra
 
 def equal_windows(text: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
     """Whether the `width` symbols at a and b are equal, seven at a time."""
-    padded = np.concatenate([text, np.zeros(7, dtype=text.dtype)]).astype(np.uint64)
+    if width < 7:
+        return equal_runs(text, a, b, np.full(len(a), width))
     words = np.zeros(len(text), dtype=np.uint64)
     for k in range(7):
-        words |= padded[k: k + len(text)] << np.uint64(9 * k)
-    same, left = np.zeros(len(a), dtype=bool), np.arange(len(a))
-    for k in [*range(0, width - 6, 7), max(0, width - 7)]:
-        left = left[words[a[left] + k] == words[b[left] + k]] if width >= 7 else left
-    if width < 7:
-        left = left[equal_runs(text, a, b, np.full(len(a), width))]
-    same[left] = True
+        ahead = text[k:].astype(np.uint64)
+        ahead <<= np.uint64(9 * k)
+        words[: len(ahead)] |= ahead
+    same = np.zeros(len(a), dtype=bool)
+    for first in range(0, len(a), PAIRS):
+        left = np.arange(first, min(len(a), first + PAIRS))
+        for k in [*range(0, width - 6, 7), width - 7]:
+            left = left[words[a[left] + k] == words[b[left] + k]]
+        same[left] = True
     return same
 
 
@@ -150,20 +161,20 @@ def suffix_order(text: np.ndarray, symbols: int, depth: int, held: int = QUEUE_B
     until `depth` is covered. A second induction gives the order of all suffixes.
     """
     small = small_types(text)
-    marks = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    kind = positions_type(text)
+    marks = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(kind)
     if len(marks) > 1:
         is_mark = np.zeros(len(text), dtype=bool)
         is_mark[marks] = True
         rough = marks[np.argsort(text[marks], kind="stable")]
         order = np.concatenate([block[is_mark[block]] for block in induce(text, small, rough, symbols, held)])
         ends = np.append(marks[1:], len(text) - 1)
-        size = np.zeros(len(text), dtype=np.int64)
+        size = np.zeros(len(text), dtype=kind)
         size[marks] = np.minimum(ends - marks + 1, len(text) - marks)
         a, b = order[:-1], order[1:]
         equal = (size[a] == size[b]) & equal_runs(text, a, b, np.where(size[a] == size[b], np.minimum(size[a], depth), 0))
-        name = np.zeros(len(text), dtype=np.int64)
-        name[order] = np.concatenate([[1], 1 + np.cumsum(~equal)])
-        rank, step = name[marks], 1
+        size[order] = np.concatenate([[1], 1 + np.cumsum(~equal)])  # from here on their names
+        rank, step = size[marks].astype(np.int64), 1
         while step < depth and rank.max() < len(rank):  # a mark is two symbols at least before the next
             ahead = np.concatenate([rank[step:], np.zeros(min(step, len(rank)), dtype=np.int64)])[: len(rank)]
             key = rank * (len(rank) + 1) + ahead
@@ -190,10 +201,10 @@ def repeated_windows(strings: list[bytes], width: int, held: int = QUEUE_BYTES)
     for a, n in zip(starts, sizes):
         if n >= width:
             valid[a: a + n - width + 1] = True
-    order = np.concatenate([block[valid[block]] for block in suffix_order(text, 258, width, held)] or [np.zeros(0, dtype=np.int64)])
+    order = np.concatenate([block[valid[block]] for block in suffix_order(text, 258, width, held)] or [np.zeros(0, dtype=np.int32)])
     same = equal_windows(text, order[:-1], order[1:], width) if len(order) > 1 else np.zeros(0, dtype=bool)
-    classes = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, dtype=np.int64)
+    classes = np.concatenate([[0], np.cumsum(~same)]).astype(order.dtype) if len(order) else np.zeros(0, dtype=np.int32)
     many = np.bincount(classes)[classes] > 1 if len(order) else np.zeros(0, dtype=bool)
     order, classes = order[many], classes[many]
     string = np.searchsorted(starts, order, side="right") - 1
-    return classes, string, order - starts[string]
+    return classes.astype(np.int64), string, order - starts[string]

@@ -16,8 +16,11 @@ from gridmosaic.llm.induced import repeated_windows
 
 WIDTH = 100
 GRAM = 20
-CHUNK_RUNS = 1 << 20  # runs met before they leave a task
-SHARD_BYTES = 2 << 20  # strings sorted at a time; a larger gram is split
+CHUNK_RUNS = 1 << 18  # runs met before they leave a task
+SLICE_BYTES = 1 << 18  # of texts cut into runs at a time; each byte becomes several numbers for a while
+SHARD_BYTES = 2 << 20  # a gram with more bytes of strings is split
+SORT_BYTES = 1 << 19  # strings of several grams sorted at a time
+ROWS_TOGETHER = 500  # texts cut at a time
 DEPTHS = (2, 4, 0)  # smallest grams that key the parts of a large gram, one split after the other; 0: all bytes of each window
 PART_STRINGS = 256  # strings split at a time
 SAMPLE = 16  # one text in so many is read to find grams of many runs
@@ -166,7 +169,7 @@ def meet_runs(width: int, gram: int, hot: np.ndarray | None = None):
 
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            for first, raw, bounds in slices(batch):
+            for first, raw, bounds in slices(batch, SLICE_BYTES):
                 text, *found = runs_of(raw, bounds, width, gram)
                 held.append((k1[first + text], k2[first + text], *found))
                 size += len(text)
@@ -179,9 +182,16 @@ def meet_runs(width: int, gram: int, hot: np.ndarray | None = None):
     return run
 
 
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, `ROWS_TOGETHER` at a time, so that few texts become Python values at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS_TOGETHER):
+            yield batch.slice(a, ROWS_TOGETHER)
+
+
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted runs of each text."""
-    for batch in batches:
+    for batch in few_rows(batches):
         rows = {"gram": [], "k1": [], "k2": [], "start": [], "body": []}
         for k1, k2, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "wanted"))):
             raw = text.encode("utf-8")
@@ -219,8 +229,11 @@ def spans_of(strings: list[bytes], k1: np.ndarray, k2: np.ndarray, start: np.nda
     return k1[s], k2[s], start[s] + offset[first], offset[last] - offset[first] + width
 
 
-def sort_shards(width: int, shard_bytes: int = SHARD_BYTES):
-    """A task that sorts the suffixes of its strings, gram by gram; strings of different grams have no window in common."""
+def sort_shards(width: int, sort_bytes: int = SORT_BYTES):
+    """A task that sorts the suffixes of its strings; strings of different grams have no window in common.
+
+    Whole grams are sorted together as long as they have at most `sort_bytes`, a larger one for itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body: list[bytes] = []
@@ -237,13 +250,14 @@ def sort_shards(width: int, shard_bytes: int = SHARD_BYTES):
             keys = np.stack([batch.column(c).to_numpy() for c in ("k1", "k2", "start")])
             texts = batch.column("body").to_pylist()
             for a, b in zip(cuts, np.append(cuts[1:], len(grams))):
-                if size >= shard_bytes and grams[a] != gram:
+                more = sum(map(len, texts[a:b]))
+                if body and size + more > sort_bytes and grams[a] != gram:
                     yield flush()
                     body, rows, size = [], [], 0
                 gram = grams[a]
                 body += texts[a:b]
                 rows.append(keys[:, a:b])
-                size += sum(map(len, texts[a:b]))
+                size += more
         if body:
             yield flush()
 
@@ -252,7 +266,7 @@ def sort_shards(width: int, shard_bytes: int = SHARD_BYTES):
 
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the bytes of their spans."""
-    for batch in batches:
+    for batch in few_rows(batches):
         out = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             raw = (text or "").encode("utf-8")
@@ -304,7 +318,7 @@ def _judge(rows: DataFrame, *deal: str) -> DataFrame:
 
 
 def _sorted_spans(strings: DataFrame, width: int, shard_bytes: int) -> DataFrame:
-    return strings.select("gram", "k1", "k2", "start", "body").repartition("gram").sortWithinPartitions("gram").mapInArrow(sort_shards(width, shard_bytes), SPANS)
+    return strings.select("gram", "k1", "k2", "start", "body").repartition("gram").sortWithinPartitions("gram").mapInArrow(sort_shards(width, min(shard_bytes, SORT_BYTES)), SPANS)
 
 
 def _split_spans(strings: DataFrame, width: int, gram: int, shard_bytes: int) -> list[DataFrame]:
