@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SHARED_FOLDER = "spark.checkpoint.dir"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 500  # whole texts in an Arrow batch
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,14 +27,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write rows to the shared folder as Parquet and read them from there.
 
-    Cuts the lineage and keeps a table that later steps read several times, with columns still pruned.
+    Cuts the lineage and keeps a table that later steps read several times, with columns still pruned. Python steps of `df` get
+    at most `batch_rows` rows at a time, if given, and not more than the session allows.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = int(spark.conf.get(BATCH_ROWS))
+    if batch_rows is not None and not 0 < before <= batch_rows:
+        spark.conf.set(BATCH_ROWS, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def n_words(text: Column) -> Column:

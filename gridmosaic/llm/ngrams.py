@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from gridmosaic.llm.common import stage
+from gridmosaic.llm.common import TEXT_ROWS, stage
 from gridmosaic.llm.components import components
 from gridmosaic.llm.hashing import FILTER_BITS, joint, key_filter, mix, passes_filter, slices, word_hashes
 
@@ -281,7 +281,7 @@ def links_between_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame, filter_bits: int) -> DataFrame:
     """Rows (doc_id, n, a, root), one per document; documents of one component have one root. Method and cases as in `near_duplicates`."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stage(source.mapInArrow(describe, "doc_id long, n long, a long, b long"), "set-prints")
+    described = stage(source.mapInArrow(describe, "doc_id long, n long, a long, b long"), "set-prints", TEXT_ROWS)
     rows = source.mapInArrow(meet_prefixes, "token long, a long, c int, n int, chunk int")
     met = rows.withColumn("chunk", F.col("chunk") + F.spark_partition_id() * 4096).repartition("token")
     same, own = W.partitionBy("token"), F.when(F.col("c") >= 0, F.col("a"))
@@ -290,12 +290,12 @@ def _labelled(docs: DataFrame, filter_bits: int) -> DataFrame:
         F.max("n").alias("n"), F.sum(F.when(F.col("n") > 0, F.col("c")).when(F.col("shared"), 1).otherwise(0)).alias("c"))
     size = F.least(F.col("n"), F.floor(F.col("n") / 5) + F.floor((F.col("n") + 9) / 10))
     enough = counts.filter((F.col("n") > 0) & (F.col("c") >= needed_in_prefix(F.col("n"))))
-    survivors = stage(enough.groupBy("a").agg(F.min(size - F.col("c")).alias("private")), "survivors")
+    survivors = stage(enough.groupBy("a").agg(F.min(size - F.col("c")).alias("private")), "survivors", TEXT_ROWS)
     reps = described.filter("n > 0").join(survivors, "a", "left_semi").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"))
 
     # One document of each set passes, and few others do, which do no harm: similar sets among them are linked like any.
     known = key_filter(reps.select("doc_id", "a", "b"), filter_bits)
-    sets = stage(source.mapInArrow(full_sets(known, filter_bits), "n long, a long, hashes array<long>, keys array<long>, image array<long>"), "full-sets")
+    sets = stage(source.mapInArrow(full_sets(known, filter_bits), "n long, a long, hashes array<long>, keys array<long>, image array<long>"), "full-sets", TEXT_ROWS)
     stars = stage(star_links(sets, survivors), "stars")
     groups = components(stars)
     between = links_between_groups(sets, groups)

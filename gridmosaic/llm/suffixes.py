@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from gridmosaic.llm.common import stage
+from gridmosaic.llm.common import TEXT_ROWS, stage
 from gridmosaic.llm.hashing import BASE, BASE_INVERSE, FILTER_BITS, joint, key_filter, mix, passes_filter, powers, slices
 from gridmosaic.llm.induced import repeated_windows
 
@@ -20,7 +20,6 @@ CHUNK_RUNS = 1 << 18  # runs met before they leave a task
 SLICE_BYTES = 1 << 18  # of texts cut into runs at a time; each byte becomes several numbers for a while
 SHARD_BYTES = 2 << 20  # a gram with more bytes of strings is split
 SORT_BYTES = 1 << 19  # strings of several grams sorted at a time
-ROWS_TOGETHER = 500  # texts cut at a time
 DEPTHS = (2, 4, 0)  # smallest grams that key the parts of a large gram, one split after the other; 0: all bytes of each window
 PART_STRINGS = 256  # strings split at a time
 SAMPLE = 16  # one text in so many is read to find grams of many runs
@@ -183,10 +182,10 @@ def meet_runs(width: int, gram: int, hot: np.ndarray | None = None):
 
 
 def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows, `ROWS_TOGETHER` at a time, so that few texts become Python values at once."""
+    """The same rows, `TEXT_ROWS` at a time, so that few texts become Python values at once."""
     for batch in batches:
-        for a in range(0, batch.num_rows, ROWS_TOGETHER):
-            yield batch.slice(a, ROWS_TOGETHER)
+        for a in range(0, batch.num_rows, TEXT_ROWS):
+            yield batch.slice(a, TEXT_ROWS)
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +368,7 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, filter_b
     runs = texts.mapInArrow(meet_runs(width, gram, _hot_grams(texts, width, gram, sample, hot_runs)), RUNS).repartition("deal")
     kinds, shared = F.struct("print", "length"), W.partitionBy("deal", "gram")
     judged = _judge(runs, "deal").withColumn("met", F.col("many") | (F.min(kinds).over(shared) != F.max(kinds).over(shared)))
-    judged = stage(judged.filter("later or (first and met)").select("gram", "length", "k1", "k2", "start", "later"), "repeated-runs")
+    judged = stage(judged.filter("later or (first and met)").select("gram", "length", "k1", "k2", "start", "later"), "repeated-runs", TEXT_ROWS)
 
     known = docs.select("k1", "k2", "text")
 
@@ -385,7 +384,7 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, filter_b
     found.append(_sorted_spans(strings(heads.join(large, "gram", "left_anti") if some_large else heads), width, shard_bytes))
     if some_large:
         found += _split_spans(strings(heads.join(large, "gram", "left_semi")), width, gram, shard_bytes)
-    spans = stage(reduce(DataFrame.unionByName, found), "repeat-spans")
+    spans = stage(reduce(DataFrame.unionByName, found), "repeat-spans", TEXT_ROWS)
 
     per_doc = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     maybe, clean = _split(docs, spans.select("k1", "k2").distinct(), filter_bits)
