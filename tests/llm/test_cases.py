@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,3 +363,19 @@ def test_one_of_each_group_with_shared_ids(make):
     got = sorted((str(r["doc_id"]), r["text"]) for r in ngrams.one_of_each_group(make(rows)).collect())
     assert got == sorted([("1", text), ("2", other), ("3", third), ("5", ""), ("5", ""), ("None", text)])
     assert ngrams.one_of_each_group(make(rows)).columns == make(rows).columns
+
+
+def test_stages_give_small_batches_and_restore_the_setting(make, spark):
+    from gridmosaic.llm.common import BATCH_ROWS, stage
+
+    def count_rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows = spark.range(0, 25, 1, 1).mapInArrow(count_rows, "n long")
+    before = spark.conf.get(BATCH_ROWS)
+    assert [r["n"] for r in stage(rows, "batches", 10).collect()] == [10, 10, 5]
+    assert [r["n"] for r in stage(rows, "batches").collect()] == [25]
+    with pytest.raises(Exception):
+        stage(spark.range(1).select(F.raise_error(F.lit("no")).alias("x")), "fails", 10)
+    assert spark.conf.get(BATCH_ROWS) == before
