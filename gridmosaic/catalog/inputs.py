@@ -36,8 +36,9 @@ def table_rows(spark: SparkSession, d: str) -> DataFrame:
         F.to_date("l_shipdate"),
         "row_idx",
     )
-    suppliers = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(
+    # one after the other: Spark knows the size of a table, but takes that of a join for the product of both, and would deal all lines anew
+    named = lines.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return named.join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("l_partkey").alias("table_id"), "row_idx", "s_suppkey", "s_name", "n_nationkey", "n_name",
         "l_returnflag", "l_linestatus", "l_linenumber",
     )
