@@ -11,8 +11,11 @@ from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
+from gridmosaic.functions.values import once
+
 # Names that count without their semicolon, the longest first, as a name may begin with another.
 OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+NUMBER = r"^#(?:[xX]0*([0-9A-Fa-f]{1,6})|0*([0-9]{1,7}));?"
 # Numbers 128 to 159 stand for the characters of windows-1252, where that has one.
 OLD_NUMBERS = {k: c for k in range(128, 160) if (c := bytes([k]).decode("cp1252", "ignore"))}
 
@@ -40,31 +43,33 @@ def decode_entities(col: Column, in_attribute: bool = False) -> Column:
     def named_by(name: Column) -> Column:
         return F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
 
-    def one(part: Column) -> Column:
-        digits = F.regexp_extract(part, r"^#(?:[xX]0*([0-9A-Fa-f]{1,6})|0*([0-9]{1,7}));?", 0)
+    def one(part: Column, digits: Column) -> Column:
         hexed = F.regexp_extract(digits, r"^#[xX]([0-9A-Fa-f]+)", 1)
         number = F.when(hexed != "", hexed).otherwise(F.conv(F.regexp_extract(digits, r"([0-9]+)", 1), 10, 16))
         code = F.conv(number, 16, 10).cast("bigint")
         is_char = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         char = F.coalesce(F.try_element_at(old, code.cast("int")), F.decode(F.unhex(F.lpad(F.conv(number, 16, 16), 8, "0")), "UTF-32"))
-        name = F.regexp_extract(part, r"^[A-Za-z][A-Za-z0-9]*;", 0)
-        start = F.regexp_extract(part, open_name, 0)
-        return (
-            F.when((digits != "") & is_char, F.concat(char, F.substring(part, F.length(digits) + 1, F.length(part))))
-            .when(named_by(name).isNotNull(), F.concat(named_by(name), F.substring(part, F.length(name) + 1, F.length(part))))
-            .when(start != "", F.concat(named_by(start), F.substring(part, F.length(start) + 1, F.length(part))))
-            .otherwise(F.concat(F.lit("&"), part))
+        return F.when((digits != "") & is_char, F.concat(char, F.substring(part, F.length(digits) + 1, F.length(part)))).otherwise(
+            once(F.regexp_extract(part, r"^[A-Za-z][A-Za-z0-9]*;", 0), lambda name: once(named_by(name), lambda value: by_name(part, name, value)))
+        )
+
+    def by_name(part: Column, name: Column, value: Column) -> Column:
+        return F.when(value.isNotNull(), F.concat(value, F.substring(part, F.length(name) + 1, F.length(part)))).otherwise(
+            once(F.regexp_extract(part, open_name, 0), lambda start: F.when(
+                start != "", F.concat(named_by(start), F.substring(part, F.length(start) + 1, F.length(part)))
+            ).otherwise(F.concat(F.lit("&"), part)))
         )
 
-    parts = F.split(col, "&", -1)
-    decoded = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
-    return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
+    def decoded(parts: Column) -> Column:
+        later = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: once(F.regexp_extract(p, NUMBER, 0), lambda digits: one(p, digits)))
+        return F.concat(parts[0], F.array_join(later, ""))
+
+    return once(col, lambda c: F.when(F.contains(c, F.lit("&")), once(F.split(c, "&", -1), decoded)).otherwise(c))
 
 
 def chunks(html: Column, element: str) -> Column:
     """Texts that each start right after ``<element``."""
-    parts = F.split(html, rf"(?i)<{element}\b")
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return once(F.split(html, rf"(?i)<{element}\b"), lambda parts: F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))
 
 
 def until(col: Column, pattern: str) -> Column:
@@ -75,9 +80,13 @@ def until(col: Column, pattern: str) -> Column:
 def leaf_elements(html: Column, element: str) -> Column:
     """Whole elements that hold no element of the same name. A last one that is
     not closed ends with the body; an earlier one holds the next."""
-    found = chunks(html, element)
-    leaves = F.filter(found, lambda c, i: c.rlike(rf"(?i)</{element}\b") | (i == F.size(found) - 1))
-    return F.transform(leaves, lambda c: F.concat(F.lit(f"<{element}"), until(c, rf"(?i)</{element}\b|</body\b|</html\b"), F.lit(f"</{element}>")))
+    def leaves(found: Column) -> Column:
+        return F.filter(found, lambda c, i: c.rlike(rf"(?i)</{element}\b") | (i == F.size(found) - 1))
+
+    return F.transform(
+        once(chunks(html, element), leaves),
+        lambda c: F.concat(F.lit(f"<{element}"), until(c, rf"(?i)</{element}\b|</body\b|</html\b"), F.lit(f"</{element}>")),
+    )
 
 
 def data_cells(html: Column) -> Column:
@@ -92,8 +101,11 @@ def attributes_of(chunk: Column) -> Column:
 def attribute(text: Column, name: str) -> Column:
     """Value of an attribute, in double, single or no quotes, or null."""
     pattern = rf"""(?i)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.regexp_extract(text, pattern, g) for g in (1, 2, 3)])
-    return F.when(text.rlike(pattern), decode_entities(value, in_attribute=True))
+
+    def value(t: Column) -> Column:
+        return F.concat(*[F.regexp_extract(t, pattern, g) for g in (1, 2, 3)])
+
+    return once(text, lambda t: F.when(t.rlike(pattern), decode_entities(value(t), in_attribute=True)))
 
 
 def has_class(chunk: Column, name: str) -> Column:
@@ -104,15 +116,16 @@ def has_class(chunk: Column, name: str) -> Column:
 
 def anchors(html: Column) -> Column:
     """Array of struct(href, title, text) of the anchors, in order."""
-    def one(c: Column) -> Column:
-        body = until(c, r"(?i)</a\b")
-        head = attributes_of(body)
+    def one(body: Column, head: Column) -> Column:
         text = F.regexp_replace(F.substring(body, F.length(head) + 2, F.length(body)), r"<[^>]*>", "")
         return F.struct(
             attribute(head, "href").alias("href"), attribute(head, "title").alias("title"), decode_entities(text).alias("text")
         )
 
-    return F.filter(F.transform(chunks(html, "a"), one), lambda a: a["href"].isNotNull())
+    def read(c: Column) -> Column:
+        return once(until(c, r"(?i)</a\b"), lambda body: once(attributes_of(body), lambda head: one(body, head)))
+
+    return F.filter(F.transform(chunks(html, "a"), read), lambda a: a["href"].isNotNull())
 
 
 def first_src(html: Column) -> Column:

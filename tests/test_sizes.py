@@ -43,3 +43,11 @@ def test_only_asked_tables_are_made_into_cells(spark):
     assert [(r.question_id, r.found_word, r.row_idx, r.img_id) for r in out.collect()] == [("q", "tower", 1, "{IMG-{D-1}}")]
     text = plan(Q.explicit_questions(questions, cells), "optimizedPlan")
     assert "LeftSemi" in text and text.index("Generate explode(c") < text.index("LeftSemi")
+
+
+def test_values_are_worked_out_once(spark):
+    df = spark.createDataFrame([('<table><a href="/x&amp;y" title=t>A &lt;b&gt;</a><table></table>',)], "h string")
+    assert plan(df.select(M.anchors(F.col("h")).alias("x")), "analyzed").count("split(h") == 1
+    assert plan(df.select(M.leaf_elements(F.col("h"), "table").alias("x")), "analyzed").count("split(h") == 1
+    a = df.select(M.anchors(F.col("h")).alias("a")).first()["a"]
+    assert [tuple(x) for x in a] == [("/x&y", "t", "A <b>")]
