@@ -49,5 +49,21 @@ def test_values_are_worked_out_once(spark):
     df = spark.createDataFrame([('<table><a href="/x&amp;y" title=t>A &lt;b&gt;</a><table></table>',)], "h string")
     assert plan(df.select(M.anchors(F.col("h")).alias("x")), "analyzed").count("split(h") == 1
     assert plan(df.select(M.leaf_elements(F.col("h"), "table").alias("x")), "analyzed").count("split(h") == 1
+    assert plan(df.select(T.replace_bounded(F.col("h"), F.lit("a"), F.lit("b")).alias("x")), "analyzed").count("(?iu)") == 1
     a = df.select(M.anchors(F.col("h")).alias("a")).first()["a"]
     assert [tuple(x) for x in a] == [("/x&y", "t", "A <b>")]
+
+
+def test_tagging_searches_a_cell_once(spark, monkeypatch):
+    seen = counted(monkeypatch, TG)
+    cells = make_cells(spark, [(1, 1, 0, "Tower and Bridge", "Tower and Bridge"), (1, 2, 0, "none", "none")])
+    anchors = spark.createDataFrame([(1, "tower", "/wiki/T", 0), (1, "bridge", "/wiki/B", 1)], "table_id bigint, text string, link string, pos bigint")
+    images = spark.createDataFrame([("https://en.wikipedia.org/wiki/T", "t"), ("https://en.wikipedia.org/wiki/B", "b")], "link string, image_path string")
+    links = spark.createDataFrame([(1, 1, 0, 0, "/wiki/T"), (1, 1, 0, 1, "/wiki/X"), (1, 2, 0, 0, "/wiki/none")], "table_id bigint, row_idx bigint, col_idx bigint, ord bigint, link string")
+    by_text = {r.row_idx: r.tagged for r in TG.tag_cells_by_text(cells, anchors, images, "D").collect()}
+    assert by_text == {1: "{IMG-{D-1-1-0-1}} and {IMG-{D-1-1-0-0}}", 2: "none"}
+    assert len(seen) == 2
+    counts = TG.link_counts(TG.tag_cells_by_link(cells, links, anchors.drop("pos"), images, "D"), links, images).first()
+    assert (counts.links, counts.without_image, counts.replaced) == (1, 2, 1) and len(seen) == 5
+    marked = {r.row_idx: (r.annotated, r.is_fallback) for r in TG.annotate_links(cells, anchors, links).collect()}
+    assert marked == {1: ("tower and {LINK{bridge}{/wiki/B}}", False), 2: ("{LINK{none}{/wiki/none}}", True)} and len(seen) == 6
