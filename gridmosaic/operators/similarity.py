@@ -13,6 +13,7 @@ from gridmosaic.session import reliable_checkpoint
 RARE = 64  # right sets of a shingle that is met and counted
 HEADS = 4  # hot lists of which the whole first piece may give a first match
 GLUE = "\x01"
+BUNDLES = 8  # rows that the shingles of a table are packed in
 
 
 def shingle_rows(cells: DataFrame, keys: tuple[str, ...] = ("table_id",), col: str = "cell") -> DataFrame:
@@ -164,15 +165,22 @@ def multiset_jaccard(left: DataFrame, right: DataFrame, pairs: DataFrame) -> Dat
 
     ``pairs``: left_id, right_id. Inputs: (table_id, shingle), repeats kept.
     """
-    def counts(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(F.col("table_id").alias(f"{name}_id"), "shingle").agg(F.count(F.lit(1)).alias("c"))
+    def bundles(rows: DataFrame, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("shingle"), F.lit(BUNDLES)).alias("part")
+        packed = rows.groupBy("table_id", part).agg(F.collect_list(F.struct("shingle")).alias("rows"))
+        return packed.select(F.col("table_id").alias(f"{name}_id"), "part", F.col("rows").alias(name))
 
+    def counted(name: str, l: int, r: int) -> Column:
+        none = F.array().cast("array<struct<shingle:string,l:bigint,r:bigint>>")
+        return F.coalesce(F.transform(name, lambda x: F.struct(
+            x["shingle"].alias("shingle"), F.lit(l).cast("bigint").alias("l"), F.lit(r).cast("bigint").alias("r"))), none)
+
+    # a table's shingles travel in a few rows, and equal shingles of a pair are in rows that meet
     key = ["left_id", "right_id"]
-    sides = (
-        pairs.join(counts(left, "left"), "left_id").select(*key, "shingle", F.col("c").alias("l"), F.lit(0).cast("bigint").alias("r"))
-        .unionByName(pairs.join(counts(right, "right"), "right_id").select(*key, "shingle", F.lit(0).cast("bigint").alias("l"), F.col("c").alias("r")))
-    )
-    per_shingle = sides.groupBy(*key, "shingle").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    parts = pairs.select(*key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BUNDLES - 1).cast("bigint"))).alias("part"))
+    met = parts.join(bundles(left, "left"), ["left_id", "part"], "left").join(bundles(right, "right"), ["right_id", "part"], "left")
+    sides = met.select(*key, "part", F.explode(F.concat(counted("left", 1, 0), counted("right", 0, 1))).alias("s")).select(*key, "part", "s.*")
+    per_shingle = sides.groupBy(*key, "part", "shingle").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     sums = per_shingle.groupBy(*key).agg(F.sum(F.least("l", "r")).alias("both"), F.sum(F.greatest("l", "r")).alias("either"))
     return pairs.join(sums, key, "left").select(
         *key, F.coalesce(F.try_divide(F.col("both").cast("double"), "either"), F.lit(0.0)).alias("similarity")

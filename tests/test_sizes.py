@@ -45,6 +45,23 @@ def test_only_asked_tables_are_made_into_cells(spark):
     assert "LeftSemi" in text and text.index("Generate explode(c") < text.index("LeftSemi")
 
 
+def test_multiset_pairs_without_a_shuffle_of_shingles(spark, joins_by_shuffle):
+    rng = random.Random(3)
+    rows = [(k, rng.choice(["a", "b", "c", None, ""])) for k in range(6) for _ in range(rng.randint(0, 7))] + [(None, "a")]
+    pairs = [(a, b) for a in range(7) for b in range(7)] + [(1, 2), (None, 1)]
+    df = spark.createDataFrame(rows, "table_id bigint, shingle string")
+    out = S.multiset_jaccard(df, df, spark.createDataFrame(pairs, "left_id bigint, right_id bigint"))
+    bags = {k: Counter(s for j, s in rows if j == k) for k in [*range(7)]}
+
+    def by_hand(a, b):
+        x, y = bags.get(a, Counter()), bags.get(b, Counter())
+        return sum((x & y).values()) / max(1, sum((x | y).values()))
+
+    assert sorted((str(r.left_id), str(r.right_id), r.similarity) for r in out.collect()) == sorted((str(a), str(b), by_hand(a, b)) for a, b in pairs)
+    dealt = [line for line in plan(out).splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not any("shingle" in line for line in dealt)
+
+
 def test_values_are_worked_out_once(spark):
     df = spark.createDataFrame([('<table><a href="/x&amp;y" title=t>A &lt;b&gt;</a><table></table>',)], "h string")
     assert plan(df.select(M.anchors(F.col("h")).alias("x")), "analyzed").count("split(h") == 1
