@@ -39,12 +39,17 @@ def signatures(shingles: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _side(shingles: DataFrame, block: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """Members (every table with its set) and the shingles of the sets, one set per distinct content."""
-    members = reliable_checkpoint(signatures(shingles, [*block, "table_id"]).withColumn("set_id", F.concat_ws("-", "n", "h1", "h2")))
-    firsts = members.groupBy(*block, "set_id").agg(F.min("table_id").alias("table_id"), F.first("n").alias("n"))
-    rows = shingles.join(firsts, [*block, "table_id"]).select(*block, F.col("set_id").alias(f"{name}_set"), F.col("n").alias(f"{name}_n"), "shingle")
-    return members.select(*block, "table_id", "set_id"), rows
+def _side(shingles: DataFrame, block: Sequence[str], name: str, size: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (every table with its set), the sets with their size, and their shingles.
+
+    One set per distinct content of a block; it goes by the smallest id of its tables.
+    """
+    members = reliable_checkpoint(signatures(shingles, [*block, "table_id"]))
+    content = [*block, "n", "h1", "h2"]
+    firsts = members.groupBy(*content).agg(F.min("table_id").alias(name))
+    sets = reliable_checkpoint(firsts.select(*block, name, F.col("n").alias(size)))
+    rows = shingles.withColumnRenamed("table_id", name).join(sets, [*block, name])
+    return members.join(firsts, content, "left").select(*block, "table_id", name), sets, rows
 
 
 def _bound(left: Column, n: Column, m: Column) -> Column:
@@ -65,7 +70,7 @@ def _postings(right: DataFrame, frequency: DataFrame, block: Sequence[str]) -> t
         hot_groups=frequency.where(F.col("frequency") > HOT_GROUP_ROWS).select(*key),
     )
     piece = F.floor((F.col("at") - 1) / F.ceil(F.sqrt("frequency"))).cast("int").alias("piece")
-    postings = reliable_checkpoint(ordered.select(*key, piece, "right_set", "right_n", "match_id"))
+    postings = reliable_checkpoint(ordered.select(*key, piece, "right_n", "match_id"))
     pieces = postings.groupBy(*key, "piece").agg(
         F.min("right_n").alias("least_n"), F.max("right_n").alias("most_n"), F.min("match_id").alias("least_id"))
     return postings, pieces
@@ -74,8 +79,8 @@ def _postings(right: DataFrame, frequency: DataFrame, block: Sequence[str]) -> t
 def _similarities(pairs: DataFrame, left_hot: DataFrame, right_hot: DataFrame, block: Sequence[str]) -> DataFrame:
     """``similarity`` of pairs whose common rare shingles are counted in ``both``, with their common hot ones."""
     key = [*block, "left_set"]
-    columns = [*key, "right_set", "left_n", "right_n", "match_id", "both"]
-    met = pairs.join(left_hot.select(*key, "shingle"), key).join(right_hot.select(*block, "right_set", "shingle"), [*block, "right_set", "shingle"])
+    columns = [*key, "left_n", "right_n", "match_id", "both"]
+    met = pairs.join(left_hot.select(*key, "shingle"), key).join(right_hot.select(*block, "match_id", "shingle"), [*block, "match_id", "shingle"])
     counted = pairs.select(*columns).unionByName(met.withColumn("both", F.lit(1).cast("bigint")).select(*columns)).groupBy(*columns[:-1]).agg(F.sum("both").alias("both"))
     return counted.where("both > 0").withColumn("similarity", _jaccard(F.col("both")))
 
@@ -100,29 +105,31 @@ def best_table_match(left: DataFrame, right: DataFrame, block_key: str | None =
     block = [block_key] if block_key else []
     key = [*block, "left_set"]
     left, right = reliable_checkpoint(left), reliable_checkpoint(right)  # each is read several times
-    left_members, left_rows = _side(left, block, "left")
-    right_members, right_rows = _side(right, block, "right")
-    first_right = right_members.groupBy(*block, F.col("set_id").alias("right_set")).agg(F.min("table_id").alias("match_id"))
+    left_members, left_sets, left_rows = _side(left, block, "left_set", "left_n")
+    _, right_sets, right_rows = _side(right, block, "match_id", "right_n")
     frequency = reliable_checkpoint(right_rows.groupBy(*block, "shingle").agg(F.count(F.lit(1)).alias("frequency")))
     left_rows = reliable_checkpoint(left_rows.join(frequency, [*block, "shingle"]))
     hot = frequency.where(F.col("frequency") > rare)
     left_hot = left_rows.where(F.col("frequency") > rare)
-    right_hot = reliable_checkpoint(right_rows.join(hot, [*block, "shingle"]).join(first_right, [*block, "right_set"]))
+    right_hot = reliable_checkpoint(right_rows.join(hot, [*block, "shingle"]))
 
-    met = left_rows.where(F.col("frequency") <= rare).drop("frequency").join(right_rows, [*block, "shingle"])
-    met = met.groupBy(*key, "right_set", "left_n", "right_n").agg(F.count(F.lit(1)).alias("both")).join(first_right, [*block, "right_set"])
+    # the rows of pairs that meet are the most: they hold two ids, and get all else that is known of a set when counted
+    met = left_rows.where(F.col("frequency") <= rare).select(*key, "shingle").join(right_rows.select(*block, "match_id", "shingle"), [*block, "shingle"])
+    met = met.groupBy(*key, "match_id").agg(F.count(F.lit(1)).alias("both"))
     left_more = left_hot.groupBy(*key).agg(F.count(F.lit(1)).alias("left_more"))
-    right_more = right_hot.groupBy(*block, "right_set").agg(F.count(F.lit(1)).alias("right_more"))
+    right_more = right_hot.groupBy(*block, "match_id").agg(F.count(F.lit(1)).alias("right_more"))
     more = F.coalesce(F.least(F.coalesce("left_more", F.lit(0)), F.coalesce("right_more", F.lit(0))), F.lit(0)).alias("more")
-    columns = [*key, "right_set", "left_n", "right_n", "match_id", "both"]
-    met = reliable_checkpoint(met.join(left_more, key, "left").join(right_more, [*block, "right_set"], "left").select(*columns, more))
+    columns = [*key, "left_n", "right_n", "match_id", "both"]
+    left_known = left_sets.join(left_more, key, "left")
+    right_known = right_sets.join(right_more, [*block, "match_id"], "left")
+    met = reliable_checkpoint(met.join(left_known, key).join(right_known, [*block, "match_id"]).select(*columns, more))
 
     # a first match of each left set: of those met, or at the start of the hot lists, the one with most in common so far
     postings, pieces = _postings(right_hot, hot, block)
     place = F.row_number().over(W.partitionBy(*key).orderBy("frequency", "shingle"))
     left_hot = left_hot.withColumn("place", place)
     heads = postings.where("piece = 0")
-    firsts = heads.groupBy(*block, "shingle").agg(F.min(F.struct("right_n", "match_id", "right_set")).alias("f")).select(*block, "shingle", "f.*")
+    firsts = heads.groupBy(*block, "shingle").agg(F.min(F.struct("right_n", "match_id")).alias("f")).select(*block, "shingle", "f.*")
     begun = left_hot.where(F.col("place") <= HEADS).join(heads.drop("piece"), [*block, "shingle"]).unionByName(
         left_hot.where(F.col("place") > HEADS).join(firsts, [*block, "shingle"])).groupBy(*columns[:-1]).agg(F.lit(0).cast("bigint").alias("both"), F.count(F.lit(1)).alias("so_far"))
     started = met.select(*columns, F.col("both").alias("so_far")).unionByName(begun)
@@ -149,7 +156,7 @@ def best_table_match(left: DataFrame, right: DataFrame, block_key: str | None =
     best = near.groupBy(*key).agg(F.max(F.struct("similarity", (-F.col("match_id")).alias("o"))).alias("b"))
     found = best.select(*key, F.col("b.similarity").alias("similarity"), (-F.col("b.o")).alias("match_id"))
     return (
-        left_members.withColumnRenamed("set_id", "left_set").join(found, key, "left")
+        left_members.join(found, key, "left")
         .select(*block, "table_id", "match_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
     )
 

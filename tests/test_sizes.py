@@ -45,6 +45,19 @@ def test_only_asked_tables_are_made_into_cells(spark):
     assert "LeftSemi" in text and text.index("Generate explode(c") < text.index("LeftSemi")
 
 
+def test_sets_go_by_an_id(spark, monkeypatch):
+    seen = counted(monkeypatch, S)
+    rng = random.Random(1)
+    rows = [("b", k, f"x{rng.randrange(12)}") for k in range(40) for _ in range(5)]
+    df = spark.createDataFrame(set(rows), "block string, table_id bigint, shingle string")
+    left, right = df.where("table_id < 20"), df.where("table_id >= 20")
+    by = {k: {s for _, j, s in rows if j == k} for k in range(40)}
+    for r in S.best_table_match(left, right, rare=3).collect():
+        assert (r.match_id, r.similarity) == max(((j, len(by[r.table_id] & by[j]) / len(by[r.table_id] | by[j])) for j in range(20, 40)), key=lambda x: (x[1], -x[0]))
+    kinds = {name: kind for frame in seen for name, kind in frame.dtypes}
+    assert kinds["left_set"] == kinds["match_id"] == "bigint" and "right_set" not in kinds
+
+
 def test_multiset_pairs_without_a_shuffle_of_shingles(spark, joins_by_shuffle):
     rng = random.Random(3)
     rows = [(k, rng.choice(["a", "b", "c", None, ""])) for k in range(6) for _ in range(rng.randint(0, 7))] + [(None, "a")]
