@@ -34,6 +34,26 @@ def make_cells(spark, rows):
     return spark.createDataFrame([(t, r, c, f"h{c}", o, x) for t, r, c, o, x in rows], "table_id bigint, row_idx bigint, col_idx bigint, header string, original string, cell string")
 
 
+@pytest.fixture
+def tagged(spark):
+    rows = [(1, 0, 0, "h", "h"), (1, 1, 0, "a", "{IMG-{D-1}}"), (1, 2, 0, "b", "x {IMG-{D-2}} y {IMG-{D-3}}"), (2, 0, 0, "h", "h"), (2, 1, 0, "c", "{IMG-{D-4}}"), (None, 1, 0, "c", "z")]
+    paths = spark.createDataFrame([("{IMG-{D-1}}", "p"), ("{IMG-{D-2}}", "q"), ("{IMG-{D-4}}", None)], "tag string, image_path string")
+    return make_cells(spark, rows), paths
+
+
+def test_hot_tables_are_counted_on_the_tags(spark, tagged, monkeypatch):
+    cells, paths = tagged
+    seen, real = [], C.position_in_group
+    monkeypatch.setattr(C, "position_in_group", lambda *a, **k: seen.append(k.get("hot_groups")) or real(*a, **k))
+    tags = C.explode_tags(cells)
+    for hot in (1_000_000, 1):
+        monkeypatch.setattr(C, "HOT_GROUP_ROWS", hot)
+        assert {(r.tag, r.entity) for r in C.number_tags(tags).collect()} == {("{IMG-{D-1}}", "{ENTITY-1}"), ("{IMG-{D-2}}", "{ENTITY-2}"), ("{IMG-{D-3}}", "{ENTITY-3}"), ("{IMG-{D-4}}", "{ENTITY-1}")}
+        assert {(r.tag, r.entity) for r in C.unify_by_path(tags, paths.where("image_path IS NOT NULL")).collect()} == {("{IMG-{D-1}}", "{ENTITY_IMAGE-1}"), ("{IMG-{D-2}}", "{ENTITY_IMAGE-2}")}
+        assert {(r.tag, r.entity) for r in C.normalize_tags(tags, paths.where("image_path IS NOT NULL")).collect()} == {("{IMG-{D-1}}", "{ENTITY-1}"), ("{IMG-{D-2}}", "{ENTITY-2}")}
+    assert len(seen) == 6 and all(s is not None and "image_path" not in plan(s) for s in seen)
+
+
 def test_only_asked_tables_are_made_into_cells(spark):
     grids = [(1, [(0, 0, "H", "H", "H"), (1, 0, "H", "Tower", "{IMG-{D-1}}"), (2, 0, "H", "", "{IMG-{D-2}}")]), (2, [(1, 0, "H", "Sea", "{IMG-{D-3}}")])]
     tables = spark.createDataFrame(grids, "table_id bigint, c array<struct<row_idx:bigint,col_idx:bigint,header:string,original:string,cell:string>>")
