@@ -15,6 +15,7 @@ from gridmosaic.functions import answers as A, prompts as P, tags as T
 from gridmosaic.operators import cells as C
 from gridmosaic.operators.ranking import first_per_key
 from gridmosaic.operators.sampling import sample_n, seeded_order
+from gridmosaic.session import reliable_checkpoint
 
 MISSING_LINE = A.MISSING_PREDICTION
 PASSAGE_HEAD = "Passage related to entity in "
@@ -143,8 +144,8 @@ def entity_prompts(cells: DataFrame, unified: DataFrame, image_tags: DataFrame,
     image has no infobox before its own. ``passages``: key (the image key), passages.
     """
     named = C.entity_text(cells, unified.select("tag", "entity"))
-    keys = C.image_keys(cells, unified)
-    boxes = C.row_infobox(named)
+    keys = reliable_checkpoint(C.image_keys(cells, unified).drop("tag", "cells"))  # this and the boxes are read several times
+    boxes = reliable_checkpoint(C.row_infobox(named))
     per_key = keys.select("image_key", "table_id", "col_idx", "cell_text", "key_row", "row_idx").distinct()
     spot = ["table_id", "row_idx"]
 
@@ -322,15 +323,21 @@ def picture_prompts(questions: DataFrame, titles: DataFrame, passages: DataFrame
 def table_html(cells: DataFrame, image_tags: DataFrame, base_path: str, rows_per_chunk: int = C.ROWS_PER_CHUNK) -> DataFrame:
     """A table as HTML with each tag as an image; a tag without a path gets the
     bare base path. Chunks of one table concatenate in order."""
-    used = C.explode_tags(cells).select("tag").distinct().join(image_tags.select("tag", "image_path"), "tag", "left")
-    image = F.concat(F.lit(f'<img src="{base_path}'), F.coalesce("image_path", F.lit("")), F.lit(f'" width="{IMAGE_WIDTH}" >'))
-    drawn = C.replace_tags(cells, used.select("tag", image.alias("new_text")), out="drawn")
+    def image(path: Column) -> Column:
+        return F.concat(F.lit(f'<img src="{base_path}'), path, F.lit(f'" width="{IMAGE_WIDTH}" >'))
+
+    drawn = C.replace_tags(
+        cells, image_tags.select("tag", image(F.coalesce("image_path", F.lit(""))).alias("new_text")), out="drawn", default=image(F.lit(""))
+    )
     mark = F.when(F.col("row_idx") == 0, F.lit("th")).otherwise(F.lit("td"))
     cell = F.concat(F.lit("<"), mark, F.lit(">"), "drawn", F.lit("</"), mark, F.lit(">"))
     rows = drawn.groupBy("table_id", "row_idx").agg(F.concat(F.lit("<tr>"), F.array_join(C.ordered_texts(F.col("col_idx"), cell), ""), F.lit("</tr>\n")).alias("line"))
-    last = cells.groupBy("table_id").agg(F.max("row_idx").alias("__last"))
-    framed = rows.join(last, "table_id").select(
-        "table_id", "row_idx", F.floor(F.col("row_idx") / rows_per_chunk).alias("chunk"),
-        F.concat(F.when(F.col("row_idx") == 0, F.lit(TABLE_STYLE + "\n")).otherwise(F.lit("")), "line", F.when(F.col("row_idx") == F.col("__last"), F.lit("</table>")).otherwise(F.lit(""))).alias("line"),
+    framed = rows.where(F.col("table_id").isNotNull()).select(
+        "table_id", "row_idx", F.lit(0).alias("part"), F.concat(F.when(F.col("row_idx") == 0, F.lit(TABLE_STYLE + "\n")).otherwise(F.lit("")), "line").alias("line")
+    )
+    # the end of a table is a line of its own after its last row, so the rows need not meet the number of that row
+    ends = cells.where(F.col("table_id").isNotNull() & F.col("row_idx").isNotNull()).groupBy("table_id").agg(
+        F.max("row_idx").alias("row_idx"), F.lit(1).alias("part"), F.lit("</table>").alias("line")
     )
-    return framed.groupBy("table_id", "chunk").agg(F.array_join(C.ordered_texts(F.col("row_idx"), F.col("line")), "").alias("html"))
+    lines = framed.unionByName(ends).withColumn("chunk", F.floor(F.col("row_idx") / rows_per_chunk))
+    return lines.groupBy("table_id", "chunk").agg(F.array_join(C.ordered_texts(F.struct("row_idx", "part"), F.col("line")), "").alias("html"))

@@ -54,6 +54,28 @@ def test_hot_tables_are_counted_on_the_tags(spark, tagged, monkeypatch):
     assert len(seen) == 6 and all(s is not None and "image_path" not in plan(s) for s in seen)
 
 
+def test_table_html_meets_the_tags_once(tagged, joins_by_shuffle):
+    cells, paths = tagged
+    out = P.table_html(cells, paths, "b/", rows_per_chunk=2)
+    img = '<img src="b/{}" width="90" >'.format
+    head = P.TABLE_STYLE + "\n<tr><th>h</th></tr>\n"
+    assert {(r.table_id, r.chunk): r.html for r in out.collect()} == {
+        (1, 0): head + f"<tr><td>{img('p')}</td></tr>\n", (1, 1): f"<tr><td>x {img('q')} y {img('')}</td></tr>\n</table>",
+        (2, 0): head + f"<tr><td>{img('')}</td></tr>\n</table>",
+    }
+    assert plan(out).count("SortMergeJoin") == 1
+
+
+def test_entity_prompts_write_what_they_read_again(spark, tagged, monkeypatch):
+    seen = counted(monkeypatch, P)
+    cells, paths = tagged
+    paths = paths.where("image_path IS NOT NULL")
+    titles = spark.createDataFrame([(1, "t", "h")], "table_id bigint, title string, headers string")
+    out = P.entity_prompts(cells, C.unify_by_path(C.explode_tags(cells), paths), paths, titles)
+    assert {(r.table_id, tuple(r.image_paths)) for r in out.collect()} == {(1, ("p",)), (1, ("q",))}
+    assert len(seen) == 2
+
+
 def test_only_asked_tables_are_made_into_cells(spark):
     grids = [(1, [(0, 0, "H", "H", "H"), (1, 0, "H", "Tower", "{IMG-{D-1}}"), (2, 0, "H", "", "{IMG-{D-2}}")]), (2, [(1, 0, "H", "Sea", "{IMG-{D-3}}")])]
     tables = spark.createDataFrame(grids, "table_id bigint, c array<struct<row_idx:bigint,col_idx:bigint,header:string,original:string,cell:string>>")
