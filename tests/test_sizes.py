@@ -139,3 +139,29 @@ def test_tagging_searches_a_cell_once(spark, monkeypatch):
     assert (counts.links, counts.without_image, counts.replaced) == (1, 2, 1) and len(seen) == 5
     marked = {r.row_idx: (r.annotated, r.is_fallback) for r in TG.annotate_links(cells, anchors, links).collect()}
     assert marked == {1: ("tower and {LINK{bridge}{/wiki/B}}", False), 2: ("{LINK{none}{/wiki/none}}", True)} and len(seen) == 6
+
+
+def test_interleaved_groups_across_batches(spark):
+    rng = random.Random(5)
+    rows = sorted({(g, f"l{rng.randrange(3)}", rng.randrange(4)) for g in range(9) for _ in range(8)})
+    df = spark.createDataFrame([(g, l, e, e) for g, l, e in rows], "g bigint, l string, pos bigint, e bigint")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        out = IL.interleave(df, "g", "l", "pos", "e")
+        got = sorted((r.g, r.round, r.l, r.e) for r in out.collect())
+        text = plan(out)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for g in range(9):
+        lists = {l: [e for h, m, e in rows if (h, m) == (g, l)] for _, l in sorted({(h, l) for h, l, _ in rows if h == g})}
+        taken, turn = set(), 0
+        while any(set(x) - taken for x in lists.values()):
+            turn += 1
+            for l, x in lists.items():
+                free = [e for e in x if e not in taken]
+                if free:
+                    taken.add(free[0])
+                    want.append((g, turn, l, free[0]))
+    assert got == sorted(want) and "FlatMapGroups" not in text
