@@ -15,6 +15,7 @@ from gridmosaic.llm.hashing import FILTER_BITS, joint, key_filter, mix, passes_f
 N_WORDS = 5
 N_KEYS = 3  # grouping keys of a set
 ROUNDS = 2  # of heads per key
+HEAD_ROUNDS = 2  # of heads per token
 QUERY_ROUNDS = 3  # of counting the tokens that stand in other groups
 IMAGE_BITS = 1024  # of the bit image of a set
 CHUNK_TOKENS = 1 << 18  # prefix tokens met before they leave a task
@@ -224,14 +225,43 @@ def needed_in_prefix(n: Column) -> Column:
     return F.floor((n - F.floor(n / 5) + 9) / 10)
 
 
+def _reach(left: Column, other: Column, n: Column, other_n: Column) -> Column:
+    """The overlap, at most what is left in both orders from the first common token on, can be four ninths of both sizes: a similarity of 0.8."""
+    return 9 * F.least(left, other) >= 4 * (n + other_n)
+
+
+def _near() -> Column:
+    """Whether the bounds of a and d, which have a token in common, let them be similar."""
+    n, dn = F.col("n"), F.col("dn")
+    near = _reach(F.col("left"), F.col("dleft"), n, dn) & (5 * n >= 4 * dn) & (5 * dn >= 4 * n)
+    # nor can more be common than what both hold of each other's bits
+    return near & _reach(n - lacking(F.col("image"), F.col("dimage")), dn - lacking(F.col("dimage"), F.col("image")), n, dn)
+
+
+def join_groups(links: DataFrame, groups: DataFrame) -> DataFrame:
+    """(g, hub): the linked group that each group with links goes to, of it and its neighbours the one with the most neighbours.
+
+    `links` (u, v) lie between sets, `groups` gives (a, grp) of them. Groups that go to one hub are all linked with it, so they are of one component;
+    a hub that goes to another one itself is not followed, which leaves groups apart that could be one.
+    """
+    ends = links.join(groups.select(F.col("a").alias("u"), F.col("grp").alias("g")), "u").join(groups.select(F.col("a").alias("v"), F.col("grp").alias("h")), "v")
+    both = ends.select("g", "h").unionByName(ends.select(F.col("h").alias("g"), F.col("g").alias("h"))).filter(F.col("g") != F.col("h")).distinct()
+    degrees = both.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    around = both.join(degrees.select(F.col("g").alias("h"), "c"), "h").groupBy("g").agg(F.max(F.struct("c", "h")).alias("most"))
+    own = around.join(degrees, "g")
+    return own.select("g", F.greatest(F.col("most"), F.struct("c", F.col("g").alias("h")))["h"].alias("hub"))
+
+
 def links_between_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """All links between sets of different groups, by the token-group matrix.
+    """Links between sets of different groups that join all groups with similar sets, by the token-group matrix.
 
     `groups` has (u, root) of sets that are not their own root. The matrix holds (token, group): the union of the members' tokens. A set can be similar
     to one of another group only if that group's union holds at least four fifths of its tokens. First each set counts its tokens that stand in any
     other group, at first in its prefix only (see `near_duplicates`); most sets end there. The rest look up the groups of their rarest tokens, as many as they may lack and one. What follows such a token in the
     order of both bounds the overlap, and only groups whose bound reaches four fifths are opened. Only members that
     passed the first count can be partners, and a pair is compared if its own bound does and the bit images of both sets allow it.
+    Before groups are opened, each set is compared with one member of the largest group of each of its rarest tokens, and groups linked
+    by that are one group from then on (`join_groups`): near copies that missed each other's heads need not meet pair by pair.
     """
     placed = sets.join(groups, sets["a"] == groups["u"], "left").select("a", "n", F.coalesce("root", "a").alias("grp"))
     placed = stage(placed, "placed-sets")
@@ -257,25 +287,31 @@ def links_between_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
     images = sets.join(queries.select("a"), "a", "left_semi").groupBy("a").agg(F.first("image").alias("image"))
     prefix = stage(rows.select("a", "n", "grp", (F.col("m") - F.col("at")).alias("left"), "t.token").join(images, "a"), "group-prefixes")
 
-    def reach(left: Column, other: Column, n: Column, other_n: Column) -> Column:
-        """The overlap, at most what is left in both orders from the first common token on, can be four ninths of both sizes: a similarity of 0.8."""
-        return 9 * F.least(left, other) >= 4 * (n + other_n)
+    known = stage(images.join(queries.select("a", "n"), "a").select(F.col("a").alias("d"), F.col("n").alias("dn"), F.col("image").alias("dimage")), "head-images")
+    out = None
+    for _ in range(HEAD_ROUNDS):
+        heads = prefix.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("left", "a")).alias("h"))
+        heads = heads.groupBy(F.col("token").alias("t")).agg(F.max(F.struct("c", "h", "grp")).alias("m"))
+        heads = heads.select("t", F.col("m.h.left").alias("dleft"), F.col("m.h.a").alias("d"), F.col("m.grp").alias("dgrp")).join(known, "d")
+        tried = prefix.join(heads, (F.col("token") == F.col("t")) & (F.col("grp") != F.col("dgrp")) & _near())
+        linked = stage(_similar_pairs(tried.select(F.least("a", "d").alias("u"), F.greatest("a", "d").alias("v")).distinct(), sets), "head-links")
+        out = linked if out is None else out.unionByName(linked)
+        joined = join_groups(linked, prefix.select("a", "grp").distinct())
+        moved = prefix.join(joined.withColumnRenamed("g", "grp"), "grp", "left").withColumn("grp", F.coalesce("hub", "grp")).drop("hub")
+        prefix = stage(_shared(moved), "group-prefixes")
 
     # The matrix: the union of the members' rarest tokens, with the most that is left of any member, the span of their sizes and the image of all their tokens.
     union = F.array(*[F.bit_or(F.get("image", F.lit(k))) for k in range(IMAGE_BITS // 64)]).alias("union")
     matrix = prefix.groupBy(F.col("token").alias("t"), F.col("grp").alias("other")).agg(
         F.max("left").alias("most_left"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), union)
-    fits = reach(F.col("left"), F.col("most_left"), F.col("n"), F.col("least_n")) & (5 * F.col("n") >= 4 * F.col("least_n")) & (5 * F.col("most_n") >= 4 * F.col("n"))
+    fits = _reach(F.col("left"), F.col("most_left"), F.col("n"), F.col("least_n")) & (5 * F.col("n") >= 4 * F.col("least_n")) & (5 * F.col("most_n") >= 4 * F.col("n"))
     fits = fits & (9 * (F.col("n") - lacking(F.col("image"), F.col("union"))) >= 4 * (F.col("n") + F.col("least_n")))
     mine = prefix.join(matrix, (F.col("token") == F.col("t")) & (F.col("grp") != F.col("other")) & fits).select("token", "a", "n", "left", "image", "other")
     theirs = prefix.select(
         F.col("token").alias("t"), F.col("a").alias("d"), F.col("n").alias("dn"), F.col("left").alias("dleft"), F.col("grp").alias("dgrp"), F.col("image").alias("dimage"))
-    near = reach(F.col("left"), F.col("dleft"), F.col("n"), F.col("dn")) & (5 * F.col("n") >= 4 * F.col("dn")) & (5 * F.col("dn") >= 4 * F.col("n"))
-    # nor can more be common than what both hold of each other's bits
-    near = near & reach(F.col("n") - lacking(F.col("image"), F.col("dimage")), F.col("dn") - lacking(F.col("dimage"), F.col("image")), F.col("n"), F.col("dn"))
-    pairs = mine.join(theirs, (F.col("token") == F.col("t")) & (F.col("other") == F.col("dgrp")) & (F.col("a") < F.col("d")) & near)
+    pairs = mine.join(theirs, (F.col("token") == F.col("t")) & (F.col("other") == F.col("dgrp")) & (F.col("a") < F.col("d")) & _near())
     pairs = pairs.select(F.col("a").alias("u"), F.col("d").alias("v")).distinct()
-    return _similar_pairs(pairs, sets)
+    return out.unionByName(_similar_pairs(pairs, sets))
 
 
 def _labelled(docs: DataFrame, filter_bits: int) -> DataFrame:
