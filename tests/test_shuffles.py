@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gridmosaic.operators import cells as C
+from gridmosaic.operators import cells as C, questions as Q
+from gridmosaic.plans import construct as PC
 
 CELLS = "table_id long, row_idx long, col_idx long, header string, original string, cell string"
 ATTRIBUTES = "tag string, image_path string, original_string string"
@@ -53,3 +54,30 @@ def test_replaced_cells_keep_the_text_behind_their_tags(spark):
     done = C.restore_text(cells.where("table_id = 1"), attributes, out="cell")
     assert done.columns.count("cell") == 1 and set(done.columns) == set(cells.columns)
     assert {r.row_idx: r.cell for r in done.collect()} == {1: "<a>", 2: "<b> & <a> (home)", 3: "<a>", 4: "z"}
+
+
+def test_evidence_is_moved_to_canonical_tables_once(spark, monkeypatch):
+    cells, attributes = tables(spark)
+    cells = cells.where("table_id IS NOT NULL")
+    place = "question_id string, table_context long, row_idx long, col_idx long"
+    mentions = spark.createDataFrame([("a", 1, 1, 0)], place)
+    evidence = spark.createDataFrame([("a", 1, 1, 0), ("a", 1, 2, 0), ("b", 2, 1, 0)], place)
+    questions = spark.createDataFrame([("a", 1), ("b", 2)], "question_id string, table_context long")
+    canonical = spark.createDataFrame([(1, 1), (2, 2)], "table_id long, canonical_id long")
+    moved = []
+    real = PC.on_canonical
+    monkeypatch.setattr(PC, "on_canonical", lambda rows, c: moved.append(rows is evidence) or real(rows, c))
+    out = PC.experiment_set(cells, attributes, questions, questions.where("question_id = 'a'"), questions.where("question_id = 'b'"), mentions, evidence, canonical, 1, interleave=False)
+    kinds = {r.question_id: r.question_type for r in out.questions.collect()}
+    assert set(kinds) <= {"a", "b"} and set(out.cells.columns) == set(cells.columns)
+    assert sum(moved) == 1
+
+
+def test_avoided_cells_come_from_rows_marked_once(spark):
+    place = "question_id string, table_context long, row_idx long, col_idx long"
+    mentions = spark.createDataFrame([("a", 1, 1, 0), ("a", 1, 2, 0), ("a", 1, 3, 0)], place)
+    evidence = spark.createDataFrame([("a", 1, 1, 0), ("a", 1, 2, 0)], place)
+    definite, maybe = Q.avoid_cells(mentions, evidence, spark.createDataFrame([(1, 1)], "table_id long, canonical_id long"), 3)
+    plan = definite._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(definite) == 1 and "ExistingRDD" in plan
+    assert {r.row_idx for r in definite.collect()} | {r.row_idx for r in maybe.collect()} == {1, 2}
