@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gridmosaic.functions.values import once
 from gridmosaic.operators.ranking import HOT_GROUP_ROWS, position_in_group
 from gridmosaic.operators.scoring import ngrams, word_tokens
 from gridmosaic.session import reliable_checkpoint
@@ -13,21 +15,46 @@ from gridmosaic.session import reliable_checkpoint
 RARE = 64  # right sets of a shingle that is met and counted
 HEADS = 4  # hot lists of which the whole first piece may give a first match
 GLUE = "\x01"
+LARGE_TABLE = 1_000_000  # characters of a table whose shingles are told apart in one row
 BUNDLES = 8  # rows that the shingles of a table are packed in
 
 
+def _shingles(low: Column, tokens: Column) -> Column:
+    """Shingles of a cell in lower case, repeats kept: word pairs of a cell of several
+    words, else the cell itself."""
+    several = F.trim(low, F.lit(" \t\n\r\f\v")).rlike(r"\s") & (F.size(tokens) > 1)
+    return F.when(several, ngrams(tokens, 2, GLUE)).otherwise(F.array(low))
+
+
 def shingle_rows(cells: DataFrame, keys: tuple[str, ...] = ("table_id",), col: str = "cell") -> DataFrame:
     """Shingles of every cell, repeats kept: word pairs of a cell of several
     words, else the cell itself, in lower case."""
     low = cells.select(*keys, F.lower(col).alias("__cell")).withColumn("__tokens", word_tokens(F.col("__cell")))
-    several = F.trim("__cell", F.lit(" \t\n\r\f\v")).rlike(r"\s") & (F.size("__tokens") > 1)
-    found = F.when(several, ngrams(F.col("__tokens"), 2, GLUE)).otherwise(F.array("__cell"))
-    return low.select(*keys, F.explode(found).alias("shingle"))
+    return low.select(*keys, F.explode(_shingles(F.col("__cell"), F.col("__tokens"))).alias("shingle"))
 
 
-def table_shingles(cells: DataFrame, keys: tuple[str, ...] = ("table_id",), col: str = "cell") -> DataFrame:
-    """Distinct shingles of a table."""
-    return shingle_rows(cells, keys, col).distinct()
+def table_shingles(cells: DataFrame, keys: tuple[str, ...] = ("table_id",), col: str = "cell", large: int = LARGE_TABLE) -> DataFrame:
+    """Distinct shingles of a table.
+
+    The cells of a table meet in one row, as text, and its shingles are told
+    apart there; shuffled one by one they are many times that text. Tables of
+    more than ``large`` characters, counted first, go by the rows of their
+    shingles, so no row grows without bound. Both ways give the same rows.
+    """
+    size = F.sum(F.coalesce(F.length(col), F.lit(0)).cast("bigint") + 1)
+    hot = cells.groupBy(*keys).agg(size.alias("__size")).where(F.col("__size") > large).select(*[F.col(k).alias(f"__hot_{k}") for k in keys])
+    if hot.isEmpty():
+        return _packed_shingles(cells, keys, col)
+    is_hot = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys])
+    rows = shingle_rows(cells.join(hot, is_hot, "left_semi"), keys, col).distinct()
+    return _packed_shingles(cells.join(hot, is_hot, "left_anti"), keys, col).unionByName(rows)
+
+
+def _packed_shingles(cells: DataFrame, keys: tuple[str, ...], col: str) -> DataFrame:
+    """Distinct shingles of tables whose cells fit in one row; a missing cell is a shingle too."""
+    met = cells.groupBy(*keys).agg(F.collect_list(F.struct(F.lower(col).alias("cell"))).alias("__cells"))
+    found = F.transform("__cells", lambda c: once(word_tokens(c["cell"]), lambda tokens: _shingles(c["cell"], tokens)))
+    return met.select(*keys, F.explode(F.array_distinct(F.flatten(found))).alias("shingle"))
 
 
 def signatures(shingles: DataFrame, keys: Sequence[str]) -> DataFrame:

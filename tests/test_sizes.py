@@ -102,6 +102,17 @@ def test_sets_go_by_an_id(spark, monkeypatch):
     assert kinds["left_set"] == kinds["match_id"] == "bigint" and "right_set" not in kinds
 
 
+def test_shingles_of_a_table_meet_as_text(spark):
+    rows = [("b", 1, "A b a B"), ("b", 1, "a  b."), ("b", 1, "Ab"), ("b", 1, "Ab"), ("b", 1, None), ("b", 1, ""), ("c", 1, "a b"), ("b", None, "x y"), ("b", None, "X y"), (None, 2, " ."), ("b", 3, "z" * 40)]
+    df = spark.createDataFrame(rows, "block string, table_id bigint, cell string")
+    want = [("b", 1, x) for x in ("a\x01b", "b\x01a", "b\x01.", "ab", "", None)] + [("c", 1, "a\x01b"), ("b", None, "x\x01y"), (None, 2, " ."), ("b", 3, "z" * 40)]
+    for large in (S.LARGE_TABLE, 8, 0):  # all, some and no tables in one row
+        out = S.table_shingles(df, ("block", "table_id"), large=large)
+        assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    dealt = [line for line in plan(S.table_shingles(df, ("block", "table_id"))).splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not any("shingle" in line for line in dealt)
+
+
 def test_multiset_pairs_without_a_shuffle_of_shingles(spark, joins_by_shuffle):
     rng = random.Random(3)
     rows = [(k, rng.choice(["a", "b", "c", None, ""])) for k in range(6) for _ in range(rng.randint(0, 7))] + [(None, "a")]
