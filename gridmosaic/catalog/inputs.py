@@ -109,12 +109,6 @@ def image_tags(spark: SparkSession, d: str, lines: DataFrame | None = None) -> D
     """Attributes of every image tag of ``cells``."""
     lines = table_rows(spark, d) if lines is None else lines
 
-    def entry(when, col, n, path, original, qid, link):
-        return F.when(when, F.struct(
-            _tag(col, n).alias("tag"), path.alias("image_path"), original.alias("original_string"),
-            qid.alias("qid"), link.alias("wiki_link"),
-        ))
-
     supp, nat = F.col("s_suppkey").cast("string"), F.col("n_nationkey").cast("string")
     supplier = (
         F.concat(F.lit("img/supplier_"), supp, F.lit(".jpg")), F.col("s_name"),
@@ -128,13 +122,22 @@ def image_tags(spark: SparkSession, d: str, lines: DataFrame | None = None) -> D
         F.concat(F.lit("img/flag_"), "l_returnflag", F.lit(".png")), F.col("l_returnflag"),
         F.concat(F.lit("F"), "l_returnflag"), F.concat(F.lit("/wiki/Flag_"), "l_returnflag"),
     )
-    entries = F.array_compact(F.array(
-        entry(F.col("s_suppkey") % 10 != 0, 0, 0, *supplier),
-        entry(F.col("n_nationkey") % 3 == 0, 1, 0, *nation),
-        entry(F.col("n_nationkey") % 6 == 0, 1, 1, *supplier),
-        entry(F.col("l_linestatus") == "F", 2, 0, *flag),
-    ))
-    return lines.select(F.explode(entries).alias("e")).select("e.*")
+    entries = [
+        (F.col("s_suppkey") % 10 != 0, 0, 0, *supplier),
+        (F.col("n_nationkey") % 3 == 0, 1, 0, *nation),
+        (F.col("n_nationkey") % 6 == 0, 1, 1, *supplier),
+        (F.col("l_linestatus") == "F", 2, 0, *flag),
+    ]
+    # a row is told apart by its number first: only the texts that are asked for are made, each for its own row
+    found = lines.select("*", F.explode(F.array_compact(F.array(*[F.when(e[0], F.lit(k)) for k, e in enumerate(entries)]))).alias("__entry"))
+
+    def chosen(texts):
+        return F.coalesce(*[F.when(F.col("__entry") == k, text) for k, text in enumerate(texts)])
+
+    return found.select(
+        chosen([_tag(e[1], e[2]) for e in entries]).alias("tag"),
+        *[chosen([e[k] for e in entries]).alias(name) for k, name in enumerate(("image_path", "original_string", "qid", "wiki_link"), 3)],
+    )
 
 
 IMAGE_TAGS_SQL = """

@@ -103,8 +103,8 @@ def filter_questions(questions: DataFrame, valid: DataFrame, key: str = "table_c
 
 def explode_tags(cells: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per image tag, with its position in the cell."""
-    tagged = cells.where(T.is_image_cell(F.col("cell")))
-    return tagged.select(
+    # a cell without a tag gives no row, so it is searched once
+    return cells.select(
         "table_id", "row_idx", "col_idx", *keep, F.posexplode(T.image_tags(F.col("cell"))).alias("tag_pos", "tag")
     ).withColumn("tag_pos", F.col("tag_pos").cast("bigint"))
 

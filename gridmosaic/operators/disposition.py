@@ -32,18 +32,18 @@ def dispose_tags(
     special = entity_category.where(F.col("category").isin(SPORTS, CHEMICAL)).groupBy("qid").agg(
         F.bool_or(F.col("category") == SPORTS).alias("is_sport"), F.bool_or(F.col("category") == CHEMICAL).alias("is_chemical")
     )
-    # everything known about a link is put together once per link, not per tag
+    # everything known about a link is put together once per link, not per tag, and without a look at the tags
+    named = link_entity.select("link").unionByName(link_class.select("link")).unionByName(collages.select("link"))
     links = (
-        image_tags.select(L.absolute_link(F.col("wiki_link")).alias("link")).distinct()
+        named.where("link IS NOT NULL").distinct()
         .join(link_entity, "link", "left")
         .join(special, "qid", "left")
         .join(link_class, "link", "left")
         .join(collages.groupBy("link").pivot("kind", ["location", "seal"]).agg(F.first("collage_path")), "link", "left")
     )
-    joined = (
-        tags.join(image_tags.select("tag", "image_path", "original_string", L.absolute_link(F.col("wiki_link")).alias("link")), "tag")
-        .join(links, "link", "left")
-    )
+    attributes = image_tags.select("tag", "image_path", "original_string", L.absolute_link(F.col("wiki_link")).alias("link"))
+    # a few links hold most tags: a task looks its few links up, and its tags need no sort
+    joined = tags.join(attributes, "tag").join(links.hint("shuffle_hash"), "link", "left")
     notes = T.is_notes_header(F.col("header"))
     sport, chemical = F.coalesce("is_sport", F.lit(False)), F.coalesce("is_chemical", F.lit(False))
     ordinal = T.has_digit(F.col("original_string")) | F.contains(F.lower("original_string"), F.lit("marathon"))

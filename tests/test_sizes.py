@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmosaic.functions import markup as M, tags as T
-from gridmosaic.operators import cells as C, interleave as IL, prompts as P, questions as Q, similarity as S, tagging as TG
+from gridmosaic.operators import cells as C, disposition as D, interleave as IL, prompts as P, questions as Q, similarity as S, tagging as TG
 from gridmosaic.session import reliable_checkpoint
 
 
@@ -178,3 +178,25 @@ def test_interleaved_groups_across_batches(spark):
                     taken.add(free[0])
                     want.append((g, turn, l, free[0]))
     assert got == sorted(want) and "FlatMapGroups" not in text
+
+
+def test_links_are_known_without_a_look_at_the_tags(spark, joins_by_shuffle):
+    host = "https://en.wikipedia.org"
+    tags = [(1, k, 0, 0, f"t{k}", "Note" if k == 5 else "H") for k in range(1, 8)] + [(1, 9, 0, 0, None, "H")]
+    links = {"t1": "/wiki/A", "t2": "/wiki/B", "t3": "/wiki/C", "t4": None, "t5": "/wiki/A", "t6": "/wiki/none", "t7": "/wiki/D", None: "/wiki/A"}
+    attributes = spark.createDataFrame([(t, f"p{t}", "o", w) for t, w in links.items()], "tag string, image_path string, original_string string, wiki_link string")
+    entities = spark.createDataFrame([(f"{host}/wiki/A", "qa"), (f"{host}/wiki/A", "qz"), (f"{host}/wiki/B", "qb"), (None, "qn")], "link string, qid string")
+    classes = spark.createDataFrame([("included", f"{host}/wiki/A"), ("location", f"{host}/wiki/B"), ("seal", f"{host}/wiki/C")], "entity_class string, link string")
+    collages = spark.createDataFrame([(f"{host}/wiki/B", "location", "lb"), (f"{host}/wiki/C", "location", "lc"), (f"{host}/wiki/D", "seal", "sd")], "link string, kind string, collage_path string")
+    categories = spark.createDataFrame([("qz", D.SPORTS), ("qb", "x")], "qid string, category string")
+    cells = spark.createDataFrame(tags, "table_id bigint, row_idx bigint, col_idx bigint, tag_pos bigint, tag string, header string")
+    out = D.dispose_tags(cells, attributes, entities, categories, classes, collages)
+    assert sorted((r.tag, str(r.qid), r.bucket, str(r.image_path)) for r in out.collect()) == [
+        ("t1", "qa", "included", "pt1"), ("t1", "qz", "included", "pt1"), ("t2", "qb", "location_included", "lb"), ("t3", "None", "seal_excluded", "None"),
+        ("t4", "None", "unclassified", "None"), ("t5", "qa", "notes", "None"), ("t5", "qz", "notes", "None"), ("t6", "None", "unclassified", "None"),
+        ("t7", "None", "unclassified", "None"),
+    ]
+    assert sum("ExistingRDD" in line and "wiki_link" in line for line in plan(out).splitlines()) == 1
+    assert "ShuffledHashJoin [link" in plan(out)
+    kept = D.narrow_image_tags(attributes, out, entities).collect()
+    assert sorted((r.tag, r.image_path, r.qid) for r in kept) == [(t, p, q) for t, p, qs in (("t1", "pt1", ("qa", "qa", "qz", "qz")), ("t2", "lb", ("qb",))) for q in qs]
