@@ -136,13 +136,13 @@ AVOID = LQ + """
 , maybe AS (SELECT question_id, table_id, row_idx, col_idx FROM marked ANTI JOIN definite USING (question_id, row_idx, col_idx) WHERE shared)"""
 
 
-def _avoid(spark, d):
-    return Q.avoid_cells(line_mentions(spark, d), line_evidence(spark, d), canonical(spark, d), SEED)
+def _avoid(spark, d, write=True):
+    return Q.avoid_cells(line_mentions(spark, d), line_evidence(spark, d), canonical(spark, d), SEED, write)
 
 
 @query("q08_definite_cells", AVOID + " SELECT question_id, table_id, row_idx, col_idx FROM definite")
 def q08(spark, d):
-    return _avoid(spark, d)[0]
+    return _avoid(spark, d, write=False)[0]
 
 
 @query("q08_maybe_cells", AVOID + " SELECT question_id, table_id AS table_context, row_idx, col_idx FROM maybe")
