@@ -148,9 +148,10 @@ PATHS = """
 
 
 def _tagged(spark, d):
+    """(cells, their tags, attributes of tags, whether tables may be dealt whole)."""
+    whole = I.whole_tables(spark, d)
     lines = I.facts(spark, d)
-    cells = I.cells(spark, d, lines)
-    return cells, C.explode_tags(cells), I.image_tags(spark, d, lines)
+    return I.cells(spark, d, lines, whole), C.explode_tags(I.cells(spark, d, lines)), I.image_tags(spark, d, lines), whole
 
 
 @query("c17_image_keys", W + PATHS + """
@@ -162,16 +163,16 @@ SELECT u.table_id, u.row_idx, u.col_idx, u.tag_pos, u.tag, u.entity, concat_ws('
 FROM unified u JOIN pieces p ON u.table_id = p.table_id AND u.row_idx = p.row_idx AND u.col_idx = p.col_idx
 JOIN keys k ON k.table_id = p.table_id AND k.col_idx = p.col_idx AND k.cell_text = p.cell_text""")
 def c17(spark, d):
-    cells, tags, attributes = _tagged(spark, d)
-    return C.image_keys(cells, C.unify_by_path(tags, attributes)).select(
+    cells, tags, attributes, whole = _tagged(spark, d)
+    return C.image_keys(cells, C.unify_by_path(tags, attributes, whole), whole).select(
         "table_id", "row_idx", "col_idx", "tag_pos", "tag", "entity", "image_key", "key_row", "cells"
     )
 
 
 @query("c18_unify_by_path", W + PATHS + " SELECT table_id, row_idx, col_idx, tag_pos, tag, image_path, entity FROM unified")
 def c18(spark, d):
-    _, tags, attributes = _tagged(spark, d)
-    return C.unify_by_path(tags, attributes)
+    _, tags, attributes, whole = _tagged(spark, d)
+    return C.unify_by_path(tags, attributes, whole)
 
 
 @query("c19_number_tags", W + """
@@ -185,8 +186,8 @@ def c19(spark, d):
 SELECT DISTINCT p.table_id, p.tag, f.representative, concat('{ENTITY-', n, '}') AS entity FROM placed p
 JOIN (SELECT *, dense_rank() OVER (PARTITION BY table_id ORDER BY representative) AS n FROM firsts) f ON p.table_id = f.table_id AND p.image_path = f.image_path""")
 def c20(spark, d):
-    _, tags, attributes = _tagged(spark, d)
-    return C.normalize_tags(tags, attributes)
+    _, tags, attributes, whole = _tagged(spark, d)
+    return C.normalize_tags(tags, attributes, whole)
 
 
 @query("c21_nested_tags", """

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridmosaic.functions import tags as T
-from gridmosaic.operators.ranking import position_in_group
+from gridmosaic.operators.ranking import HOT_GROUP_ROWS, position_in_group
+from gridmosaic.operators.together import dealt
 from gridmosaic.session import reliable_checkpoint
 
 DATASET = "DRV"
@@ -22,6 +23,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
+def whole_tables(spark: SparkSession, d: str) -> bool:
+    """Whether no table is too large to be dealt to one task: none has more cells than a hot group has rows."""
+    sizes = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.where(F.col("n") > HOT_GROUP_ROWS // len(HEADERS)).isEmpty()
+
+
 def facts(spark: SparkSession, d: str) -> DataFrame:
     """``table_rows`` written down once, for queries that read it several times."""
     return reliable_checkpoint(table_rows(spark, d))
@@ -59,9 +66,9 @@ def _tag(col: int, n: int):
 HEADERS = ("Supplier", "Nation", "Note", "Line")
 
 
-def cells(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
-    """Cell relation of ``facts``; the header row rides on row 1 of its table."""
-    lines = table_rows(spark, d) if lines is None else lines
+def cells(spark: SparkSession, d: str, lines: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """Cell relation of ``facts``; the header row rides on row 1 of its table. ``whole`` tables are dealt as rows, before they are cells."""
+    lines = dealt(table_rows(spark, d) if lines is None else lines, "table_id", whole)
     two = F.col("n_nationkey") % 6 == 0
     body = [
         ("Supplier", F.col("s_name"), F.when(F.col("s_suppkey") % 10 != 0, _tag(0, 0)).otherwise(F.col("s_name"))),

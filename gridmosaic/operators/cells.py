@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridmosaic.functions import tags as T
 from gridmosaic.operators.ranking import HOT_GROUP_ROWS, position_in_group, top_k
+from gridmosaic.operators.together import dealt, met, stacked
 
 ROWS_PER_CHUNK = 1000
 MAX_TABLE_ROWS = 55
@@ -109,12 +110,14 @@ def explode_tags(cells: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ).withColumn("tag_pos", F.col("tag_pos").cast("bigint"))
 
 
-def replace_tags(cells: DataFrame, replacements: DataFrame, out: str = "restored", default: Column | None = None) -> DataFrame:
+def replace_tags(cells: DataFrame, replacements: DataFrame, out: str = "restored", default: Column | None = None, whole: bool = False) -> DataFrame:
     """Rewrite cells by a (tag, new_text) relation; tags without a row stay, or
     become ``default``. With ``out`` as ``cell`` the old cell is not carried along.
 
     Only cells that hold tags take part in the join. The rewritten cell is
     rebuilt from its own pieces, so the aggregation is as small as one cell.
+    With ``whole`` tables, none of which is too large for a task, the pieces
+    come back to their table, and replacements that name it (``table_id``) meet them there.
     """
     cell = F.col("cell")
     key = ["table_id", "row_idx", "col_idx"]
@@ -127,19 +130,23 @@ def replace_tags(cells: DataFrame, replacements: DataFrame, out: str = "restored
     ).where("tag IS NOT NULL OR before <> ''")  # most cells end with a tag: the empty text behind it would only meet all others without a tag
     spare = F.col("tag") if default is None else F.when(F.col("tag").isNotNull(), default)
     text = F.concat("before", F.coalesce("new_text", spare, F.lit("")))
+    if whole and "table_id" in replacements.columns:
+        told = met(dealt(pieces, "table_id"), dealt(replacements.select("table_id", "tag", "new_text"), "table_id"), ["table_id", "tag"], "left", ["table_id"])
+    else:
+        told = pieces.join(replacements.select("tag", "new_text"), "tag", "left")
     done = (
-        pieces.join(replacements.select("tag", "new_text"), "tag", "left")
+        dealt(told.select(*key, *(["rest"] if rest else []), "pos", text.alias("text")), "table_id", whole)
         .groupBy(*key)
-        .agg(F.array_join(ordered_texts(F.col("pos"), text), "").alias(out), *([F.first("rest", ignorenulls=True).alias("rest")] if rest else []))
+        .agg(F.array_join(ordered_texts(F.col("pos"), F.col("text")), "").alias(out), *([F.first("rest", ignorenulls=True).alias("rest")] if rest else []))
         .select(*key, *[F.col(f"rest.{c}").alias(c) for c in rest], out)
     )
-    return plain.unionByName(done)
+    return stacked([plain, done], "table_id") if whole else plain.unionByName(done)
 
 
-def restore_text(cells: DataFrame, image_tags: DataFrame, which: DataFrame | None = None, out: str = "restored") -> DataFrame:
+def restore_text(cells: DataFrame, image_tags: DataFrame, which: DataFrame | None = None, out: str = "restored", whole: bool = False) -> DataFrame:
     """Tags back to their original strings; ``which`` limits it to some tags."""
     chosen = image_tags if which is None else image_tags.join(which.select("tag").distinct(), "tag", "left_semi")
-    return replace_tags(cells, chosen.select("tag", F.col("original_string").alias("new_text")), out)
+    return replace_tags(cells, chosen.select("tag", F.col("original_string").alias("new_text")), out, whole=whole)
 
 
 def row_infobox(cells: DataFrame) -> DataFrame:
@@ -194,10 +201,21 @@ def _numbered(firsts: DataFrame, tags: DataFrame) -> DataFrame:
     return position_in_group(firsts, ["table_id"], [F.col("first")], bucket, "n", hot_groups=_hot_tables(tags))
 
 
-def unify_by_path(tags: DataFrame, image_tags: DataFrame) -> DataFrame:
+def _together(placed: DataFrame) -> DataFrame:
+    """Placed tags of whole tables, dealt by table; the place is made again there."""
+    return dealt(placed.drop("place").where("table_id IS NOT NULL"), "table_id").withColumn("place", F.struct("row_idx", "col_idx", "tag_pos"))
+
+
+def unify_by_path(tags: DataFrame, image_tags: DataFrame, whole: bool = False) -> DataFrame:
     """Tags of one image share ``{ENTITY_IMAGE-n}``; n counts the images of a
-    table by first appearance."""
+    table by first appearance. ``whole`` tables are numbered where their tags meet once."""
     placed = tag_paths(tags, image_tags)
+    if whole:
+        first = F.min("place").over(W.partitionBy("table_id", "image_path"))
+        n = F.dense_rank().over(W.partitionBy("table_id").orderBy("first", "image_path"))
+        return _together(placed).withColumn("first", first).withColumn("n", n).where("image_path IS NOT NULL").select(
+            "table_id", "row_idx", "col_idx", "tag_pos", "tag", "image_path", F.concat(F.lit("{ENTITY_IMAGE-"), "n", F.lit("}")).alias("entity")
+        )
     firsts = placed.groupBy("table_id", "image_path").agg(F.min("place").alias("first"))
     named = _numbered(firsts, tags).select("table_id", "image_path", F.concat(F.lit("{ENTITY_IMAGE-"), "n", F.lit("}")).alias("entity"))
     return placed.join(named, ["table_id", "image_path"]).select(
@@ -205,16 +223,23 @@ def unify_by_path(tags: DataFrame, image_tags: DataFrame) -> DataFrame:
     )
 
 
-def number_tags(tags: DataFrame) -> DataFrame:
+def number_tags(tags: DataFrame, whole: bool = False) -> DataFrame:
     """Each distinct tag of a table as ``{ENTITY-n}``, by first appearance."""
     firsts = tags.groupBy("table_id", "tag").agg(F.min(F.struct("row_idx", "col_idx", "tag_pos")).alias("first"))
-    return _numbered(firsts, tags).select("table_id", "tag", F.concat(F.lit("{ENTITY-"), "n", F.lit("}")).alias("entity"))
+    numbered = firsts.withColumn("n", F.row_number().over(W.partitionBy("table_id").orderBy("first"))) if whole else _numbered(firsts, tags)
+    return numbered.select("table_id", "tag", F.concat(F.lit("{ENTITY-"), "n", F.lit("}")).alias("entity"))
 
 
-def normalize_tags(tags: DataFrame, image_tags: DataFrame) -> DataFrame:
+def normalize_tags(tags: DataFrame, image_tags: DataFrame, whole: bool = False) -> DataFrame:
     """Tags of one image share ``{ENTITY-n}``; n ranks the first-seen tags of
-    a table's images as strings."""
+    a table's images as strings. ``whole`` as for ``unify_by_path``."""
     placed = tag_paths(tags, image_tags)
+    if whole:
+        representative = F.min_by("tag", "place").over(W.partitionBy("table_id", "image_path"))
+        n = F.dense_rank().over(W.partitionBy("table_id").orderBy("representative"))
+        return _together(placed).withColumn("representative", representative).withColumn("n", n).where("image_path IS NOT NULL").select(
+            "table_id", "tag", "representative", F.concat(F.lit("{ENTITY-"), "n", F.lit("}")).alias("entity")
+        ).distinct()
     reps = placed.groupBy("table_id", "image_path").agg(F.min_by("tag", "place").alias("representative"))
     distinct = reps.select("table_id", "representative").distinct()
     # a tag is its table's prefix and <row>-<col>-<n>; buckets are the first digits of the latter
@@ -227,29 +252,58 @@ def normalize_tags(tags: DataFrame, image_tags: DataFrame) -> DataFrame:
     return placed.join(names, ["table_id", "image_path"]).select("table_id", "tag", "representative", "entity").distinct()
 
 
-def entity_text(cells: DataFrame, names: DataFrame) -> DataFrame:
+def entity_text(cells: DataFrame, names: DataFrame, whole: bool = False) -> DataFrame:
     """Cells with their image tags replaced by entity tags."""
     # dealt by tag at once: equal rows meet there, and so does the join
     new = names.select("tag", F.col("entity").alias("new_text")).repartition("tag").distinct()
-    return replace_tags(cells, new, out="cell")
+    return replace_tags(cells, new, out="cell", whole=whole)
+
+
+def _named_cells(cells: DataFrame, unified: DataFrame) -> DataFrame:
+    """Image cells of whole tables: their unified text, and the rows of ``unified`` that are theirs, in ``tags``."""
+    key = ["table_id", "row_idx", "col_idx"]
+    texts = dealt(cells.where(T.is_image_cell(F.col("cell"))).where("table_id IS NOT NULL AND col_idx IS NOT NULL").select(*key, "cell"), "table_id")
+    tags = dealt(unified, "table_id").select(*key, F.struct("tag_pos", "tag", "entity").alias("tags"))
+    met_there = stacked([texts, tags], "table_id", "__table").groupBy("__table", *key[1:]).agg(F.collect_list("cell").alias("cell"), F.collect_list("tags").alias("tags")).withColumnRenamed("__table", "table_id")
+    known = F.array_distinct(F.transform("tags", lambda u: F.struct(u["tag"].alias("tag"), u["entity"].alias("entity"))))
+
+    def pieces(cell: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            new = F.transform(F.filter(known, lambda k: k["tag"] == p["tag"]), lambda k: k["entity"])
+            texts = F.when(F.size(new) > 0, new).otherwise(F.array(F.coalesce(p["tag"], F.lit(""))))
+            return F.transform(texts, lambda t: F.struct(i.alias("o"), F.concat(p["before"], t).alias("t")))
+
+        return F.flatten(F.transform(F.arrays_zip(F.split(cell, T.IMAGE_TAG).alias("before"), T.image_tags(cell).alias("tag")), piece))
 
+    text = F.array_join(F.transform(F.array_sort(F.flatten(F.transform("cell", pieces))), lambda s: s["t"]), "")
+    return met_there.where(F.size("cell") > 0).select(*key, text.alias("cell_text"), "tags")
 
-def image_keys(cells: DataFrame, unified: DataFrame) -> DataFrame:
+
+def image_keys(cells: DataFrame, unified: DataFrame, whole: bool = False) -> DataFrame:
     """Image cells of a table with the same unified text in the same column
     form one key; the first row stands for it.
 
     ``unified`` comes from ``unify_by_path``. One row per tag: the key text,
-    the representative row and the tag's own place.
+    the representative row and the tag's own place. The cells of ``whole`` tables
+    meet their tags in one task.
     """
+    if whole:
+        keys = _with_keys(_named_cells(cells, unified)).where("row_idx IS NOT NULL")
+        return keys.withColumn("u", F.explode("tags")).select(
+            "table_id", "row_idx", "col_idx", "u.tag_pos", "u.tag", "u.entity", "cell_text", "key_row", "cells", "image_key"
+        )
     named = entity_text(cells.where(T.is_image_cell(F.col("cell"))).select("table_id", "row_idx", "col_idx", "cell"), unified)
     keyed = named.select("table_id", "row_idx", "col_idx", F.col("cell").alias("cell_text")).where("table_id IS NOT NULL AND col_idx IS NOT NULL")
+    return unified.select("table_id", "row_idx", "col_idx", "tag_pos", "tag", "entity").join(
+        _with_keys(keyed), ["table_id", "row_idx", "col_idx"]
+    )
+
+
+def _with_keys(keyed: DataFrame) -> DataFrame:
     same = W.partitionBy("table_id", "col_idx", "cell_text")
-    keys = keyed.withColumn("key_row", F.min("row_idx").over(same)).withColumn("cells", F.count(F.lit(1)).over(same)).withColumn(
+    return keyed.withColumn("key_row", F.min("row_idx").over(same)).withColumn("cells", F.count(F.lit(1)).over(same)).withColumn(
         "image_key", F.concat_ws("+", F.col("table_id").cast("string"), "cell_text", F.col("col_idx").cast("string"))
     )
-    return unified.select("table_id", "row_idx", "col_idx", "tag_pos", "tag", "entity").join(
-        keys, ["table_id", "row_idx", "col_idx"]
-    )
 
 
 def nested_tags(cells: DataFrame) -> DataFrame:
