@@ -15,6 +15,7 @@ from gridmosaic.functions import answers as A, prompts as P, tags as T
 from gridmosaic.operators import cells as C
 from gridmosaic.operators.ranking import first_per_key
 from gridmosaic.operators.sampling import sample_n, seeded_order
+from gridmosaic.operators.together import dealt, met, stacked
 from gridmosaic.session import reliable_checkpoint
 
 MISSING_LINE = A.MISSING_PREDICTION
@@ -96,16 +97,19 @@ def with_examples(prompts: DataFrame, examples: DataFrame, instructions: str, k:
     return filled.drop("__e")
 
 
-def prediction_block(cells: DataFrame, names: DataFrame, predictions: DataFrame) -> DataFrame:
+def prediction_block(cells: DataFrame, names: DataFrame, predictions: DataFrame, whole: bool = False) -> DataFrame:
     """One row per table, one line per tag of its text, in order and with repeats:
     ``entity -> prediction``, or a fixed sentence without a usable one.
 
-    ``names``: table_id, tag, entity. ``predictions``: tag, prediction.
+    ``names``: table_id, tag, entity. ``predictions``: tag, prediction. Tags of
+    ``whole`` tables meet their names in the task of their table.
     """
-    said = (
-        C.explode_tags(cells).join(names, ["table_id", "tag"])
-        .join(predictions.select("tag", "prediction"), "tag", "left")
-    )
+    tags = C.explode_tags(cells)
+    if whole:
+        named = met(dealt(tags, "table_id"), dealt(names.select("table_id", "tag", "entity"), "table_id"), ["table_id", "tag"])
+    else:
+        named = tags.join(names, ["table_id", "tag"])
+    said = named.join(predictions.select("tag", "prediction"), "tag", "left")
     usable = F.col("prediction").isNotNull() & ~F.contains(F.lower("prediction"), F.lit("error"))
     line = F.concat("entity", F.lit(" -> "), F.when(usable, F.col("prediction")).otherwise(F.lit(MISSING_LINE)), F.lit("\n"))
     return (
@@ -320,14 +324,14 @@ def picture_prompts(questions: DataFrame, titles: DataFrame, passages: DataFrame
     return joined.select("question_id", text.alias("prompt"), P.picture_name(F.col("table_context")).alias("picture"))
 
 
-def table_html(cells: DataFrame, image_tags: DataFrame, base_path: str, rows_per_chunk: int = C.ROWS_PER_CHUNK) -> DataFrame:
+def table_html(cells: DataFrame, image_tags: DataFrame, base_path: str, rows_per_chunk: int = C.ROWS_PER_CHUNK, whole: bool = False) -> DataFrame:
     """A table as HTML with each tag as an image; a tag without a path gets the
-    bare base path. Chunks of one table concatenate in order."""
+    bare base path. Chunks of one table concatenate in order. ``whole`` tables are put together in one task."""
     def image(path: Column) -> Column:
         return F.concat(F.lit(f'<img src="{base_path}'), path, F.lit(f'" width="{IMAGE_WIDTH}" >'))
 
     drawn = C.replace_tags(
-        cells, image_tags.select("tag", image(F.coalesce("image_path", F.lit(""))).alias("new_text")), out="drawn", default=image(F.lit(""))
+        cells, image_tags.select("tag", image(F.coalesce("image_path", F.lit(""))).alias("new_text")), out="drawn", default=image(F.lit("")), whole=whole
     )
     mark = F.when(F.col("row_idx") == 0, F.lit("th")).otherwise(F.lit("td"))
     cell = F.concat(F.lit("<"), mark, F.lit(">"), "drawn", F.lit("</"), mark, F.lit(">"))
@@ -339,5 +343,6 @@ def table_html(cells: DataFrame, image_tags: DataFrame, base_path: str, rows_per
     ends = cells.where(F.col("table_id").isNotNull() & F.col("row_idx").isNotNull()).groupBy("table_id").agg(
         F.max("row_idx").alias("row_idx"), F.lit(1).alias("part"), F.lit("</table>").alias("line")
     )
-    lines = framed.unionByName(ends).withColumn("chunk", F.floor(F.col("row_idx") / rows_per_chunk))
-    return lines.groupBy("table_id", "chunk").agg(F.array_join(C.ordered_texts(F.struct("row_idx", "part"), F.col("line")), "").alias("html"))
+    lines = stacked([framed, ends], "table_id", "__table").withColumn("chunk", F.floor(F.col("row_idx") / rows_per_chunk))
+    html = F.array_join(C.ordered_texts(F.struct("row_idx", "part"), F.col("line")), "").alias("html")
+    return lines.groupBy("__table", "chunk").agg(html).withColumnRenamed("__table", "table_id")

@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from gridmosaic.operators import cells as C, prompts as P, responses as R, scoring as S
+from gridmosaic.session import reliable_checkpoint
 
 
-def tag_prompts(questions: DataFrame, cells: DataFrame, image_tags: DataFrame, titles: DataFrame, examples: DataFrame | None = None, instructions: str = "{main_part}", k: int = 0) -> DataFrame:
+def tag_prompts(questions: DataFrame, cells: DataFrame, image_tags: DataFrame, titles: DataFrame, examples: DataFrame | None = None, instructions: str = "{main_part}", k: int = 0, whole: bool = False) -> DataFrame:
     """Questions on tables whose images are named by entity tags; a table's tags
     are named once, whatever number of questions it has."""
-    asked = cells.join(questions.select(F.col("table_context").alias("table_id")).distinct(), "table_id", "left_semi")
-    names = C.normalize_tags(C.explode_tags(asked), image_tags)
-    prompts = P.qa_prompts(questions, C.table_string(C.entity_text(asked, names)), titles)
+    # the asked tables are read for their tags, their plain cells and the others
+    asked = reliable_checkpoint(cells.join(questions.select(F.col("table_context").alias("table_id")).distinct(), "table_id", "left_semi").select("table_id", "row_idx", "col_idx", "cell"))
+    names = C.normalize_tags(C.explode_tags(asked), image_tags, whole)
+    prompts = P.qa_prompts(questions, C.table_string(C.entity_text(asked, names, whole)), titles)
     return prompts if examples is None else P.with_examples(prompts, examples, instructions, k)
 
 
