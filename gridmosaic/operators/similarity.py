@@ -201,23 +201,41 @@ def multiset_jaccard(left: DataFrame, right: DataFrame, pairs: DataFrame) -> Dat
     """
     def bundles(rows: DataFrame, name: str) -> DataFrame:
         part = F.pmod(F.xxhash64("shingle"), F.lit(BUNDLES)).alias("part")
-        packed = rows.groupBy("table_id", part).agg(F.collect_list(F.struct("shingle")).alias("rows"))
-        return packed.select(F.col("table_id").alias(f"{name}_id"), "part", F.col("rows").alias(name))
+        packed = rows.groupBy("table_id", part).agg(F.sort_array(F.collect_list("shingle")).alias(name), F.count_if(F.col("shingle").isNull()).alias(f"{name}_missing"))
+        return packed.withColumnRenamed("table_id", f"{name}_id")
 
-    def counted(name: str, l: int, r: int) -> Column:
-        none = F.array().cast("array<struct<shingle:string,l:bigint,r:bigint>>")
-        return F.coalesce(F.transform(name, lambda x: F.struct(
-            x["shingle"].alias("shingle"), F.lit(l).cast("bigint").alias("l"), F.lit(r).cast("bigint").alias("r"))), none)
+    def split(name: str) -> tuple[Column, Column]:
+        """Shingles in order without repeats, and the repeats."""
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(name, F.lit(1), F.greatest(F.size(name) - 1, F.lit(0))))
+        placed = F.arrays_zip(F.col(name).alias("x"), before.alias("before"))
+        more = F.transform(F.filter(placed, lambda p: p["x"] == p["before"]), lambda p: p["x"])
+        return F.array_distinct(name).alias(name), more.alias(f"{name}_more")
+
+    def entries(name: str, l: int, r: int) -> Column:
+        both = F.filter(name, lambda x: F.array_contains("shared", x))
+        return F.transform(both, lambda x: F.struct(x.alias("shingle"), F.lit(l).cast("bigint").alias("l"), F.lit(r).cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("all")))
 
     # a table's shingles travel in a few rows, and equal shingles of a pair are in rows that meet
     key = ["left_id", "right_id"]
+    none = F.array().cast("array<string>")
     parts = pairs.select(*key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BUNDLES - 1).cast("bigint"))).alias("part"))
     met = parts.join(bundles(left, "left"), ["left_id", "part"], "left").join(bundles(right, "right"), ["right_id", "part"], "left")
-    sides = met.select(*key, "part", F.explode(F.concat(counted("left", 1, 0), counted("right", 0, 1))).alias("s")).select(*key, "part", "s.*")
-    per_shingle = sides.groupBy(*key, "part", "shingle").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    sums = per_shingle.groupBy(*key).agg(F.sum(F.least("l", "r")).alias("both"), F.sum(F.greatest("l", "r")).alias("either"))
+    missing = [F.coalesce(f"{name}_missing", F.lit(0)).alias(f"{name}_missing") for name in ("left", "right")]
+    rows = met.select(*key, "part", *[F.coalesce(name, none).alias(name) for name in ("left", "right")], *missing)
+    rows = rows.withColumn("all", F.size("left") + F.size("right") + F.col("left_missing") + F.col("right_missing"))
+    rows = rows.select(*key, "part", "all", F.least("left_missing", "right_missing").alias("missing"), *split("left"), *split("right"))
+    # what two shingle sets have in common is counted at once; only shingles that both repeat are rows
+    counted = rows.select(
+        *key, "part", "all", (F.size(F.array_intersect("left", "right")) + F.col("missing")).alias("both"),
+        F.array_intersect("left_more", "right_more").alias("shared"), "left_more", "right_more",
+    )
+    first = F.struct(F.lit(None).cast("string").alias("shingle"), F.col("both").alias("l"), F.col("both").alias("r"), F.col("all").alias("all"))
+    listed = F.when(F.size("shared") > 0, F.concat(F.array(first), entries("left_more", 1, 0), entries("right_more", 0, 1))).otherwise(F.array(first))
+    per_shingle = counted.select(*key, "part", F.explode(listed).alias("s")).select(*key, "part", "s.*").groupBy(*key, "part", "shingle").agg(
+        F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum("all").alias("all"))
+    sums = per_shingle.groupBy(*key).agg(F.sum(F.least("l", "r")).alias("both"), F.sum("all").alias("all"))
     return pairs.join(sums, key, "left").select(
-        *key, F.coalesce(F.try_divide(F.col("both").cast("double"), "either"), F.lit(0.0)).alias("similarity")
+        *key, F.coalesce(F.try_divide(F.col("both").cast("double"), F.col("all") - F.col("both")), F.lit(0.0)).alias("similarity")
     )
 
 
